@@ -1,10 +1,12 @@
 """Operators for training-data corpora. Nothing else in the library imports this subpackage."""
 
-from . import quality_bands, sentencepiece_codec
+from . import cube_mixing, quality_bands, sentencepiece_codec, simhash_anchors
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
     "op3_quality_rules": quality_bands.query,
+    "op6_simhash": simhash_anchors.query,
+    "op10_cube_mixing": cube_mixing.query,
 }
 
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force.
