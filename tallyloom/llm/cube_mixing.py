@@ -7,8 +7,8 @@ inclusion probability r - floor(r). Which documents get that extra copy is a bal
 flight phase of the cube method moves the probabilities along directions that keep the sums of
 tokens and of documents, until all but two documents of a block are decided. The undecided
 ones of all blocks form new blocks, round after round; what is left of a source at the end,
-two documents at most, is the landing problem and is decided by a coin with their
-probabilities.
+two documents at most, is the landing problem: a coin with their probabilities decides it, and
+exchanges within that last block make up for the words by which the coin missed the target.
 
 Blocks hold about `BLOCK` documents of one source by the hash of their key, so a source of any size is
 spread; a round passes on at most two documents a block, so the rounds are few (the logarithm
@@ -108,6 +108,24 @@ def landing(chance: np.ndarray, coins: np.ndarray) -> np.ndarray:
     return np.round(p)
 
 
+def settle(chance: np.ndarray, size: np.ndarray, done: np.ndarray) -> np.ndarray:
+    """Ends the landing: exchanges decisions while one brings the sum of sizes nearer to that of chance * size.
+
+    Only units whose chance was open may change. A large document that the coin left out, or in, is
+    so made up for by smaller ones; each exchange is the one that comes nearest.
+    """
+    out, open_ = done.copy(), np.flatnonzero((chance > 0) & (chance < 1) & (size > 0))
+    gap = float((chance * size).sum() - (out * size).sum())
+    while len(open_):
+        change = np.where(out[open_] > 0, -size[open_], size[open_])
+        best = int(np.argmin(np.abs(gap - change)))
+        if abs(gap - change[best]) >= abs(gap):
+            break
+        gap -= float(change[best])
+        out[open_[best]] = 1 - out[open_[best]]
+    return out
+
+
 def _coins(keys: pd.Series, salt: int) -> np.ndarray:
     return mix64(keys.to_numpy(np.int64).view(np.uint64) ^ np.uint64(SEED * 1_000_003 + salt)).astype(np.float64) / 2.0**64
 
@@ -117,8 +135,9 @@ def _flown(salt: int, last: bool):
         # from large to small: what stays open at the end are small documents, and so is the landing's error
         rows = rows.assign(coin=_coins(rows["key"], salt)).sort_values(["size", "coin", "key", "nth"], ascending=[False, True, True, True]).drop(columns="coin").reset_index(drop=True)
         coins = _coins(rows["key"], salt + 1)
-        p = flight(rows["chance"].to_numpy(), rows["size"].to_numpy(np.float64), coins)
-        return rows.assign(chance=landing(p, _coins(rows["key"], salt + 2)) if last else p)
+        chance, size = rows["chance"].to_numpy(), rows["size"].to_numpy(np.float64)
+        p = flight(chance, size, coins)
+        return rows.assign(chance=settle(chance, size, landing(p, _coins(rows["key"], salt + 2))) if last else p)
 
     return run
 
