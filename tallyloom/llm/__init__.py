@@ -1,10 +1,11 @@
 """Operators for training-data corpora. Nothing else in the library imports this subpackage."""
 
-from . import cube_mixing, quality_bands, sentencepiece_codec, simhash_anchors
+from . import cube_mixing, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
     "op3_quality_rules": quality_bands.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op6_simhash": simhash_anchors.query,
     "op10_cube_mixing": cube_mixing.query,
 }
