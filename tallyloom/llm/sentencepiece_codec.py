@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .frames import blocks, parts
 from .text import expand, ragged, squeeze
@@ -37,6 +38,8 @@ from .text import expand, ragged, squeeze
 MARK = "▁"
 #: Bytes of text in a block: the documents that share one chunk list.
 BLOCK = 32 << 20
+#: Chunks that are decoded, or joined to result rows, at once.
+SLICE = 200_000
 
 
 @cache
@@ -80,24 +83,31 @@ def _bucket(chunk: str, buckets: int) -> int:
     return zlib.crc32(chunk.encode()) % buckets
 
 
-def _block(cutter: re.Pattern, texts: pa.ChunkedArray, buckets: int) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
-    """Distinct chunks of a block in the order of their buckets, their buckets, and a code array for each text."""
+def _block(cutter: re.Pattern, texts: pa.ChunkedArray, buckets: int) -> tuple[list[str], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct chunks of a block in the order of their buckets, their buckets, the place of each
+    code in that order, and a code array for each text; frequent chunks have low codes."""
     seen: defaultdict[str, int] = defaultdict()
     seen.default_factory = seen.__len__
     codes = [np.fromiter(map(seen.__getitem__, _cut(cutter, t.as_py())), np.uint32) for t in texts]
     names = list(seen)
     of = np.fromiter((_bucket(c, buckets) for c in names), np.int32, len(names))
     order = np.argsort(of, kind="stable")
+    place = np.empty(len(names), np.uint32)
+    place[order] = np.arange(len(names), dtype=np.uint32)
+    often = np.zeros(len(names), np.int64)
+    for c in codes:
+        often += np.bincount(c, minlength=len(names))
+    by = np.argsort(-often, kind="stable")
     rank = np.empty(len(names), np.uint32)
-    rank[order] = np.arange(len(names), dtype=np.uint32)
-    return [names[i] for i in order], of[order], [rank[c] for c in codes]
+    rank[by] = np.arange(len(names), dtype=np.uint32)
+    return [names[i] for i in order], of[order], place[by], [rank[c] for c in codes]
 
 
 def _lists(model: str, text: str, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _cutter(model)
         for key, table in blocks(batches, text, BLOCK):
-            names, of, _ = _block(cutter, table.column(text), buckets)
+            names, of, _, _ = _block(cutter, table.column(text), buckets)
             bounds = np.flatnonzero(np.diff(of, prepend=-1))
             for lo, hi in zip(bounds, [*bounds[1:], len(of)], strict=True):
                 yield pa.record_batch({"bucket": pa.array([of[lo]], pa.int32()), "block": pa.array([key], pa.int64()), "chunks": pa.array([names[lo:hi]], pa.list_(pa.string()))})
@@ -107,10 +117,14 @@ def _lists(model: str, text: str, buckets: int) -> Callable:
 
 def _codes(model: str, id_col: str, text: str, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block as one row: ids, numbers of chunks, codes, and the chunks' places in the block's lists."""
         cutter = _cutter(model)
         for key, table in blocks(batches, text, BLOCK):
-            _, _, codes = _block(cutter, table.column(text), buckets)
-            yield pa.record_batch({"block": pa.array([key] * table.num_rows, pa.int64()), "id": table.column(id_col).combine_chunks(), "codes": pa.array([squeeze(c) for c in codes], pa.binary())})
+            _, _, place, codes = _block(cutter, table.column(text), buckets)
+            ids = table.column(id_col).combine_chunks()
+            lens = np.fromiter(map(len, codes), np.int32, len(codes))
+            columns = [squeeze(c) for c in (lens, np.concatenate(codes), place)]
+            yield pa.record_batch([pa.array([key], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([c], pa.binary()) for c in columns)], names=["block", "ids", "lens", "codes", "places"])
 
     return run
 
@@ -131,6 +145,8 @@ def _segmented(model: str) -> Callable[[pa.Table], pa.Table]:
 
 
 def _joined(model: str, id_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    kinds = pa.schema([("id", id_type), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+
     def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
         sp = _processor(model)
         mark = sp.piece_to_id(MARK)
@@ -138,18 +154,28 @@ def _joined(model: str, id_type: pa.DataType) -> Callable[[pa.Table, pa.Table],
         lens = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x.as_py(), np.int32) for x in lists.column("lens"))])
         flat = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x.as_py(), np.int32) for x in lists.column("ids"))])
         ends = np.cumsum(lens)
-        starts, every = ends - lens, flat.tolist()
-        said = sp.decode([[mark, *every[lo:hi]] for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True)]) if len(lens) else []
-        offsets, ids, texts = [0], [], []
-        for data in docs.column("codes"):
-            codes = expand(data.as_py(), np.uint32)
-            if len(codes) and int(codes.max()) >= len(lens):
+        starts, said = ends - lens, []
+        for at in range(0, len(lens), SLICE):
+            pairs = zip(starts[at : at + SLICE].tolist(), ends[at : at + SLICE].tolist(), strict=True)
+            said += sp.decode([[mark, *flat[lo:hi].tolist()] for lo, hi in pairs])
+        batches = []
+        for r in range(docs.num_rows):
+            ids, sizes, codes, places = (docs.column(c)[r] for c in ("ids", "lens", "codes", "places"))
+            places = expand(places.as_py(), np.uint32)
+            if len(places) != len(lens):
                 raise RuntimeError("the input changed between its two readings; store it first")
-            ids.append(flat[ragged(starts[codes], lens[codes])])
-            offsets.append(offsets[-1] + len(ids[-1]))
-            texts.append("".join(map(said.__getitem__, codes.tolist()))[1:])
-        values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32())
-        return pa.table({"id": docs.column("id").cast(id_type), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), "decoded": pa.array(texts, pa.string())})
+            codes, sizes = places[expand(codes.as_py(), np.uint32)], expand(sizes.as_py(), np.int32)
+            cuts = np.append(0, np.cumsum(sizes))
+            a = 0
+            while a < len(sizes):
+                b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + SLICE, side="right")) - 1)
+                own = codes[cuts[a] : cuts[b]]
+                tokens = np.append(0, np.cumsum(lens[own]))[cuts[a : b + 1] - cuts[a]]
+                texts = ["".join(map(said.__getitem__, codes[cuts[i] : cuts[i + 1]].tolist()))[1:] for i in range(a, b)]
+                columns = [ids.values.slice(a, b - a), pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), pa.array(flat[ragged(starts[own], lens[own])], pa.int32())), pa.array(texts, pa.string())]
+                batches.append(pa.RecordBatch.from_arrays(columns, schema=kinds))
+                a = b
+        return pa.Table.from_batches(batches, schema=kinds)
 
     return run
 
@@ -167,9 +193,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lists = given.select("text").mapInArrow(_lists(model, "text", buckets), "bucket int, block long, chunks array<string>")
     tables = lists.groupBy("bucket").applyInArrow(_segmented(model), "block long, bucket int, lens binary, ids binary")
-    codes = given.mapInArrow(_codes(model, "id", "text", buckets), f"block long, id {kind}, codes binary")
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    codes = given.mapInArrow(_codes(model, "id", "text", buckets), f"block long, ids array<{kind}>, lens binary, codes binary, places binary")
     run = _joined(model, to_arrow_type(df.schema[id_col].dataType))
     return codes.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
