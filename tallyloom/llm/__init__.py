@@ -1,14 +1,22 @@
 """Operators for training-data corpora. Nothing else in the library imports this subpackage."""
 
-from . import cube_mixing, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup
+from . import chat_rotation, cube_mixing, itq_neighbors, ngram_trie, paragraph_minhash, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup, url_lists
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
+    "op2_paragraph_minhash": paragraph_minhash.query,
     "op3_quality_rules": quality_bands.query,
     "op4_suffix_dedup": suffix_dedup.query,
+    "op5_url_lists": url_lists.query,
     "op6_simhash": simhash_anchors.query,
+    "op7_chat_rotation": chat_rotation.query,
+    "op8_itq_neighbors": itq_neighbors.query,
+    "op9_ngram_trie": ngram_trie.query,
     "op10_cube_mixing": cube_mixing.query,
 }
 
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_url_lists": url_lists.ORACLE,
+    "op7_chat_rotation": chat_rotation.ORACLE,
+}
