@@ -18,15 +18,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder; its lineage ends here.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset (tests on one machine)
-    a temporary one is used.
+    It is spark.checkpoint.dir; where that is unset (tests on one machine) a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared checkpoint folder; its lineage ends here."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .frames import components, stored
@@ -57,14 +57,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.record_batch({"id": batch.column(0), "fp": pa.array(prints.view(np.int64))})
-
-
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for each row; fp holds the 64 bits as a long."""
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, f"id {kind}, fp long")
+        prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
+        yield pa.record_batch({"id": batch.column("id"), "key": batch.column("key"), "fp": pa.array(prints.view(np.int64))})
 
 
 def _parity() -> np.ndarray:
@@ -187,15 +181,32 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.mapInArrow(_compared(distance), "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(id_col, fp long, component_id) for each row: the least id that links reach from its fingerprint."""
-    prints = stored(fingerprints(df, id_col, text_col))
+def _grouped(df: DataFrame, id_col: str, text_col: str, distance: int) -> DataFrame:
+    """(id, key, fp, root, component_id) for each row; key hashes id and text, root is the least fingerprint reached."""
+    kind = df.schema[id_col].dataType.simpleString()
+    given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
+    prints = stored(given.mapInArrow(_fingerprints, f"id {kind}, key long, fp long"))
     classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(classes, distance)).withColumnsRenamed({"node": "fp"})
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """(id_col, fp long, component_id) for each row: the least id that links reach from its fingerprint."""
+    return _grouped(df, id_col, text_col, distance).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """One row of df for each component, with the columns of df: that of the least id, null last."""
+    grouped = _grouped(df, id_col, text_col, distance)
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("first")
+    chosen = grouped.groupBy("root").agg(first).select(F.col("first")["key"].alias("key"))
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    rows = df.select(row, F.xxhash64(id_col, text_col).alias("key")).join(chosen, "key", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
