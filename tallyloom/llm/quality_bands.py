@@ -81,6 +81,12 @@ def repeated_words(docs: list[list[bytes]], window: int = WINDOW) -> np.ndarray:
 
 
 def _measures(texts: pd.Series) -> pd.DataFrame:
+    """Counts of texts, some megabytes of them at a time."""
+    lot = (texts.str.len().fillna(0).cumsum() // (4 << 20)).to_numpy()
+    return pd.concat([_lot(t) for _, t in texts.groupby(lot, sort=False)] or [_lot(texts)], ignore_index=True)
+
+
+def _lot(texts: pd.Series) -> pd.DataFrame:
     press = zstandard.ZstdCompressor(level=LEVEL)
     rows, docs = [], []
     for text in texts:
@@ -108,12 +114,9 @@ def _measures(texts: pd.Series) -> pd.DataFrame:
 
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (text, carried columns...) with the counts in place of the text, some megabytes at a time."""
+    """Rows (id, text) with the counts in place of the text."""
     for batch in batches:
-        size = batch["text"].str.len().fillna(0).cumsum()
-        for _, rows in batch.groupby((size // (4 << 20)).to_numpy(), sort=False):
-            counts = _measures(rows["text"])
-            yield pd.concat([rows.drop(columns="text").reset_index(drop=True), counts], axis=1)
+        yield pd.concat([batch.drop(columns="text").reset_index(drop=True), _measures(batch["text"])], axis=1)
 
 
 def verdict(df: DataFrame) -> DataFrame:
