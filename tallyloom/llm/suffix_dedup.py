@@ -42,7 +42,7 @@ from .text import expand, mix64, ragged, squeeze
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text in a block (no result depends on it), and of window starts handled at once.
-BLOCK, STEP = 8 << 20, 1 << 20
+BLOCK, STEP = (8 << 20) - 1, 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LAST = (1 << 63) - 1
