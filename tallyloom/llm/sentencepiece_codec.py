@@ -83,9 +83,9 @@ def _bucket(chunk: str, buckets: int) -> int:
     return zlib.crc32(chunk.encode()) % buckets
 
 
-def _block(cutter: re.Pattern, texts: pa.ChunkedArray, buckets: int) -> tuple[list[str], np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct chunks of a block in the order of their buckets, their buckets, the place of each
-    code in that order, and a code array for each text; frequent chunks have low codes."""
+def _block(cutter: re.Pattern, texts: pa.ChunkedArray, buckets: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct chunks of a block in the order of their buckets, their buckets, the place of each code
+    in that order, the codes of all texts end to end and their numbers; frequent chunks have low codes."""
     seen: defaultdict[str, int] = defaultdict()
     seen.default_factory = seen.__len__
     codes = [np.fromiter(map(seen.__getitem__, _cut(cutter, t.as_py())), np.uint32) for t in texts]
@@ -94,20 +94,18 @@ def _block(cutter: re.Pattern, texts: pa.ChunkedArray, buckets: int) -> tuple[li
     order = np.argsort(of, kind="stable")
     place = np.empty(len(names), np.uint32)
     place[order] = np.arange(len(names), dtype=np.uint32)
-    often = np.zeros(len(names), np.int64)
-    for c in codes:
-        often += np.bincount(c, minlength=len(names))
-    by = np.argsort(-often, kind="stable")
+    flat = np.concatenate(codes)
+    by = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")
     rank = np.empty(len(names), np.uint32)
     rank[by] = np.arange(len(names), dtype=np.uint32)
-    return [names[i] for i in order], of[order], place[by], [rank[c] for c in codes]
+    return [names[i] for i in order], of[order], place[by], rank[flat], np.fromiter(map(len, codes), np.int32, len(codes))
 
 
 def _lists(model: str, text: str, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _cutter(model)
         for key, table in blocks(batches, text, BLOCK):
-            names, of, _, _ = _block(cutter, table.column(text), buckets)
+            names, of, _, _, _ = _block(cutter, table.column(text), buckets)
             bounds = np.flatnonzero(np.diff(of, prepend=-1))
             for lo, hi in zip(bounds, [*bounds[1:], len(of)], strict=True):
                 yield pa.record_batch({"bucket": pa.array([of[lo]], pa.int32()), "block": pa.array([key], pa.int64()), "chunks": pa.array([names[lo:hi]], pa.list_(pa.string()))})
@@ -120,10 +118,9 @@ def _codes(model: str, id_col: str, text: str, buckets: int) -> Callable:
         """A block as one row: ids, numbers of chunks, codes, and the chunks' places in the block's lists."""
         cutter = _cutter(model)
         for key, table in blocks(batches, text, BLOCK):
-            _, _, place, codes = _block(cutter, table.column(text), buckets)
+            _, _, place, codes, lens = _block(cutter, table.column(text), buckets)
             ids = table.column(id_col).combine_chunks()
-            lens = np.fromiter(map(len, codes), np.int32, len(codes))
-            columns = [squeeze(c) for c in (lens, np.concatenate(codes), place)]
+            columns = [squeeze(c) for c in (lens, codes, place)]
             yield pa.record_batch([pa.array([key], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([c], pa.binary()) for c in columns)], names=["block", "ids", "lens", "codes", "places"])
 
     return run
