@@ -27,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -108,7 +108,8 @@ def _lists(model: str, text: str, buckets: int) -> Callable:
             names, of, _, _, _ = _block(cutter, table.column(text), buckets)
             bounds = np.flatnonzero(np.diff(of, prepend=-1))
             for lo, hi in zip(bounds, [*bounds[1:], len(of)], strict=True):
-                yield pa.record_batch({"bucket": pa.array([of[lo]], pa.int32()), "block": pa.array([key], pa.int64()), "chunks": pa.array([names[lo:hi]], pa.list_(pa.string()))})
+                data = [c.encode() for c in names[lo:hi]]
+                yield pa.record_batch({"bucket": pa.array([of[lo]], pa.int32()), "block": pa.array([key], pa.int64()), "sizes": pa.array([squeeze(np.fromiter(map(len, data), np.int32, len(data)))], pa.binary()), "chunks": pa.array([zstandard.compress(b"".join(data), 3)], pa.binary())})
 
     return run
 
@@ -128,13 +129,16 @@ def _codes(model: str, id_col: str, text: str, buckets: int) -> Callable:
 
 def _segmented(model: str) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        lists = table.column("chunks").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
+        sizes = [expand(x.as_py(), np.int32) for x in table.column("sizes")]
+        ends = np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int64)
+        data = b"".join(zstandard.decompress(x.as_py()) for x in table.column("chunks"))
+        given = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data))
+        coded = given.dictionary_encode()
         ids = segment(model, coded.dictionary.to_pylist())
         lens = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((i for one in ids for i in one), np.int32, int(lens.sum()))
         starts, at = np.cumsum(lens) - lens, coded.indices.to_numpy()
-        bounds = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+        bounds = np.append(0, np.cumsum([len(x) for x in sizes]))
         rows = [(lens[at[lo:hi]], flat[ragged(starts[at[lo:hi]], lens[at[lo:hi]])]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "lens": pa.array([r[0].tobytes() for r in rows], pa.binary()), "ids": pa.array([r[1].tobytes() for r in rows], pa.binary())})
 
@@ -188,7 +192,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     kind = df.schema[id_col].dataType.simpleString()
     _cutter(model)
     given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lists = given.select("text").mapInArrow(_lists(model, "text", buckets), "bucket int, block long, chunks array<string>")
+    lists = given.select("text").mapInArrow(_lists(model, "text", buckets), "bucket int, block long, sizes binary, chunks binary")
     tables = lists.groupBy("bucket").applyInArrow(_segmented(model), "block long, bucket int, lens binary, ids binary")
     codes = given.mapInArrow(_codes(model, "id", "text", buckets), f"block long, ids array<{kind}>, lens binary, codes binary, places binary")
     run = _joined(model, to_arrow_type(df.schema[id_col].dataType))
