@@ -1,7 +1,7 @@
 """Operator 2: paragraph dedup by MinHash banding.
 
 A paragraph is a line of at least `MIN_WORDS` words; shorter lines are left alone. Paragraphs of equal
-words, with A-Z in lower case, are one class. A class has a signature of BANDS * ROWS minima over its
+words, with A-Z in lower case, are one class, named by a 64-bit hash of them. A class has a signature of BANDS * ROWS minima over its
 set of five-word shingles; classes that agree in all rows of a band collide. At a Jaccard similarity of
 0.8 all 16 bands miss with chance 0.0002. Colliding classes are verified by their exact Jaccard
 similarity, and components of the links are clusters; the first paragraph of a cluster, by document id
@@ -57,29 +57,64 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
+def _found(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
+    """(row, line, words joined by spaces) of the paragraphs of a batch with a column text."""
+    for row, text in enumerate(batch.column("text")):
+        for line, body in enumerate((text.as_py() or "").split("\n")):
+            found = words(body, lower=True)
+            if len(found) >= MIN_WORDS:
+                yield row, line, b" ".join(found)
+
+
+def _pid(body: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(body) - (1 << 63)
+
+
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = {k: [] for k in ("id", "tie", "line", "pid", "body")}
-        for id_, text, tie in zip(*batch.columns, strict=True):
-            text = text.as_py()
-            if not text:
-                continue
-            for line, body in enumerate(text.split("\n")):
-                found = words(body, lower=True)
-                if len(found) >= MIN_WORDS:
-                    body = b" ".join(found)
-                    for k, v in zip(out, (id_.as_py(), tie.as_py(), line, xxhash.xxh3_128_digest(body), body), strict=True):
-                        out[k].append(v)
-        types = {"id": batch.column(0).type, "tie": pa.int64(), "line": pa.int32(), "pid": pa.binary(), "body": pa.binary()}
-        table = pa.table({k: pa.array(v, types[k]) for k, v in out.items()})
-        yield from table.to_batches(max_chunksize=20_000)
+        rows = [(row, line, _pid(body)) for row, line, body in _found(batch)]
+        at = pa.array([r[0] for r in rows], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("tie").take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["id", "tie", "line", "pid"])
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lot in _lots(batch):
+            own = {_pid(body): body for _, _, body in _found(lot)}
+            yield pa.record_batch({"pid": pa.array(list(own), pa.int64()), "body": pa.array(list(own.values()), pa.binary())})
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [signature(shingles(b.as_py().split())) for b in batch.column("body")]
-        pids = [p for p in batch.column("pid").to_pylist() for _ in range(BANDS)]
-        yield pa.record_batch({"band": pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), "pid": pa.array(pids, pa.binary())})
+        for lot in _lots(batch):
+            own = {_pid(body): body for _, _, body in _found(lot)}
+            keys = [signature(shingles(b.split())) for b in own.values()]
+            yield pa.record_batch({"band": pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), "pid": pa.array(np.repeat(np.fromiter(own, np.int64, len(own)), BANDS))})
+
+
+def _lots(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of some megabytes of text."""
+    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // most
+    cuts = np.flatnonzero(np.diff(size, prepend=-1))
+    for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        yield batch.slice(lo, hi - lo)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by band and pid, those whose band has several pids, with the least of them as a."""
+    last, first, told = None, None, False
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for band, pid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if band != last:
+                last, first, told, before = band, pid, False, pid
+            elif pid != before:
+                if not told:
+                    out.append((band, first, first))
+                    told = True
+                out.append((band, first, pid))
+                before = pid
+        yield pa.record_batch({n: pa.array([o[i] for o in out], pa.int64()) for i, n in enumerate(("band", "a", "pid"))})
 
 
 def _similar(threshold: float):
@@ -102,17 +137,19 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     """(id, tie, line, component, removed) for each paragraph; component is the least class of the cluster."""
     kind = df.schema[id_col].dataType.simpleString()
     given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    told = given.mapInArrow(_paragraphs, f"id {kind}, tie long, line int, pid binary, body binary")
-    bodies = told.select("pid", "body").dropDuplicates(["pid"])
-    banded = bodies.mapInArrow(_banded, "band long, pid binary")
-    shared = banded.groupBy("band").agg(F.min("pid").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = stored(banded.join(shared, "band").select("band", "a", "pid"))
+    told = given.mapInArrow(_paragraphs, f"id {kind}, tie long, line int, pid long")
+    banded = given.select("text").mapInArrow(_banded, "band long, pid long")
+    dealt = banded.repartition("band").sortWithinPartitions("band", "pid")
+    met = stored(dealt.mapInArrow(_shared, "band long, a long, pid long"))
+    # only texts of classes that collide are kept; all others end at this join
+    asked_for = met.select("pid").distinct()
+    bodies = stored(given.select("text").mapInArrow(_bodies, "pid long, body binary").join(asked_for, "pid", "left_semi").dropDuplicates(["pid"]))
     asked = met.select("a", F.col("pid").alias("b")).where("a <> b").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda end, name: bodies.select(F.col("pid").alias(end), F.col("body").alias(name))
         both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").sortWithinPartitions("a").select("a", "b", "x", "y")
-        return stored(both.mapInArrow(_similar(threshold), "a binary, b binary"))
+        return stored(both.mapInArrow(_similar(threshold), "a long, b long"))
 
     links = verified(asked)
     labels = components(links)
@@ -125,7 +162,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     named = told.select("id", "tie", "line", "pid").join(final, "pid", "left").withColumn("component", F.coalesce("component", "pid"))
     place = F.struct(F.col("id").isNull().alias("n"), "id", "tie", "line")
     first = named.groupBy("component").agg(F.min(place).alias("first"))
-    return named.join(first, "component").select("id", "tie", "line", F.hex("component").alias("component"), (place != F.col("first")).alias("removed"))
+    return named.join(first, "component").select("id", "tie", "line", "component", (place != F.col("first")).alias("removed"))
 
 
 def summary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
