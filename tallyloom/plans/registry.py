@@ -1,4 +1,5 @@
 """Registered queries of the ledger engine and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
