@@ -44,11 +44,17 @@ def ingest(spark: SparkSession, found: DataFrame, lake: str, batch: str) -> dict
             sinks.append(placed, f"{lake}/bronze", ["ingestion_batch_id"])
     stored = spark.read.parquet(f"{lake}/bronze").where(F.col("ingestion_batch_id") == batch)
     judged = M.file_rows(stored)
-    sinks.append(judged.where("reason is null").drop("fields", "pii_types", "d", "c", "a", "is_credit"), f"{lake}/silver", ["ingestion_batch_id"])
-    sinks.append(judged.where("reason is not null").select("bronze_id", "ingestion_batch_id", "reason", "raw_content"), f"{lake}/quarantine", ["ingestion_batch_id"])
-    sinks.append(M.file_gold(judged).withColumn("ingestion_batch_id", F.lit(batch)), f"{lake}/gold", ["ingestion_batch_id"])
-    counts = {layer: spark.read.parquet(f"{lake}/{layer}").where(F.col("ingestion_batch_id") == batch).count() for layer in ("bronze", "silver", "quarantine", "gold")}
-    months = M.summaries(spark.read.parquet(f"{lake}/gold"))
+    layers = {
+        "silver": judged.where("reason is null").drop("fields", "pii_types", "d", "c", "a", "is_credit"),
+        "quarantine": judged.where("reason is not null").select("bronze_id", "ingestion_batch_id", "reason", "raw_content"),
+        "gold": M.file_gold(judged).withColumn("ingestion_batch_id", F.lit(batch)),
+    }
+    counts = {"bronze": stored.count()}
+    for layer, rows in layers.items():
+        sinks.append(rows, f"{lake}/{layer}", ["ingestion_batch_id"])
+        # a layer without rows has no files to take a schema from
+        counts[layer] = spark.read.schema(rows.schema).parquet(f"{lake}/{layer}").where(F.col("ingestion_batch_id") == batch).count()
+    months = M.summaries(spark.read.schema(layers["gold"].schema).parquet(f"{lake}/gold"))
     sinks.replace_partitions(months, f"{lake}/summaries", ["period_type", "year_month"])
     sinks.audit(spark, f"{lake}/audit", [("ingest", layer, batch, "ok", n, None, int(1000 * (time.time() - began))) for layer, n in counts.items()])
     return {"status": "ok"} | counts

@@ -28,14 +28,14 @@ def _cells(content: bytes) -> Iterator[tuple[int, int, int, str, bool]]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         texts = []
         if "xl/sharedStrings.xml" in z.namelist():
-            texts = ["".join(t.text or "" for t in si.iter("{*}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iterfind("{*}si")]
+            texts = ["".join(t.text or "" for t in si.iterfind(".//{*}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iterfind("{*}si")]
         sheets = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
         for number, name in sheets:
             for _, el in ET.iterparse(z.open(name)):
                 if el.tag.rpartition("}")[2] != "c":
                     continue
                 kind, v = el.get("t"), el.find("{*}v")
-                text = "".join(t.text or "" for t in el.iter("{*}t")) if kind == "inlineStr" else v.text if v is not None else None
+                text = "".join(t.text or "" for t in el.iterfind(".//{*}t")) if kind == "inlineStr" else v.text if v is not None else None
                 if text is not None and kind == "s":
                     text = texts[int(text)]
                 if text is not None and text.strip():
