@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import components, stored
-from .text import mix64, words
+from .text import mix64, runs, words
 
 SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 20
 BANDS, ROWS = 16, 4
@@ -95,8 +95,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lots(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of some megabytes of text."""
     size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // most
-    cuts = np.flatnonzero(np.diff(size, prepend=-1))
-    for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+    for lo, hi in runs(size):
         yield batch.slice(lo, hi - lo)
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .frames import blocks, parts
-from .text import expand, ragged, squeeze
+from .text import expand, ragged, runs, squeeze
 
 MARK = "▁"
 #: Bytes of text in a block: the documents that share one chunk list.
@@ -106,8 +106,7 @@ def _lists(model: str, text: str, buckets: int) -> Callable:
         cutter = _cutter(model)
         for key, table in blocks(batches, text, BLOCK):
             names, of, _, _, _ = _block(cutter, table.column(text), buckets)
-            bounds = np.flatnonzero(np.diff(of, prepend=-1))
-            for lo, hi in zip(bounds, [*bounds[1:], len(of)], strict=True):
+            for lo, hi in runs(of):
                 data = [c.encode() for c in names[lo:hi]]
                 yield pa.record_batch({"bucket": pa.array([of[lo]], pa.int32()), "block": pa.array([key], pa.int64()), "sizes": pa.array([squeeze(np.fromiter(map(len, data), np.int32, len(data)))], pa.binary()), "chunks": pa.array([zstandard.compress(b"".join(data), 3)], pa.binary())})
 

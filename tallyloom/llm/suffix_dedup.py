@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import blocks, parts
-from .text import expand, mix64, ragged, squeeze
+from .text import expand, mix64, ragged, runs, squeeze
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text in a block (no result depends on it), and of window starts handled at once.
@@ -194,8 +194,7 @@ def _sent(buckets: int, most: int) -> Callable:
             of = (gram[at] % np.uint64(buckets)).astype(np.int32)
             at, of = at[order := np.argsort(of, kind="stable")], of[order]
             id_ = ids[np.searchsorted(bounds, low[at], side="right") - 1]
-            cuts = np.flatnonzero(np.diff(of, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(of)], strict=True):
+            for a, b in runs(of):
                 one = at[a:b]
                 columns = (gram[one], span[one], id_[a:b], low[one].astype(np.int32), (high[one] - low[one]).astype(np.uint8), (place[one] - low[one]).astype(np.uint8))
                 yield pa.record_batch([pa.array([of[a]], pa.int32()), pa.array([block], pa.int64()), *(pa.array([squeeze(c)], pa.binary()) for c in columns)], names=["bucket", "block", "gram", "span", "ids", "low", "wide", "back"])
@@ -267,8 +266,7 @@ def _edges(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             of = (mix64(gram) % np.uint64(buckets)).astype(np.int32)
             at, of = at[order := np.argsort(of, kind="stable")], of[order]
             id_ = ids[np.searchsorted(bounds, low[at], side="right") - 1]
-            cuts = np.flatnonzero(np.diff(of, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(of)], strict=True):
+            for a, b in runs(of):
                 one = at[a:b]
                 body = data[ragged(low[one].astype(np.int64), wide[one].astype(np.int64) + LENGTH)]
                 for n, v in zip(out, (of[a], packed.column("block")[0].as_py(), squeeze(id_[a:b]), squeeze(low[one]), squeeze(wide[one]), squeeze(back[one]), zstandard.compress(body.tobytes(), 1)), strict=True):
@@ -340,8 +338,7 @@ def _decided(table: pa.Table) -> pa.Table:
         rows = row[one][entry]
         starts = low[one][entry] + shift
         by = np.argsort(rows, kind="stable")
-        edges = np.flatnonzero(np.diff(rows[by], prepend=-1))
-        for c, d in zip(edges, [*edges[1:], len(by)], strict=True):
+        for c, d in runs(rows[by]):
             out.setdefault(int(rows[by[c]]), []).append(starts[by[c:d]])
         a = b
     names = table.column("block").to_pylist()

@@ -47,3 +47,9 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lens)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(starts - (ends - lens), lens)
+
+
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of each run of equal values."""
+    cuts = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, len(values)).tolist() if len(values) else []
+    return list(zip([0, *cuts], cuts, strict=False))
