@@ -42,7 +42,7 @@ from .text import expand, mix64, ragged, runs, squeeze
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text in a block (no result depends on it), and of window starts handled at once.
-BLOCK, STEP = (8 << 20) - 1, 1 << 20
+BLOCK, STEP = (4 << 20) - 1, 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LAST = (1 << 63) - 1
@@ -288,8 +288,8 @@ def later_equals(hashes: Hashes, starts: np.ndarray, group: np.ndarray, most: in
     same = np.zeros(len(order), bool)
     pair = np.flatnonzero(group[a] == group[b]) if len(order) else np.zeros(0, np.int64)
     same[pair + 1] = hashes.extension(starts[a[pair]], starts[b[pair]], most) == most
-    for at in range(0, len(order), 1 << 16):
-        some = at + np.flatnonzero(same[at : at + (1 << 16)])
+    for at in range(0, len(order), 1 << 14):
+        some = at + np.flatnonzero(same[at : at + (1 << 14)])
         reach = np.arange(most)
         if (hashes.data[starts[order[some], None] + reach] != hashes.data[starts[order[some - 1], None] + reach]).any():
             seen: set[tuple[int, bytes]] = set()
