@@ -12,6 +12,7 @@ Elias-Fano coded, to each context's successors; the successors as another Elias-
 monotone because each context's first one is lifted above the last of the context before; an 8-bit
 code of log10 p for each successor and of the backoff weight for each context. A query finds its
 context, then searches the successors between that context's two pointers, relative to its lift.
+The places of the zeros among the high parts narrow a search to values of the same high part.
 
     p(w | h) = (c(hw) - D) / c(h)            if hw was trained on
              = a(h) * p(w | h without its first word)    otherwise, a(h) = 1 for an unseen h
@@ -45,7 +46,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .frames import blocks, parts, stored
 from .text import expand, mix64, squeeze, words
 
-FOLDS, HELD_OUT, ORDER = 7, 2, 2
+FOLDS, HELD_OUT, ORDER = 7, 2, 3
 BLOCK = 8 << 20
 #: The end of a text and what stands before its first word; words hold no white space.
 END, BEGIN = b" ", b"\n"
@@ -85,6 +86,7 @@ class EliasFano:
         ones = (values >> self.width).astype(np.int64) + np.arange(n)
         bits = np.zeros((int(ones[-1]) if n else 0) // 64 * 64 + 64, np.uint8)
         bits[ones] = 1
+        self.zeros = self._mapped(f"{folder}/{name}.zeros", np.flatnonzero(bits == 0).astype(np.uint32))
         high = np.packbits(bits, bitorder="little")
         self.low, self.high = (self._mapped(f"{folder}/{name}.{k}", v) for k, v in (("low", low), ("high", high)))
         counts = np.bitwise_count(self.high.view(np.uint64))
@@ -113,9 +115,16 @@ class EliasFano:
         spill = np.where(shift > 0, self.low[cell + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
         return high | (value | spill) & self.mask
 
+    def _below(self, part: np.ndarray) -> np.ndarray:
+        """How many values have a high part less than part: the ones before the zero that ends part - 1."""
+        at = np.minimum(part, np.uint64(len(self.zeros))).astype(np.int64)
+        ended = self.zeros[np.clip(at - 1, 0, max(len(self.zeros) - 1, 0))].astype(np.int64) - (at - 1) if len(self.zeros) else at
+        return np.where(part > np.uint64(len(self.zeros)), self.n, np.where(at > 0, ended, 0))
+
     def successor(self, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The first position in [low, high) with a value of at least wanted, else high."""
-        low, high = low.copy(), high.copy()
+        part = wanted.astype(np.uint64) >> self.width
+        low, high = np.clip(self._below(part), low, high), np.clip(self._below(part + np.uint64(1)), low, high)
         open_ = np.flatnonzero(low < high)
         while len(open_):
             middle = (low[open_] + high[open_]) // 2
@@ -251,6 +260,14 @@ def _documents(buckets: int, most: int) -> Callable:
     return run
 
 
+def _context(words_: list[np.ndarray]) -> np.ndarray:
+    """The key of a context from the ids of its words."""
+    context = np.ones(len(words_[0]), np.uint64)
+    for word in words_:
+        context = mix64(context * np.uint64(0x9E3779B97F4A7C15) + word)
+    return context
+
+
 class _Block:
     """A block's tokens as word ids, with the model's lower levels as far as they are known."""
 
@@ -267,16 +284,24 @@ class _Block:
         self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
         self.place = np.arange(len(own)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
 
-    def grams(self, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(representatives of the distinct n-grams by shard and key, gram of each token, context keys, shard)."""
-        context = np.ones(len(self.ids), np.uint64)
+    def before(self, order: int) -> list[np.ndarray]:
+        """The words before each token, farthest first; 0 stands before a text."""
+        out = []
         for back in range(order - 1, 0, -1):
             word = np.zeros(len(self.ids), np.uint64)
             word[back:] = self.ids[: len(self.ids) - back]
             word[self.place < back] = 0
-            context = mix64(context * np.uint64(0x9E3779B97F4A7C15) + word)
+            out.append(word)
+        return out
+
+    def grams(self, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(representatives of the distinct n-grams by shard and key, gram of each token, context keys, shard)."""
+        context = _context(self.before(order))
         key = mix64(context + mix64(self.ids.astype(np.uint64)))
-        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        by = np.argsort(key)
+        fresh = np.diff(key[by], prepend=~key[by[:1]]) != 0
+        first, of = by[fresh], np.empty(len(by), np.int64)
+        of[by] = np.cumsum(fresh) - 1
         # shards are ranges of context keys, so that one sort by context also sorts by shard
         order_ = np.argsort(context[first], kind="stable")
         shard = (context[first] // np.uint64(-(-(1 << 64) // shards))).astype(np.int32)
@@ -311,10 +336,11 @@ def _asked(order: int, shards: int, n: int, v: int) -> Callable[[pa.Table, pa.Ta
         lower = quantised(block.lowered(order, answers, shards), P_GRID)[first]
         out = {k: [] for k in ("shard", "block", "heads", "sizes", "words", "counts", "lower")}
         _, runs = _bucketed(shard)
+        ids, before = np.uint64 if block.ids.max() >> 32 else np.uint32, block.before(order)
         for s, a, b in runs:
             own = context[first[a:b]]
             head = np.flatnonzero(np.diff(own, prepend=~own[:1]))
-            row = (s, docs.column("block")[0].as_py(), squeeze(own[head]), squeeze(np.diff(np.append(head, b - a)).astype(np.int32)), squeeze(block.ids[first[a:b]].astype(np.uint64 if block.ids.max() >> 32 else np.uint32)), squeeze(counts[a:b]), squeeze(lower[a:b]))
+            row = (s, docs.column("block")[0].as_py(), squeeze(np.concatenate([w[first[a:b][head]] for w in before]).astype(ids)), squeeze(np.diff(np.append(head, b - a)).astype(np.int32)), squeeze(block.ids[first[a:b]].astype(ids)), squeeze(counts[a:b]), squeeze(lower[a:b]))
             for k, x in zip(out, row, strict=True):
                 out[k].append(x)
         kinds = {"shard": pa.int32(), "block": pa.int64()}
@@ -330,16 +356,27 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return expand(data, kind).astype(np.uint64)
 
 
+def _sorted(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """An order by context, then word; ranks of contexts and words of 32 bits make one number to sort."""
+    if word.max(initial=0) >> np.uint64(32):
+        return np.lexsort((word, context))
+    by = np.argsort(context)
+    rank = np.empty(len(by), np.uint64)
+    rank[by] = np.cumsum(np.diff(context[by], prepend=context[by[:1]]) != 0)
+    return np.argsort(rank << np.uint64(32) | word)
+
+
 def _answered(level: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         """Builds a shard's trie level and answers every block's n-grams, in the order in which they were sent."""
         sizes = [expand(x.as_py(), np.int32) for x in table.column("sizes")]
         lens = np.fromiter((s.sum() for s in sizes), np.int64, len(sizes))
-        context = np.concatenate([np.repeat(expand(x.as_py(), np.uint64), s) for x, s in zip(table.column("heads"), sizes, strict=True)])
+        heads = lambda x, n: _context(list(_wide(x.as_py(), (level - 1) * n).reshape(level - 1, n)))
+        context = np.concatenate([np.repeat(heads(x, len(s)), s) for x, s in zip(table.column("heads"), sizes, strict=True)])
         word = np.concatenate([_wide(x.as_py(), int(k)) for x, k in zip(table.column("words"), lens, strict=True)])
         count = np.concatenate([expand(x.as_py(), np.int32) for x in table.column("counts")]).astype(np.int64)
         lower = restored(np.concatenate([expand(x.as_py(), np.uint8) for x in table.column("lower")]), P_GRID)
-        order = np.lexsort((word, context))
+        order = _sorted(context, word)
         fresh = (np.diff(context[order], prepend=~context[order[:1]]) != 0) | (np.diff(word[order], prepend=~word[order[:1]]) != 0)
         group = np.cumsum(fresh) - 1
         total = np.bincount(group, weights=count[order]).astype(np.int64)
@@ -380,11 +417,12 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     n, v = (x or 0 for x in counted.agg(F.sum("n"), F.sum("v")).first())
     columns = {"block": T.LongType(), "docs": T.ArrayType(kind)} | dict.fromkeys(("lens", "train", "codes", "places"), binary)
     docs = given.mapInArrow(_documents(shards, block), T.StructType([T.StructField(*c) for c in columns.items()]))
-    known = counted.select("block", "bucket", "ids", "counts", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("answers"), F.lit(1).alias("level"))
+    # each part of what is known is dealt by block once: the union keeps its parts' partitions and their exchanges are used again
+    known = counted.repartition("block").select("block", "bucket", "ids", "counts", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("answers"), F.lit(1).alias("level"))
     for level in range(2, order + 1):
         asked = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(level, shards, n, v), "shard int, block long, heads binary, sizes binary, words binary, counts binary, lower binary")
         answers = asked.groupBy("shard").applyInArrow(_answered(level), "block long, shard int, answers binary, level int")
-        known = known.unionByName(answers, allowMissingColumns=True)
+        known = known.unionByName(answers.repartition("block"), allowMissingColumns=True)
     done = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         _scored(order, shards, n, v, to_arrow_type(kind)),
         T.StructType([T.StructField("id", kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))]),

@@ -225,6 +225,26 @@ def test_scores(docs, empty, order):
     assert ngram_trie.scores(empty).count() == 0
 
 
+def test_scores_are_those_of_trigrams(spark):
+    # after "a b" always c, after "x b" always d: only a trigram knows which
+    texts = [(i, f"a b c u{i} x b d v{i}") for i in range(40)]
+    df = stored(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    score = lambda f: f.agg(F.sum("score")).first()[0]
+    assert ngram_trie.ORDER == 3
+    assert score(ngram_trie.scores(df)) == score(ngram_trie.scores(df, order=3)) > score(ngram_trie.scores(df, order=2))
+
+
+def test_trie_searches_like_numpy(tmp_path):
+    rng = np.random.default_rng(7)
+    for n, top in ((0, 1), (1, 9), (500, 90), (500, 1 << 40)):
+        values = np.sort(rng.integers(0, top, n).astype(np.uint64))
+        wanted = np.append(rng.integers(0, 2 * top, 300).astype(np.uint64), values)
+        low = rng.integers(0, n + 1, len(wanted))
+        high = rng.integers(low, n + 1)
+        got = ngram_trie.EliasFano(values, str(tmp_path), f"n{n}t{top}").successor(wanted, low, high)
+        assert (got == np.clip(np.searchsorted(values, wanted), low, high)).all()
+
+
 def test_trie_level_answers_like_a_dictionary(tmp_path):
     rng = np.random.default_rng(4)
     context, word = rng.integers(0, 1 << 62, 60, dtype=np.uint64)[rng.integers(0, 60, 900)], rng.integers(1, 80, 900).astype(np.uint64)
