@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import cube_mixing, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup
+from tallyloom.llm import cube_mixing, paragraph_minhash, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup
 from tallyloom.llm.frames import shared_folder
 
 
@@ -21,8 +21,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates (operator 6)."""
-    return simhash_anchors.representatives(docs)
+    """Documents of which no two have a five-word Jaccard similarity of 0.8, one of each group of SimHash near-duplicates (operator 6).
+
+    Such pairs differ in some 10 of 64 bits, beyond operator 6's 4, so they are found by MinHash bands and verified first.
+    """
+    return simhash_anchors.representatives(paragraph_minhash.different(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

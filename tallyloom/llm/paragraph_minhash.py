@@ -57,12 +57,12 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def _found(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
-    """(row, line, words joined by spaces) of the paragraphs of a batch with a column text."""
+def _found(batch: pa.RecordBatch, least: int) -> Iterator[tuple[int, int, bytes]]:
+    """(row, line, words joined by spaces) of the lines of at least so many words of a batch with a column text."""
     for row, text in enumerate(batch.column("text")):
         for line, body in enumerate((text.as_py() or "").split("\n")):
             found = words(body, lower=True)
-            if len(found) >= MIN_WORDS:
+            if len(found) >= least:
                 yield row, line, b" ".join(found)
 
 
@@ -70,26 +70,35 @@ def _pid(body: bytes) -> int:
     return xxhash.xxh3_64_intdigest(body) - (1 << 63)
 
 
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(row, line, _pid(body)) for row, line, body in _found(batch)]
-        at = pa.array([r[0] for r in rows], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("tie").take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["id", "tie", "line", "pid"])
+def _paragraphs(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(row, line, _pid(body)) for row, line, body in _found(batch, least)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("tie").take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["id", "tie", "line", "pid"])
 
+    return run
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lot in _lots(batch):
-            own = {_pid(body): body for _, _, body in _found(lot)}
-            yield pa.record_batch({"pid": pa.array(list(own), pa.int64()), "body": pa.array(list(own.values()), pa.binary())})
 
+def _bodies(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lot in _lots(batch):
+                own = {_pid(body): body for _, _, body in _found(lot, least)}
+                yield pa.record_batch({"pid": pa.array(list(own), pa.int64()), "body": pa.array(list(own.values()), pa.binary())})
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lot in _lots(batch):
-            own = {_pid(body): body for _, _, body in _found(lot)}
-            keys = [signature(shingles(b.split())) for b in own.values()]
-            yield pa.record_batch({"band": pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), "pid": pa.array(np.repeat(np.fromiter(own, np.int64, len(own)), BANDS))})
+    return run
+
+
+def _banded(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lot in _lots(batch):
+                own = {_pid(body): body for _, _, body in _found(lot, least)}
+                keys = [signature(shingles(b.split())) for b in own.values()]
+                yield pa.record_batch({"band": pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), "pid": pa.array(np.repeat(np.fromiter(own, np.int64, len(own)), BANDS))})
+
+    return run
 
 
 def _lots(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -132,17 +141,14 @@ def _similar(threshold: float):
     return run
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, tie, line, component, removed) for each paragraph; component is the least class of the cluster."""
-    kind = df.schema[id_col].dataType.simpleString()
-    given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    told = given.mapInArrow(_paragraphs, f"id {kind}, tie long, line int, pid long")
-    banded = given.select("text").mapInArrow(_banded, "band long, pid long")
+def clusters(given: DataFrame, threshold: float, least: int) -> DataFrame:
+    """(node, root) for each class of the lines of text that has a similar other class; root is the least of its cluster."""
+    banded = given.select("text").mapInArrow(_banded(least), "band long, pid long")
     dealt = banded.repartition("band").sortWithinPartitions("band", "pid")
     met = stored(dealt.mapInArrow(_shared, "band long, a long, pid long"))
     # only texts of classes that collide are kept; all others end at this join
     asked_for = met.select("pid").distinct()
-    bodies = stored(given.select("text").mapInArrow(_bodies, "pid long, body binary").join(asked_for, "pid", "left_semi").dropDuplicates(["pid"]))
+    bodies = stored(given.select("text").mapInArrow(_bodies(least), "pid long, body binary").join(asked_for, "pid", "left_semi").dropDuplicates(["pid"]))
     asked = met.select("a", F.col("pid").alias("b")).where("a <> b").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -157,7 +163,29 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     rest = rooted.join(mixed, "band", "left_semi")
     left, right = rest.select("band", "a", F.col("pid").alias("p"), F.col("root").alias("r")), rest.select("band", F.col("pid").alias("q"), F.col("root").alias("s"))
     across = left.join(right, "band").where("p < q and r <> s and p <> a").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
-    final = components(links.union(verified(across))).withColumnsRenamed({"node": "pid", "root": "component"})
+    return components(links.union(verified(across)))
+
+
+def different(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df without documents similar to another, by links of whole documents: of each cluster the least id stays, null last.
+
+    A document of any length is one paragraph here. Repeated rows of the id and text that stay are all kept.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    given = df.select(F.col(id_col).alias("id"), F.translate(F.col(text_col), "\n", " ").alias("text"), F.xxhash64(id_col, text_col).alias("tie"))
+    told = given.mapInArrow(_paragraphs(0), f"id {kind}, tie long, line int, pid long")
+    named = told.join(clusters(given, threshold, 0).withColumnRenamed("node", "pid"), "pid", "left")
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "tie")).alias("first")
+    chosen = stored(named.groupBy(F.coalesce("root", "pid").alias("root")).agg(first).select(F.col("first")["tie"].alias("tie")))
+    return df.withColumn("_tie", F.xxhash64(id_col, text_col)).join(chosen, F.col("_tie") == F.col("tie"), "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, tie, line, component, removed) for each paragraph; component is the least class of the cluster."""
+    kind = df.schema[id_col].dataType.simpleString()
+    given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    told = given.mapInArrow(_paragraphs(MIN_WORDS), f"id {kind}, tie long, line int, pid long")
+    final = clusters(given, threshold, MIN_WORDS).withColumnsRenamed({"node": "pid", "root": "component"})
     named = told.select("id", "tie", "line", "pid").join(final, "pid", "left").withColumn("component", F.coalesce("component", "pid"))
     place = F.struct(F.col("id").isNull().alias("n"), "id", "tie", "line")
     first = named.groupBy("component").agg(F.min(place).alias("first"))

@@ -274,6 +274,29 @@ def test_paragraphs(spark, empty):
     assert paragraph_minhash.summary(empty).count() == 0
 
 
+def test_near_dedup_leaves_no_similar_pair(spark, docs, empty):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    rows, sets = [], []
+    for i in range(12):
+        base = [f"t{x}" for x in rng.integers(0, 5000, 200)]
+        near = list(base)
+        for k in range(3):
+            near[20 + 60 * k] = "other"
+        rows += [(2 * i, "\n".join(base)), (2 * i + 1, " ".join(near))]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 24, 2))
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    for r in kept.collect():
+        w = WORD.findall(low(r["text"]))
+        mine = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        assert not any(len(mine & x) >= 0.8 * len(mine | x) for x in sets)
+        sets.append(mine)
+    assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 10), (7, 7), (5, None)] + [(100, 100 + i) for i in range(1, 50)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
