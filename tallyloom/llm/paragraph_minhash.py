@@ -1,6 +1,6 @@
 """Operator 2: paragraph dedup by MinHash banding.
 
-A paragraph is a line of at least `MIN_WORDS` words; shorter lines are left alone. Paragraphs of equal
+A paragraph is a line of at least `MIN_WORDS` words, those of a shingle; shorter lines are left alone. Paragraphs of equal
 words, with A-Z in lower case, are one class, named by a 64-bit hash of them. A class has a signature of BANDS * ROWS minima over its
 set of five-word shingles; classes that agree in all rows of a band collide. At a Jaccard similarity of
 0.8 all 16 bands miss with chance 0.0002. Colliding classes are verified by their exact Jaccard
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .frames import components, stored
 from .text import mix64, runs, words
 
-SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 20
+SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 5
 BANDS, ROWS = 16, 4
 _SALTS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 

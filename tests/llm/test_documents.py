@@ -274,6 +274,12 @@ def test_paragraphs(spark, empty):
     assert paragraph_minhash.summary(empty).count() == 0
 
 
+def test_short_paragraphs_are_removed(spark):
+    rows = [(i, f"One line that has just nine words, no more\nfive words of text {i}\nhas four words only") for i in range(6)]
+    got = paragraph_minhash.summary(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(got.select("doc_id", "n_paragraphs", "n_removed")) == [(i, 2, int(i > 0)) for i in range(6)]
+
+
 def test_near_dedup_leaves_no_similar_pair(spark, docs, empty):
     import corpus_pipeline
 
