@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,20 +13,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more than 1 / HUBS of all rows is hot; there are fewer than HUBS such keys.
+HUBS = 10_000
+#: Bytes of text for each bucket that gathers something from all blocks.
+BUCKET = 64 << 20
+
 
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(df: DataFrame, text_col: str) -> int:
+    """How many buckets share what all blocks of a table send: one for BUCKET bytes of text, 4 for each shuffle partition at least."""
+    total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(4 * parts(df.sparkSession), -(-total // BUCKET))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which driver and executors share.
 
-    It is spark.checkpoint.dir; where that is unset (tests on one machine) a temporary folder.
+    It is spark.checkpoint.dir; where that is unset a temporary folder, on one machine only (tests).
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        told = context.getConf().get("spark.checkpoint.dir")
+        if not told and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(told or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -35,12 +50,42 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def blocks(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[tuple[int, pa.Table]]:
+class Tables:
+    """Tables of steps that follow each other, in a folder of their own in the shared one; drop() ends those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.names = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}", []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.names.append(f"{self.folder}/{len(self.names)}")
+        df.write.parquet(self.names[-1])
+        return self.spark.read.schema(df.schema).parquet(self.names[-1])
+
+    def drop(self, but: int = 1) -> None:
+        """Deletes all tables but the last ones."""
+        for i, name in enumerate(self.names[: len(self.names) - but]):
+            if name:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self.names[i] = ""
+
+
+def _digest(digest: xxhash.xxh3_64, column: pa.Array) -> None:
+    """Feeds all lengths and bytes of a text column, null as empty."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    digest.update(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).tobytes())
+    _, offsets, data = column.buffers()
+    if data is not None and len(column):
+        ends = np.frombuffer(offsets, np.int64 if wide else np.int32)
+        digest.update(memoryview(data)[int(ends[column.offset]) : int(ends[column.offset + len(column)])])
+
+
+def blocks(batches: Iterable[pa.RecordBatch], text: str, most: int, also: str | None = None) -> Iterator[tuple[int, pa.Table]]:
     """The rows of a task in blocks of about `most` bytes of text, each with a key.
 
-    A single longer row is a block of its own. The key hashes the place of the block and its
-    texts, so that a job that meets the blocks twice sees at once if the second pass was dealt
-    other rows.
+    A single longer row is a block of its own. The key hashes the place of the block, its whole
+    texts and, on request, another column, so that a job that meets the blocks twice sees at once
+    if the second pass was dealt other rows.
     """
     part, count = TaskContext.get().partitionId(), 0
     held: list[pa.RecordBatch] = []
@@ -51,8 +96,9 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[
         table = pa.Table.from_batches(held)
         digest = xxhash.xxh3_64(f"{part} {count} {table.num_rows}")
         for chunk in table.column(text).chunks:
-            for buffer in (chunk.slice(0, 1), chunk.slice(len(chunk) - 1, 1)) if len(chunk) else ():
-                digest.update(buffer[0].as_py() or "")
+            _digest(digest, chunk)
+        for chunk in table.column(also).chunks if also else ():
+            _digest(digest, chunk.cast(pa.string()))
         held, size, count = [], 0, count + 1
         return np.uint64(digest.intdigest()).astype(np.int64).item(), table
 
@@ -77,25 +123,41 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[
         yield close()
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """The inner join of rows to table, which has one row a key with the number n of its rows, without gathering a hot key.
+
+    Of `total` rows fewer than HUBS keys can have more than total / HUBS each. Those rows of table, a
+    number bounded by HUBS, are broadcast, so that rows of a hot key stay where they are; all other
+    keys are met by a shuffle, total / HUBS rows a key at most. n is dropped.
+    """
+    hot = F.col("n") > F.lit(total / HUBS)
+    few = F.broadcast(table.where(hot).drop("n"))
+    rest = rows.join(few.select(key), key, "left_anti").join(table.where(~hot).drop("n"), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) a node, root the least node.
 
-    Alternates the large-star and small-star steps until nothing changes: every step is two
-    aggregations with map-side combine and a join, so hubs do not gather in one task. Each
-    round is stored; only a count and a checksum come to the driver. Loops and null ends are
-    dropped, repeated edges are one.
+    Alternates the large-star and small-star steps until nothing changes: every step is an
+    aggregation with map-side combine and a join that leaves the edges of a hub where they are.
+    Each round is a table of the shared folder, dropped when the next is there; only a count and a
+    checksum come to the driver. Loops and null ends are dropped, repeated edges are one.
     """
-    least = lambda df: df.groupBy("u").agg(F.min("v").alias("m"))
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    mark = None
+    tables = Tables(edges.sparkSession)
+    now = tables.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    told = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    least = lambda df: df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    mark = told(now)
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        lows = least(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both.where("v > u"), lows, "u", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         lows = least(large)
-        small = large.join(lows, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.union(lows.select("u", F.col("m").alias("v"))).distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = spread_join(large, lows, "u", 2 * mark[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = tables.put(small.union(lows.select("u", F.col("m").alias("v"))).distinct())
+        tables.drop()
+        seen = told(now)
         if seen == mark:
             break
         mark = seen

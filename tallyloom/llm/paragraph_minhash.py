@@ -1,81 +1,103 @@
 """Operator 2: paragraph dedup by MinHash banding.
 
-A paragraph is a line of at least `MIN_WORDS` words, those of a shingle; shorter lines are left alone. Paragraphs of equal
-words, with A-Z in lower case, are one class, named by a 64-bit hash of them. A class has a signature of BANDS * ROWS minima over its
-set of five-word shingles; classes that agree in all rows of a band collide. At a Jaccard similarity of
-0.8 all 16 bands miss with chance 0.0002. Colliding classes are verified by their exact Jaccard
-similarity, and components of the links are clusters; the first paragraph of a cluster, by document id
-and line, stays and all others are removed.
-
-Collisions of a band are verified against the least class first, one pair for each member. After
-that only pairs of the same band in different components are left; they are verified too, so no link is
-lost, while a group of near copies, connected by then, costs pairs in proportion to its size.
+A paragraph is a line of at least `min_words` words, by default those of a shingle; shorter lines are left
+alone. Paragraphs of equal words, with A-Z in lower case, are one class, named by a 64-bit hash of them. A
+class has a signature of BANDS * ROWS minima over its set of five-word shingles (a line shorter than that
+is one shingle, so only its exact copies are similar); classes that agree in all rows of a band
+collide. At a Jaccard similarity of 0.8 all 16 bands miss with chance 0.0002. Colliding classes are
+verified by their exact Jaccard similarity, and components of the links are clusters; the first
+paragraph of a cluster, by document id and line, stays and all others are removed.
+
+A lot of texts sends one class for each band, its least; the others of the lot collide with that one there, so
+a band that a third of all paragraphs share is a row a lot. What collides is a star of stars, and
+its pairs are verified first. After that only pairs in different components are left. Bands whose
+members are all connected need none of them; for the members of other bands a prefix filter finds
+the pairs: of two sets with a similarity of t or more, one of the 1 - t rarest shingles of
+the one is among those of the other. So no link is lost, and no band is joined with itself.
 
 Defined results: null and empty texts have no paragraphs; null ids come last in the order; rows
-of one id are ordered by a hash of their text; repeated rows lose all but the first copy of
-their paragraphs; an empty table gives an empty result; extra columns are ignored.
+of one id are ordered by a hash of their text; of rows equal in id and text one comes first and all
+others lose all their paragraphs; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import components, stored
-from .text import mix64, runs, words
+from .frames import buckets, components, spread_join, stored
+from .text import mix64, ragged, runs, words
 
-SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 5
+SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-_SALTS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+#: Bytes of text that are handled at once.
+LOT = 4 << 20
+_FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingles(found: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """The sorted set of hashes of a paragraph's shingles; fewer words than a shingle are one."""
-    if len(found) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found))], np.uint64)
-    one = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    key = one[: len(one) - size + 1]
+def shingles(bodies: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the shingles of each body of words, end to end; fewer words than a shingle are one. Repeats are included."""
+    found = [b.split() for b in bodies]
+    lens = np.fromiter(map(len, found), np.int64, len(found))
+    one = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in found for w in ws), np.uint64, int(lens.sum()))
+    key = one[: max(len(one) - size + 1, 0)]
     for i in range(1, size):
-        key = mix64(key) + one[i : len(one) - size + 1 + i]
-    return np.unique(mix64(key))
-
-
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band: the hash of its minima and its number."""
-    least = np.full(len(_SALTS), ~np.uint64(0))
-    for at in range(0, len(hashes), 1024):
-        least = np.minimum(least, mix64(hashes[None, at : at + 1024] ^ _SALTS[:, None]).min(1))
-    rows = least.reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
-        key = mix64(key * np.uint64(31) + rows[:, i])
+        key = mix64(key) + one[i : len(key) + i]
+    key = mix64(key)
+    count = np.maximum(lens - size + 1, 1)
+    starts = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), np.uint64)
+    short = lens < size
+    out[ragged(starts[~short], count[~short])] = key[ragged((np.cumsum(lens) - lens)[~short], count[~short])]
+    out[starts[short]] = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(found[i])) for i in np.flatnonzero(short)), np.uint64, int(short.sum()))
+    return out, starts
+
+
+def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """An array (sets, BANDS) of the band keys of sets of hashes: each the hash of its minima and its number."""
+    key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(starts), axis=0)
+    for i in range(BANDS * ROWS):
+        band = i // ROWS
+        key[:, band] = mix64(key[:, band] * np.uint64(31) + np.minimum.reduceat(hashes * _FACTORS[i], starts))
     return key
 
 
-def _found(batch: pa.RecordBatch, least: int) -> Iterator[tuple[int, int, bytes]]:
-    """(row, line, words joined by spaces) of the lines of at least so many words of a batch with a column text."""
-    for row, text in enumerate(batch.column("text")):
-        for line, body in enumerate((text.as_py() or "").split("\n")):
-            found = words(body, lower=True)
-            if len(found) >= least:
-                yield row, line, b" ".join(found)
+def _lots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of some megabytes of text."""
+    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // LOT
+    for lo, hi in runs(size):
+        yield batch.slice(lo, hi - lo)
+
+
+def _found(text: str | None, least: int) -> Iterator[tuple[int, bytes]]:
+    """(line, words joined by spaces) of the lines of at least so many words."""
+    for line, body in enumerate((text or "").split("\n")):
+        found = words(body, lower=True)
+        if len(found) >= least:
+            yield line, b" ".join(found)
 
 
 def _pid(body: bytes) -> int:
     return xxhash.xxh3_64_intdigest(body) - (1 << 63)
 
 
+def _classes(batch: pa.RecordBatch, least: int) -> dict[int, bytes]:
+    return {_pid(body): body for text in batch.column("text") for _, body in _found(text.as_py(), least)}
+
+
 def _paragraphs(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with the lines and classes of their paragraphs in place of the text."""
         for batch in batches:
-            rows = [(row, line, _pid(body)) for row, line, body in _found(batch, least)]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("tie").take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["id", "tie", "line", "pid"])
+            own = [list(_found(t.as_py(), least)) for t in batch.column("text")]
+            lines, pids = [[n for n, _ in o] for o in own], [[_pid(b) for _, b in o] for o in own]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "tie", "at")), pa.array(lines, pa.list_(pa.int32())), pa.array(pids, pa.list_(pa.int64()))], names=["id", "tie", "at", "lines", "pids"])
 
     return run
 
@@ -84,121 +106,183 @@ def _bodies(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lot in _lots(batch):
-                own = {_pid(body): body for _, _, body in _found(lot, least)}
+                own = _classes(lot, least)
                 yield pa.record_batch({"pid": pa.array(list(own), pa.int64()), "body": pa.array(list(own.values()), pa.binary())})
 
     return run
 
 
-def _banded(least: int):
+def _stars(band: np.ndarray, pid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(band, least pid of the band, pid) of rows without repeats, sorted by band and pid."""
+    order = np.lexsort((pid, band))
+    band, pid = band[order], pid[order]
+    fresh = (np.diff(band, prepend=~band[:1]) != 0) | (np.diff(pid, prepend=~pid[:1]) != 0)
+    band, pid = band[fresh], pid[fresh]
+    head = np.flatnonzero(np.diff(band, prepend=~band[:1]))
+    return band, np.repeat(pid[head], np.diff(np.append(head, len(band)))), pid
+
+
+def _banded(least: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By bucket: the least class of each band of a lot (by the band), and the others with the one that they meet (by themselves)."""
         for batch in batches:
             for lot in _lots(batch):
-                own = {_pid(body): body for _, _, body in _found(lot, least)}
-                keys = [signature(shingles(b.split())) for b in own.values()]
-                yield pa.record_batch({"band": pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), "pid": pa.array(np.repeat(np.fromiter(own, np.int64, len(own)), BANDS))})
+                own = _classes(lot, least)
+                if not own:
+                    continue
+                keys = signatures(*shingles(list(own.values()))).view(np.int64).reshape(-1)
+                band, first, pid = _stars(keys, np.repeat(np.fromiter(own, np.int64, len(own)), BANDS))
+                met = first != pid
+                of = np.where(met, pid, band).view(np.uint64) % np.uint64(n)
+                order = np.argsort(of, kind="stable")
+                for lo, hi in runs(of[order]):
+                    one = order[lo:hi]
+                    columns = (x[one].tobytes() for x in (band, first, pid))
+                    yield pa.record_batch([pa.array([int(of[order[lo]])], pa.int32()), *(pa.array([c], pa.binary()) for c in columns)], names=["bucket", "band", "a", "pid"])
 
     return run
 
 
-def _lots(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of some megabytes of text."""
-    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // most
-    for lo, hi in runs(size):
-        yield batch.slice(lo, hi - lo)
+def _shared(table: pa.Table) -> pa.Table:
+    """Of a bucket: stars of the classes that lots sent for a band, and what met within a lot as it is."""
+    band, a, pid = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("band", "a", "pid"))
+    met = a != pid
+    stars = _stars(band[~met], pid[~met])
+    some = stars[1] != stars[2]
+    return pa.table({n: pa.array(np.concatenate([x[met], y[some]])) for n, x, y in zip(("band", "a", "pid"), (band, a, pid), stars, strict=True)})
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by band and pid, those whose band has several pids, with the least of them as a."""
-    last, first, told = None, None, False
-    for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for band, pid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if band != last:
-                last, first, told, before = band, pid, False, pid
-            elif pid != before:
-                if not told:
-                    out.append((band, first, first))
-                    told = True
-                out.append((band, first, pid))
-                before = pid
-        yield pa.record_batch({n: pa.array([o[i] for o in out], pa.int64()) for i, n in enumerate(("band", "a", "pid"))})
+def _sets(bodies: list[bytes]) -> list[np.ndarray]:
+    """The sorted set of shingle hashes of each body."""
+    hashes, starts = shingles(bodies)
+    return [np.unique(s) for s in np.split(hashes, starts[1:])] if bodies else []
 
 
 def _similar(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, one = [], None, None
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x = x.as_py()
-                if x != last:
-                    last, one = x, shingles(x.split())
-                two = shingles(y.as_py().split())
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(both >= threshold * (len(one) + len(two) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                left = some.column("x").dictionary_encode()
+                xs, ys = _sets(left.dictionary.to_pylist()), _sets(some.column("y").to_pylist())
+                keep = []
+                for i, y in zip(left.indices.to_pylist(), ys, strict=True):
+                    x = xs[i]
+                    small, large = (x, y) if len(x) < len(y) else (y, x)
+                    both = 0
+                    if len(small) >= threshold * len(large):
+                        at = np.searchsorted(large, small)
+                        both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                    keep.append(both >= threshold * (len(x) + len(y) - both))
+                yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pid, root, size, shingle) for each shingle of the set of (pid, root, body)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            some = batch.slice(lo, 256)
+            sets = _sets(some.column("body").to_pylist())
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            same = lambda c: pa.array(np.repeat(some.column(c).to_numpy(), size))  # noqa: E731, B023
+            yield pa.record_batch({"pid": same("pid"), "root": same("root"), "size": pa.array(np.repeat(size, size)), "shingle": pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))})
+
+
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of sets (pid, root, body) of different roots that can have a similarity of at least threshold.
+
+    Sets are sorted by how many sets hold a shingle. If two share less than their first size - threshold * size + 1
+    shingles, they can't share threshold of the larger.
+    """
+    each = stored(sets.mapInArrow(_exploded, "pid long, root long, size long, shingle long"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy(F.coalesce("sets", F.lit(1)), "shingle"))
+    needed = F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9))
+    first = each.join(often, "shingle", "left").withColumn("nth", rank).where(F.col("nth") <= F.col("size") - needed + 1).where("sets is not null")
+    left = first.select("shingle", F.col("pid").alias("a"), F.col("root").alias("r"), F.col("size").alias("m"))
+    right = first.select("shingle", F.col("pid").alias("b"), F.col("root").alias("s"), F.col("size").alias("n"))
+    near = (F.col("m") >= F.lit(threshold) * F.col("n") - 1e-9) & (F.col("n") >= F.lit(threshold) * F.col("m") - 1e-9)
+    return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("r") != F.col("s")) & near).select("a", "b").distinct()
+
+
 def clusters(given: DataFrame, threshold: float, least: int) -> DataFrame:
     """(node, root) for each class of the lines of text that has a similar other class; root is the least of its cluster."""
-    banded = given.select("text").mapInArrow(_banded(least), "band long, pid long")
-    dealt = banded.repartition("band").sortWithinPartitions("band", "pid")
-    met = stored(dealt.mapInArrow(_shared, "band long, a long, pid long"))
+    if not 0 < threshold <= 1 or math.isclose(threshold, 0):
+        raise ValueError("a similarity is above 0 and at most 1")
+    n = buckets(given, "text")
+    sent = given.select("text").mapInArrow(_banded(least, n), "bucket int, band binary, a binary, pid binary")
+    met = stored(sent.groupBy("bucket").applyInArrow(_shared, "band long, a long, pid long"))
+    members = met.select("band", "pid").union(met.select("band", F.col("a").alias("pid"))).distinct()
     # only texts of classes that collide are kept; all others end at this join
-    asked_for = met.select("pid").distinct()
+    asked_for = members.select("pid").distinct()
     bodies = stored(given.select("text").mapInArrow(_bodies(least), "pid long, body binary").join(asked_for, "pid", "left_semi").dropDuplicates(["pid"]))
-    asked = met.select("a", F.col("pid").alias("b")).where("a <> b").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda end, name: bodies.select(F.col("pid").alias(end), F.col("body").alias(name))
-        both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").sortWithinPartitions("a").select("a", "b", "x", "y")
+        both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
         return stored(both.mapInArrow(_similar(threshold), "a long, b long"))
 
-    links = verified(asked)
+    links = verified(met.select("a", F.col("pid").alias("b")).distinct())
     labels = components(links)
-    rooted = stored(met.join(labels.withColumnsRenamed({"node": "pid"}), "pid", "left").select("band", "a", "pid", F.coalesce("root", "pid").alias("root")))
+    rooted = stored(members.join(labels.withColumnsRenamed({"node": "pid"}), "pid", "left").select("band", "pid", F.coalesce("root", "pid").alias("root")))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    rest = rooted.join(mixed, "band", "left_semi")
-    left, right = rest.select("band", "a", F.col("pid").alias("p"), F.col("root").alias("r")), rest.select("band", F.col("pid").alias("q"), F.col("root").alias("s"))
-    across = left.join(right, "band").where("p < q and r <> s and p <> a").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
+    rest = rooted.join(mixed, "band", "left_semi").select("pid", "root").distinct()
+    across = prefix_pairs(bodies.join(rest, "pid").select("pid", "root", "body"), threshold)
     return components(links.union(verified(across)))
 
 
+def _given(df: DataFrame, id_col: str, text, *tied: str) -> DataFrame:
+    """(id, text, tie, at): tie hashes some columns; at names the row."""
+    return df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(*tied).alias("tie"), F.monotonically_increasing_id().alias("at"))
+
+
+def _told(given: DataFrame, least: int) -> DataFrame:
+    """(id, tie, at, lines, pids) of all rows, stored: at names a row from here on."""
+    kind = given.schema["id"].dataType.simpleString()
+    return stored(given.mapInArrow(_paragraphs(least), f"id {kind}, tie long, at long, lines array<int>, pids array<long>"))
+
+
 def different(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df without documents similar to another, by links of whole documents: of each cluster the least id stays, null last.
 
     A document of any length is one paragraph here. Repeated rows of the id and text that stay are all kept.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    given = df.select(F.col(id_col).alias("id"), F.translate(F.col(text_col), "\n", " ").alias("text"), F.xxhash64(id_col, text_col).alias("tie"))
-    told = given.mapInArrow(_paragraphs(0), f"id {kind}, tie long, line int, pid long")
+    given = _given(df, id_col, F.translate(F.col(text_col), "\n", " "), id_col, text_col)
+    told = _told(given, 0).select("id", "tie", F.col("pids")[0].alias("pid"))
     named = told.join(clusters(given, threshold, 0).withColumnRenamed("node", "pid"), "pid", "left")
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "tie")).alias("first")
     chosen = stored(named.groupBy(F.coalesce("root", "pid").alias("root")).agg(first).select(F.col("first")["tie"].alias("tie")))
-    return df.withColumn("_tie", F.xxhash64(id_col, text_col)).join(chosen, F.col("_tie") == F.col("tie"), "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    return df.select(row, F.xxhash64(id_col, text_col).alias("tie")).join(chosen, "tie", "left_semi").select("row.*")
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, tie, line, component, removed) for each paragraph; component is the least class of the cluster."""
-    kind = df.schema[id_col].dataType.simpleString()
-    given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    told = given.mapInArrow(_paragraphs(MIN_WORDS), f"id {kind}, tie long, line int, pid long")
-    final = clusters(given, threshold, MIN_WORDS).withColumnsRenamed({"node": "pid", "root": "component"})
-    named = told.select("id", "tie", "line", "pid").join(final, "pid", "left").withColumn("component", F.coalesce("component", "pid"))
+def _removed(told: DataFrame, final: DataFrame) -> DataFrame:
+    """(id, tie, line, component, removed) of the paragraphs of told; rows equal in id and tie are one."""
+    lines = told.select("id", "tie", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("pids").alias("pid")))).toDF("id", "tie", "line", "pid")
+    named = stored(lines.join(final.toDF("pid", "component"), "pid", "left").select("id", "tie", "line", F.coalesce("component", "pid").alias("component")))
     place = F.struct(F.col("id").isNull().alias("n"), "id", "tie", "line")
-    first = named.groupBy("component").agg(F.min(place).alias("first"))
-    return named.join(first, "component").select("id", "tie", "line", "component", (place != F.col("first")).alias("removed"))
-
-
-def summary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id_col, n_paragraphs, n_removed, removed_lines) for each row of df, counted within its id and text."""
-    judged = removals(df, id_col, text_col, threshold)
-    per = judged.groupBy("id", "tie").agg(F.count("*").alias("n_paragraphs"), F.count_if("removed").alias("n_removed"), F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed_lines"))
-    rows = df.select(F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_tie"))
-    back = rows.join(per, rows.row_id.eqNullSafe(per.id) & (rows.row_tie == per.tie), "left")
-    return back.select(F.col("row_id").alias(id_col), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
+    first = named.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    return spread_join(named, first, "component", named.count()).select("id", "tie", "line", "component", (place != F.col("first")).alias("removed"))
+
+
+def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = SHINGLE) -> DataFrame:
+    """(id, tie, line, component, removed) for each paragraph of the distinct rows of df; tie hashes the text, component is the least class of the cluster."""
+    given = _given(df, id_col, F.col(text_col), text_col)
+    return _removed(_told(given, min_words), clusters(given, threshold, min_words)).distinct()
+
+
+def summary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = SHINGLE) -> DataFrame:
+    """(id_col, n_paragraphs, n_removed, removed_lines) for each row of df."""
+    given = _given(df, id_col, F.col(text_col), text_col)
+    told = _told(given, min_words)
+    judged = _removed(told, clusters(given, threshold, min_words)).where("removed")
+    gone = judged.groupBy("id", "tie").agg(F.sort_array(F.collect_set("line")).alias("gone")).toDF("i", "t", "gone")
+    again = told.groupBy("id", "tie").agg(F.min("at").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("j"), F.col("tie").alias("u"), "least")
+    met = told.join(gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")), "left").join(again, F.col("id").eqNullSafe(F.col("j")) & (F.col("tie") == F.col("u")), "left")
+    lines = F.when(F.col("at") > F.col("least"), F.col("lines")).otherwise(F.coalesce("gone", F.array().cast("array<int>")))
+    return met.select(F.col("id").alias(id_col), F.size("lines").cast("long").alias("n_paragraphs"), F.size(lines).cast("long").alias("n_removed"), lines.alias("removed_lines"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,21 +263,77 @@ def test_trie_level_answers_like_a_dictionary(tmp_path):
     assert (level.answer(np.array([5], np.uint64), np.array([1], np.uint64)) == ngram_trie.NO_CONTEXT).all()
 
 
+def paragraph_brute(rows, least=5):
+    """(id, paragraphs, removed lines) of each row: classes of similar lines, the first by id, text hash and line stays."""
+    found = []
+    for k, (i, t) in enumerate(rows):
+        for line, body in enumerate((t or "").split("\n")):
+            w = WORD.findall(low(body))
+            if len(w) >= least:
+                found.append((k, line, frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))))
+    root = list(range(len(found)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for x in range(len(found)):
+        for y in range(x):
+            both = len(found[x][2] & found[y][2])
+            if both >= 0.8 * (len(found[x][2]) + len(found[y][2]) - both):
+                root[find(x)] = find(y)
+    return found, [find(x) for x in range(len(found))]
+
+
 def test_paragraphs(spark, empty):
     rng = np.random.default_rng(6)
-    base = [f"t{x}" for x in rng.integers(0, 5000, 120)]
-    near = base[:60] + ["other"] + base[61:]
-    rows = [(1, " ".join(base)), (2, "intro\n" + " ".join(near)), (3, " ".join(base[::-1])), (None, " ".join(base)), (4, None), (5, "short line\nshort line"), (1, " ".join(base))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((tuple(r) for r in paragraph_minhash.summary(df).select("doc_id", "n_removed").distinct().collect()), key=repr)
-    assert (2, 1) in got and (3, 0) in got and (None, 1) in got and (4, 0) in got and (5, 0) in got
-    assert paragraph_minhash.summary(empty).count() == 0
+    body = lambda n: [f"t{x}" for x in rng.integers(0, 5000, n)]
+    rows, frame = [], body(40)
+    for i in range(60):
+        base = body(rng.integers(5, 90))
+        lines = [base]
+        for _ in range(rng.integers(0, 4)):
+            near = list(base)
+            near[rng.integers(len(near))] = f"other{i}"
+            lines.append(near)
+        # lines with much, but not enough, in common
+        lines.append(frame[: rng.integers(20, 40)] + body(12))
+        lines.append(["Short", "line"])
+        rows.append((i % 50 if i % 7 else None, "\n".join(" ".join(x) for x in lines)))
+    rows += [(70, None), (71, ""), (72, "\n \n"), (73, rows[3][1]), (74, rows[3][1].upper()), (75, "five words of a text"), (75, "five words of a text"), (76, "Five words of a text\nfive words of a text"), (77, " ".join(body(20000)))]
+    rows += [(80, "p q r s t u"), (80, "p q r s t u"), (81, "p q r s t u")]
+    df = stored(spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.lit(1)).withColumn("id", F.lit("x")).repartition(3))
+    found, root = paragraph_brute(rows)
+    ties = {(r["doc_id"], r["text"]): r["t"] for r in df.select("doc_id", "text", F.xxhash64("text").alias("t")).collect()}
+    order = sorted(range(len(found)), key=lambda x: (rows[found[x][0]][0] is None, rows[found[x][0]][0] or 0, ties[rows[found[x][0]]], found[x][0], found[x][1]))
+    first = {}
+    for x in order:
+        first.setdefault(root[x], x)
+    want = [[i, 0, []] for i, _ in rows]
+    for x, (k, line, _) in enumerate(found):
+        want[k][1] += 1
+        want[k][2] += [line] if first[root[x]] != x else []
+    got = paragraph_minhash.summary(df)
+    assert rows_of(got.select("doc_id", "n_paragraphs", "removed_lines")) == sorted(map(tuple, want), key=repr)
+    assert got.where("n_removed <> size(removed_lines)").count() == 0
+    assert paragraph_minhash.summary(empty).count() == 0 == paragraph_minhash.removals(empty).count()
 
 
 def test_short_paragraphs_are_removed(spark):
     rows = [(i, f"One line that has just nine words, no more\nfive words of text {i}\nhas four words only") for i in range(6)]
-    got = paragraph_minhash.summary(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert rows_of(got.select("doc_id", "n_paragraphs", "n_removed")) == [(i, 2, int(i > 0)) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(paragraph_minhash.summary(df).select("doc_id", "n_paragraphs", "n_removed")) == [(i, 2, int(i > 0)) for i in range(6)]
+    assert rows_of(paragraph_minhash.summary(df, min_words=1).select("doc_id", "n_paragraphs", "n_removed")) == [(i, 3, 2 * int(i > 0)) for i in range(6)]
+
+
+def test_prefix_pairs_lose_nothing(spark):
+    rng = np.random.default_rng(3)
+    pool = [f"w{x}" for x in range(60)]
+    bodies = [" ".join(pool[j] for j in sorted(rng.choice(60, rng.integers(30, 58), replace=False))) for _ in range(120)]
+    sets = spark.createDataFrame([(i, i, b.encode()) for i, b in enumerate(bodies)], "pid long, root long, body binary")
+    got = {tuple(r) for r in paragraph_minhash.prefix_pairs(sets, 0.6).collect()}
+    grams = [set(zip(*(b.split()[k:] for k in range(5)), strict=False)) for b in bodies]
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if len(grams[i] & grams[j]) >= 0.6 * len(grams[i] | grams[j])}
+    assert want and want <= got
 
 
 def test_near_dedup_leaves_no_similar_pair(spark, docs, empty):

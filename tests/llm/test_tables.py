@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import ORACLES, QUERIES, chat_rotation, itq_neighbors, url_lists
+from tallyloom.llm.frames import stored
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,6 +33,71 @@ def test_vectors(spark):
     assert itq_neighbors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def planted(rng, n, size, low=0.9, high=0.95):
+    a = rng.standard_normal((n, size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    off = rng.standard_normal((n, size))
+    off -= (off * a).sum(1, keepdims=True) * a
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (n, 1))
+    return np.concatenate([a, c * a + np.sqrt(1 - c * c) * off])
+
+
+@pytest.mark.parametrize("around", [0.0, 0.25])
+def test_recall_near_the_threshold(spark, around):
+    """Vectors of three lengths in one table; around: how far all of a length point one way."""
+    rng, rows, want, parts = np.random.default_rng(11), [], {}, []
+    for size in (64, 128, 768):
+        v = planted(rng, 300, size) + around * np.ones(size) / np.sqrt(size)
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        near = unit @ unit.T >= 0.9
+        parts.append((len(rows), near))
+        rows += [(len(rows) + i, x.tolist()) for i, x in enumerate(v)]
+    rows += [(9000, [3.0, 4.0]), (9001, [3.0, 4.0]), (9002, [6.0, 8.0]), (9003, [0.0, -0.0])]
+    got = {r["vec_id"]: r for r in itq_neighbors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for start, near in parts:
+        have = np.array([got[start + i]["n_links"] for i in range(len(near))])
+        links = near.sum(1) - 1
+        assert (have <= links).all() and have.sum() >= 0.95 * links.sum()
+        root = list(range(len(near)))
+
+        def find(x, root=root):
+            return x if root[x] == x else find(root[x])
+
+        for i, j in zip(*np.nonzero(near), strict=True):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+        same = sum(got[start + i]["component_id"] == start + find(i) for i in range(len(near)))
+        assert same >= 0.95 * len(near)
+    assert [tuple(got[i])[1:] for i in (9000, 9001, 9002)] == [(2, 9000, True), (2, 9000, False), (2, 9000, False)]
+    assert tuple(got[9003])[1:] == (0, 9003, True)
+
+
+def test_codes_two_bits_apart_meet_once():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    flips = np.append(0, 1 << np.arange(16)).astype(np.uint64)
+    for turned in range(3):
+        b = a.copy()
+        for bit in range(turned):
+            b ^= np.uint64(1) << rng.integers(8 * bit, 8 * bit + 8, 3000).astype(np.uint64)
+        times = np.zeros(3000, int)
+        for flip in flips:
+            key = (a ^ flip) & np.uint64(0xFFFF)
+            held = np.bitwise_count(key ^ (b & np.uint64(0xFFFF))) <= 1
+            times += held & itq_neighbors.meet(key, a, b)
+        assert (times == 1).all()
+
+
+def test_hot_values_are_cut_in_cells(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal(64) + 0.2 * rng.standard_normal((300, 64))
+    df = stored(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "cid long, vector array<double>"))
+    whole = sorted(map(tuple, itq_neighbors.links(df).select("a", "b").collect()))
+    monkeypatch.setattr(itq_neighbors, "LOT", 40)
+    cut = itq_neighbors.links(df).select("a", "b").collect()
+    assert sorted((min(r), max(r)) for r in cut) == sorted((min(r), max(r)) for r in whole) and len(whole) > 20_000
+
+
 def test_url_lists(spark):
     day = lambda d: dt.date(2024, 1, d)
     changes = spark.createDataFrame([("bad.com", day(5), "add"), ("bad.com", day(10), "remove"), ("x.bad.com", day(20), "add"), (None, day(1), "add"), ("bad.com", day(5), "add")], "entry string, on date, action string")
