@@ -13,8 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with more than 1 / HUBS of all rows is hot; there are fewer than HUBS such keys.
-HUBS = 10_000
+#: Rows of a key that a task takes without harm. Where a key has more, keys with more than 1 / HUBS of all rows are hot; there are fewer than HUBS.
+CROWD, HUBS = 100_000, 10_000
 #: Bytes of text for each bucket that gathers something from all blocks.
 BUCKET = 64 << 20
 
@@ -123,13 +123,17 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, most: int, also: str |
         yield close()
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, told: tuple[int, int] | None = None) -> DataFrame:
     """The inner join of rows to table, which has one row a key with the number n of its rows, without gathering a hot key.
 
-    Of `total` rows fewer than HUBS keys can have more than total / HUBS each. Those rows of table, a
-    number bounded by HUBS, are broadcast, so that rows of a hot key stay where they are; all other
-    keys are met by a shuffle, total / HUBS rows a key at most. n is dropped.
+    told: (rows, most rows of a key), else counted here. Where no key has more than CROWD rows this is a
+    plain join. Else the keys with more than 1 / HUBS of all rows are met by a broadcast of their rows of
+    table, fewer than HUBS, so that rows of a hot key stay where they are; all other keys are met by a
+    shuffle, with 1 / HUBS of all rows a key at most. n is dropped.
     """
+    total, widest = told or table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if widest <= CROWD:
+        return rows.join(table.drop("n"), key)
     hot = F.col("n") > F.lit(total / HUBS)
     few = F.broadcast(table.where(hot).drop("n"))
     rest = rows.join(few.select(key), key, "left_anti").join(table.where(~hot).drop("n"), key)
@@ -141,20 +145,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps until nothing changes: every step is an
     aggregation with map-side combine and a join that leaves the edges of a hub where they are.
-    Each round is a table of the shared folder, dropped when the next is there; only a count and a
+    Each round is a table of the shared folder, dropped when the next is there; only counts and a
     checksum come to the driver. Loops and null ends are dropped, repeated edges are one.
     """
     tables = Tables(edges.sparkSession)
     now = tables.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    told = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    ends = lambda df: df.union(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = lambda df: df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+    def told(df: DataFrame) -> tuple:
+        """(ends, most ends of a node, checksum)"""
+        per = ends(df).groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+        return tuple(per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.sum("s")).first())
+
     mark = told(now)
     for _ in range(rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = ends(now)
         lows = least(both).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread_join(both.where("v > u"), lows, "u", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = spread_join(both.where("v > u"), lows, "u", mark[:2]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         lows = least(large)
-        small = spread_join(large, lows, "u", 2 * mark[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, lows, "u", mark[:2]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = tables.put(small.union(lows.select("u", F.col("m").alias("v"))).distinct())
         tables.drop()
         seen = told(now)

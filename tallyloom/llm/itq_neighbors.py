@@ -257,7 +257,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     named = classes.select("cid", "least", "copies").join(roots, "cid", "left").join(reach, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = stored(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    named = spread_join(named, least, "root", named.count()).select("cid", "component_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = spread_join(named, least, "root").select("cid", "component_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     found = rows.select("id", "cid").join(named, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return found.select(

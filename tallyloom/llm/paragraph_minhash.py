@@ -264,7 +264,7 @@ def _removed(told: DataFrame, final: DataFrame) -> DataFrame:
     named = stored(lines.join(final.toDF("pid", "component"), "pid", "left").select("id", "tie", "line", F.coalesce("component", "pid").alias("component")))
     place = F.struct(F.col("id").isNull().alias("n"), "id", "tie", "line")
     first = named.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    return spread_join(named, first, "component", named.count()).select("id", "tie", "line", "component", (place != F.col("first")).alias("removed"))
+    return spread_join(named, first, "component").select("id", "tie", "line", "component", (place != F.col("first")).alias("removed"))
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = SHINGLE) -> DataFrame:
