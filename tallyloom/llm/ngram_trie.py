@@ -14,15 +14,20 @@ code of log10 p for each successor and of the backoff weight for each context. A
 context, then searches the successors between that context's two pointers, relative to its lift.
 The places of the zeros among the high parts narrow a search to values of the same high part.
 
-    p(w | h) = (c(hw) - D) / c(h)            if hw was trained on
+    p(w | h) = (c(hw) - D(h)) / c(h)         if hw was trained on
              = a(h) * p(w | h without its first word)    otherwise, a(h) = 1 for an unseen h
-    a(h) = D * types(h) / c(h) / (1 - sum over trained w of p(w | shorter h))
+    a(h) = D(h) * types(h) / c(h) / (1 - sum over trained w of p(w | shorter h))
     p(w) = (c(w) + 1) / (N + V + 1)
+    D(h) = (n1 + PRIOR * WEIGHT) / (n1 + 2 * n2 + WEIGHT)
 
-D is n1 / (n1 + 2 * n2) of the shard's level, n1 and n2 being the n-grams counted once and twice.
+n1 and n2 are the words that followed h once and twice: a context estimates its own discount, drawn
+to PRIOR where it is rare, so a score depends on the corpus alone and not on how it is dealt.
 
-The text is read twice a level from the input, so the input must be read in the same order each time: a
-table or a checkpoint.
+Keys of contexts and n-grams are hashes of word ids; where keys are equal the ids are compared, and if
+any differ they are told apart by the ids themselves.
+
+The text is read twice from the input, so the input must be read in the same order each time: a
+table or a checkpoint. A second reading that differs is an error.
 
 Defined results: a null text is empty and has one token, its end; null ids are training documents
 (no crc32); repeated rows count as often as they occur; an empty table gives an empty result;
@@ -33,7 +38,6 @@ from __future__ import annotations
 
 import tempfile
 import zlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,11 +47,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .frames import blocks, parts, stored
-from .text import expand, mix64, squeeze, words
+from .frames import blocks, buckets, stored
+from .text import expand, mix64, squeeze
 
 FOLDS, HELD_OUT, ORDER = 7, 2, 3
 BLOCK = 8 << 20
+#: The discount of a context of which nothing is known, and how many words that counts for.
+PRIOR, WEIGHT = 0.75, 4.0
 #: The end of a text and what stands before its first word; words hold no white space.
 END, BEGIN = b" ", b"\n"
 #: Grids of the 8-bit codes: log10 p from -10 to 0, log10 of a backoff weight from -5 to 2.
@@ -145,11 +151,10 @@ class Level:
     def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray, folder: str):
         first = np.flatnonzero(np.diff(context, prepend=~context[:1]))
         size = np.diff(np.append(first, len(context)))
-        once, twice = int((count == 1).sum()), int((count == 2).sum())
-        discount = once / (once + 2 * twice) if once and twice else 0.5
-        total = np.add.reduceat(count, first) if len(first) else count[:0]
+        total, once, twice = (np.add.reduceat(x, first, dtype=np.int64) if len(first) else count[:0] for x in (count, count == 1, count == 2))
+        discount = (once + PRIOR * WEIGHT) / (once + 2 * twice + WEIGHT)
         of = np.repeat(np.arange(len(first)), size)
-        p = np.log10((count - discount) / total[of])
+        p = np.log10((count - discount[of]) / total[of])
         seen = np.add.reduceat(10.0**lower, first) if len(first) else lower[:0]
         weight = np.log10(discount * size / total / np.maximum(1 - seen, 1e-5))
         self.span = np.uint64(int(word.max()) + 1 if len(word) else 1)
@@ -188,16 +193,19 @@ class Level:
 
 def _tokens(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens of a block, frequent first; codes of all texts end to end; lengths; which are trained on."""
-    seen: defaultdict[bytes, int] = defaultdict()
-    seen.default_factory = seen.__len__
-    seen[END]
-    codes = [np.fromiter(map(seen.__getitem__, [*words(t.as_py(), lower=True), END]), np.uint32) for t in table.column("text")]
-    lens = np.fromiter(map(len, codes), np.int64, len(codes))
-    flat = np.concatenate(codes)
-    by = np.argsort(-np.bincount(flat, minlength=len(seen)), kind="stable")
-    rank = np.empty(len(seen), np.uint32)
-    rank[by] = np.arange(len(seen), dtype=np.uint32)
-    names = list(seen)
+    texts = pa.compute.ascii_lower(pa.compute.fill_null(table.column("text").combine_chunks(), ""))
+    lists = pa.compute.ascii_split_whitespace(texts)
+    doc = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy())
+    found = lists.flatten()
+    some = pa.compute.greater(pa.compute.binary_length(found), 0)
+    doc, coded = doc[some.to_numpy(zero_copy_only=False)], found.filter(some).dictionary_encode()
+    names = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+    lens = np.bincount(doc, minlength=len(lists)) + 1
+    flat = np.full(len(doc) + len(lists), len(names) - 1, np.uint32)
+    flat[np.arange(len(doc)) + doc] = coded.indices.to_numpy()
+    by = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")
+    rank = np.empty(len(names), np.uint32)
+    rank[by] = np.arange(len(names), dtype=np.uint32)
     train = np.array([not held_out(i) for i in table.column("id").to_pylist()], bool)
     return [names[i] for i in by], rank[flat], lens, train
 
@@ -212,7 +220,7 @@ def _bucketed(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
 def _lists(buckets: int, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct tokens of each block by bucket, with their training counts."""
-        for key, table in blocks(batches, "text", most):
+        for key, table in blocks(batches, "text", most, "id"):
             names, flat, lens, train = _tokens(table)
             counts = np.bincount(flat[np.repeat(train, lens)], minlength=len(names))
             of = np.fromiter((zlib.crc32(w) % buckets for w in names), np.int32, len(names))
@@ -249,7 +257,7 @@ def _counted(buckets: int) -> Callable[[pa.Table], pa.Table]:
 def _documents(buckets: int, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block as one row: ids, lengths, token codes and the codes' places in the bucketed word lists."""
-        for key, table in blocks(batches, "text", most):
+        for key, table in blocks(batches, "text", most, "id"):
             names, flat, lens, train = _tokens(table)
             of = np.fromiter((zlib.crc32(w) % buckets for w in names), np.int32, len(names))
             place = np.empty(len(names), np.uint32)
@@ -294,12 +302,19 @@ class _Block:
             out.append(word)
         return out
 
-    def grams(self, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(representatives of the distinct n-grams by shard and key, gram of each token, context keys, shard)."""
-        context = _context(self.before(order))
+    def grams(self, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(representatives of the distinct n-grams by shard and key, gram of each token, context keys, shard, words before)."""
+        before = self.before(order)
+        context = _context(before)
         key = mix64(context + mix64(self.ids.astype(np.uint64)))
         by = np.argsort(key)
         fresh = np.diff(key[by], prepend=~key[by[:1]]) != 0
+        again = np.flatnonzero(~fresh)
+        if any((x[by[again]] != x[by[again - 1]]).any() for x in (self.ids, *before)):
+            # keys lied: rank the n-grams by their words
+            _, of = np.unique(np.column_stack([self.ids.astype(np.uint64), *before]), axis=0, return_inverse=True)
+            by = np.argsort(of, kind="stable")
+            fresh = np.diff(of[by], prepend=-1) != 0
         first, of = by[fresh], np.empty(len(by), np.int64)
         of[by] = np.cumsum(fresh) - 1
         # shards are ranges of context keys, so that one sort by context also sorts by shard
@@ -307,7 +322,7 @@ class _Block:
         shard = (context[first] // np.uint64(-(-(1 << 64) // shards))).astype(np.int32)
         rank = np.empty(len(first), np.int64)
         rank[order_] = np.arange(len(first))
-        return first[order_], rank[of], context, shard[order_]
+        return first[order_], rank[of], context, shard[order_], before
 
     def lowered(self, order: int, answers: list[pa.Table], shards: int) -> np.ndarray:
         """log10 p of each token by the levels below order; answers: a table a level from the second on."""
@@ -331,15 +346,15 @@ def _asked(order: int, shards: int, n: int, v: int) -> Callable[[pa.Table, pa.Ta
         """The distinct n-grams of a block by shard: contexts, words, training counts and lower-order codes."""
         lists, answers = _split(right, order)
         block = _Block(docs, lists, n, v)
-        first, of, context, shard = block.grams(order, shards)
+        first, of, context, shard, before = block.grams(order, shards)
         counts = np.bincount(of[block.train[block.doc]], minlength=len(first)).astype(np.int32)
         lower = quantised(block.lowered(order, answers, shards), P_GRID)[first]
         out = {k: [] for k in ("shard", "block", "heads", "sizes", "words", "counts", "lower")}
         _, runs = _bucketed(shard)
-        ids, before = np.uint64 if block.ids.max() >> 32 else np.uint32, block.before(order)
+        ids = np.uint64 if block.ids.max() >> 32 else np.uint32
         for s, a, b in runs:
-            own = context[first[a:b]]
-            head = np.flatnonzero(np.diff(own, prepend=~own[:1]))
+            own = first[a:b]
+            head = np.flatnonzero(np.append(True, np.any([x[own[1:]] != x[own[:-1]] for x in before], axis=0)))
             row = (s, docs.column("block")[0].as_py(), squeeze(np.concatenate([w[first[a:b][head]] for w in before]).astype(ids)), squeeze(np.diff(np.append(head, b - a)).astype(np.int32)), squeeze(block.ids[first[a:b]].astype(ids)), squeeze(counts[a:b]), squeeze(lower[a:b]))
             for k, x in zip(out, row, strict=True):
                 out[k].append(x)
@@ -366,13 +381,25 @@ def _sorted(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return np.argsort(rank << np.uint64(32) | word)
 
 
+def _contexts(heads: list[np.ndarray]) -> np.ndarray:
+    """A key for each context of blocks' (words, contexts) arrays; equal keys are equal words."""
+    words_ = np.concatenate(heads, axis=1)
+    key = _context(list(words_))
+    by = np.argsort(key, kind="stable")
+    same = key[by[1:]] == key[by[:-1]]
+    if (words_[:, by[1:][same]] != words_[:, by[:-1][same]]).any():
+        key = np.unique(words_, axis=1, return_inverse=True)[1].reshape(-1).astype(np.uint64)
+    return key
+
+
 def _answered(level: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         """Builds a shard's trie level and answers every block's n-grams, in the order in which they were sent."""
         sizes = [expand(x.as_py(), np.int32) for x in table.column("sizes")]
         lens = np.fromiter((s.sum() for s in sizes), np.int64, len(sizes))
-        heads = lambda x, n: _context(list(_wide(x.as_py(), (level - 1) * n).reshape(level - 1, n)))
-        context = np.concatenate([np.repeat(heads(x, len(s)), s) for x, s in zip(table.column("heads"), sizes, strict=True)])
+        heads = [_wide(x.as_py(), (level - 1) * len(s)).reshape(level - 1, len(s)) for x, s in zip(table.column("heads"), sizes, strict=True)]
+        context = np.repeat(_contexts(heads), np.concatenate(sizes))
+        del heads
         word = np.concatenate([_wide(x.as_py(), int(k)) for x, k in zip(table.column("words"), lens, strict=True)])
         count = np.concatenate([expand(x.as_py(), np.int32) for x in table.column("counts")]).astype(np.int64)
         lower = restored(np.concatenate([expand(x.as_py(), np.uint8) for x in table.column("lower")]), P_GRID)
@@ -409,7 +436,7 @@ def _scored(order: int, shards: int, n: int, v: int, kind: pa.DataType) -> Calla
 
 def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block: int = BLOCK) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of df."""
-    shards = 4 * parts(df.sparkSession)
+    shards = buckets(df, text_col)
     given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, binary = given.schema["id"].dataType, T.BinaryType()
     lists = given.mapInArrow(_lists(shards, block), "bucket int, block long, words array<binary>, counts binary")

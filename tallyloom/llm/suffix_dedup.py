@@ -7,28 +7,32 @@ suffixes in one place is what a cluster can't do, so the sort is split by conten
 * The anchor of a window is its least k-gram by hash (the leftmost of equals). Equal windows have
   equal anchors at equal offsets, so suffixes need comparing only within one anchor's k-gram
   and one offset. Neighbouring windows share an anchor: about one anchor for 35 bytes.
-* An anchor's span is all bytes of its windows. Each block of documents sends (k-gram hash, span hash)
-  of its first occurrence of each, the bucket of the k-gram compares them. A span that is met
-  earlier repeats with all its windows; a k-gram with one span only has no repeats; only
-  k-grams with different spans, the edges of repeats, are left.
-* The edges' bytes go to the bucket of their k-gram, and there the suffix sort decides: prefix polynomial
-  hashes give the common extension of two suffixes by binary search, a mergesort orders the suffixes
-  of a k-gram and offset with such comparisons, and neighbours that agree on LENGTH bytes are
-  compared byte by byte. The first of equals stays.
+* An anchor's span is all bytes of its windows. A block of documents settles repeats of a span within it and sends
+  (k-gram hash, span hash) of each first occurrence; the bucket of the k-gram tells which k-grams occur
+  again. Windows of all other k-grams, most of a text, have no repeats, and nothing more is done about them.
+* The bytes of spans whose k-gram occurs again go to the bucket of their k-gram, and there suffix sorts
+  decide: first whole spans are sorted, and a span that is met earlier repeats with all its
+  windows; then the windows of those spans that differ but share a k-gram, the edges of repeats.
+* A suffix sort is a mergesort: prefix polynomial hashes give the common extension of two suffixes by binary
+  search, so a comparison is logarithmic. Neighbours that agree in full are verified byte by byte. What has
+  a hash of its own among the candidates equals nothing and is left out of the sort, and candidates are
+  sorted in lots of `LOT` bytes that keep equal hashes together.
+* A k-gram with more than `HOT` different spans (a line or passage end that many documents share) is
+  spread: its windows are dealt by their offset, `RANGE` offsets at a time, and by the bytes that all
+  windows of such a range have in common.
 
 The text is read twice from the input, so the input must be read in the same order twice: a table
-or a checkpoint. Two 64-bit hashes stand for a span; what the suffix sort finds is verified on bytes.
+or a checkpoint; a second reading that differs is an error.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; null ids come
-after all others; rows of one id are ordered by their place in the input; repeated rows lose
-all but the first copy; an empty table gives an empty result; extra columns are ignored by
+after all others; of rows that share an id one counts as earlier, in the order of their blocks, so that of
+repeated rows one copy stays; an empty table gives an empty result; extra columns are ignored by
 `repeats` and kept by `without_repeats`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import blocks, parts
+from .frames import blocks, buckets
 from .text import expand, mix64, ragged, runs, squeeze
 
 LENGTH, GRAM = 100, 32
@@ -46,36 +50,36 @@ BLOCK, STEP = (4 << 20) - 1, 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LAST = (1 << 63) - 1
-WHOLE, EDGE = 1, 2
-
-
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    up, down = np.full(n, BASE), np.full(n, INVERSE)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+#: What becomes of a span whose k-gram occurs again: it goes to the k-gram's bucket, or is spread by ranges of offsets.
+SENT, SPREAD = 1, 2
+#: Different spans of one k-gram from which on they are spread, offsets of a range, and bytes sorted at once.
+HOT, RANGE, LOT = 4096, 9, 3 << 20
 
 
 class Hashes:
     """Polynomial hashes modulo 2**64 of any substring, from prefix sums."""
 
+    up = down = np.ones(1, np.uint64)
+
     def __init__(self, data: np.ndarray):
-        up, self.down = _powers(max(len(data), 2).bit_length())
+        if len(Hashes.up) < len(data) + 1:
+            n = 1 << (len(data) + 1).bit_length()
+            up, down = np.full(n, BASE), np.full(n, INVERSE)
+            up[0] = down[0] = 1
+            Hashes.up, Hashes.down = np.cumprod(up), np.cumprod(down)
         self.data, self.prefix = data, np.zeros(len(data) + 1, np.uint64)
         letters = mix64(np.arange(1, 257, dtype=np.uint64))
-        np.cumsum(letters[data] * up[: len(data)], out=self.prefix[1:])
+        np.cumsum(letters[data] * self.up[: len(data)], out=self.prefix[1:])
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
         return (self.prefix[start + length] - self.prefix[start]) * self.down[start]
 
-    def extension(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    def extension(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at a and b, `most` at most, by binary search."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), most, np.int64)
+        low, high = np.zeros(len(a), np.int64), most - 1
         same = self.of(a, most) == self.of(b, most)
-        low[same] = most
+        low[same] = most[same]
         open_ = np.flatnonzero(~same)
-        high[open_] = most - 1
         while len(open_):
             middle = (low[open_] + high[open_] + 1) // 2
             equal = self.of(a[open_], middle) == self.of(b[open_], middle)
@@ -84,15 +88,15 @@ class Hashes:
             open_ = open_[low[open_] < high[open_]]
         return low
 
-    def compare(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    def compare(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """-1, 0 or 1 as the suffix at a is below, equal or above that at b in its first `most` bytes."""
         n = self.extension(a, b, most)
         at = np.minimum(n, most - 1)
         return np.where(n == most, 0, np.sign(self.data[a + at].astype(np.int16) - self.data[b + at]))
 
 
-def suffix_sort(hashes: Hashes, starts: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
-    """Order that sorts suffixes by content within each run of equal group, keeping the order of equals.
+def suffix_sort(hashes: Hashes, starts: np.ndarray, group: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Order that sorts suffixes by their first `most` bytes, the same in a group, within each run of equal group, keeping the order of equals.
 
     A mergesort from the bottom, all runs and groups at once: an element's place in a merged run is
     its place in its own run plus the number of elements of the other run before it, found by binary search.
@@ -114,7 +118,7 @@ def suffix_sort(hashes: Hashes, starts: np.ndarray, group: np.ndarray, most: int
         open_ = np.flatnonzero(count > 0)
         while len(open_):
             middle = (low[open_] + high[open_]) // 2
-            sign = hashes.compare(starts[order[other[open_] + middle]], starts[order[open_]], most)
+            sign = hashes.compare(starts[order[other[open_] + middle]], starts[order[open_]], most[order[open_]])
             before = np.where(left[open_], sign < 0, sign <= 0)
             low[open_] = np.where(before, middle + 1, low[open_])
             high[open_] = np.where(before, high[open_], middle)
@@ -125,6 +129,71 @@ def suffix_sort(hashes: Hashes, starts: np.ndarray, group: np.ndarray, most: int
     return order
 
 
+def later_equals(hashes: Hashes, starts: np.ndarray, group: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Marks suffixes equal in `most` bytes to one that stands before them in their group.
+
+    group must be sorted. Equal neighbours of the suffix sort are verified byte by byte; if hashes
+    lied anywhere, that is done again on the bytes themselves.
+    """
+    order = suffix_sort(hashes, starts, group, most)
+    a, b = order[:-1], order[1:]
+    same = np.zeros(len(order), bool)
+    pair = np.flatnonzero(group[a] == group[b]) if len(order) else np.zeros(0, np.int64)
+    same[pair + 1] = hashes.extension(starts[a[pair]], starts[b[pair]], most[b[pair]]) == most[b[pair]]
+    for at in range(0, len(order), 1 << 14):
+        some = at + np.flatnonzero(same[at : at + (1 << 14)])
+        one, two = order[some], order[some - 1]
+        if (hashes.data[ragged(starts[one], most[one])] != hashes.data[ragged(starts[two], most[one])]).any():
+            seen: set[tuple[int, bytes]] = set()
+            out = np.zeros(len(starts), bool)
+            for i, (g, s, n) in enumerate(zip(group.tolist(), starts.tolist(), most.tolist(), strict=True)):
+                key = (g, hashes.data[s : s + n].tobytes())
+                out[i] = key in seen
+                seen.add(key)
+            return out
+    out = np.zeros(len(starts), bool)
+    out[order] = same
+    return out
+
+
+def later(data: np.ndarray, starts: np.ndarray, most: np.ndarray, group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Marks the strings (starts, most) of data that are equal to an earlier one of their group.
+
+    Equal strings of a group must have equal keys. Only strings whose key repeats are sorted, in lots of
+    some megabytes that keep a key together; a key with more than a lot is compared with its first string,
+    a lot at a time, and what differs from that is taken up again.
+    """
+    out = np.zeros(len(starts), bool)
+    order = np.lexsort((key, group))
+    while len(order):
+        fresh = (np.diff(group[order], prepend=~group[order[:1]]) != 0) | (np.diff(key[order], prepend=~key[order[:1]]) != 0)
+        run = np.cumsum(fresh) - 1
+        many = np.bincount(run)[run] > 1
+        order, run = order[many], run[many]
+        left = [order[:0]]
+        cuts = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(run))
+        load = np.append(0, np.cumsum(most[order]))[cuts]
+        at = 0
+        while at < len(cuts) - 1:
+            end = max(at + 1, int(np.searchsorted(load, load[at] + LOT, side="right")) - 1)
+            one = order[cuts[at] : cuts[end]]
+            whole = load[end] - load[at] <= LOT
+            step = len(one) if whole else max(2, LOT // int(most[one[0]]))
+            for lo in range(0, len(one), step):
+                some = one[lo : lo + step] if not lo else np.append(one[0], one[lo : lo + step])
+                size = most[some]
+                body = Hashes(data[ragged(starts[some], size)])
+                found = later_equals(body, np.cumsum(size) - size, np.cumsum(np.diff(group[some], prepend=group[some[0]]) != 0), size)
+                out[some[found]] = True
+                if not whole:
+                    left.append(some[1 if lo else 0 :][~found[1 if lo else 0 :]])
+            at = end
+        # what is left of a large key beside its first string: strings that a lying hash put there
+        rest = np.concatenate(left)
+        order = rest[~np.isin(rest, order[cuts[:-1]])] if len(rest) else rest
+    return out
+
+
 def anchors(hashes: Hashes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, anchor) of each anchor in texts laid end to end with these bounds."""
     n, wide = len(hashes.data), LENGTH - GRAM + 1
@@ -178,26 +247,21 @@ def _spans(hashes: Hashes, bounds: np.ndarray):
     gram = mix64(hashes.of(place, GRAM))
     shape = ((place - low).astype(np.uint64) << np.uint64(8)) + (high - low).astype(np.uint64)
     span = mix64(mix64(hashes.of(low, high - low + LENGTH)) + mix64(shape))
-    order = np.lexsort((low, span, gram))
-    new = (np.diff(gram[order], prepend=~gram[order[:1]]) != 0) | (np.diff(span[order], prepend=~span[order[:1]]) != 0)
-    first = np.zeros(len(low), bool)
-    first[order[new]] = True
-    return low, high, place, gram, span, first
+    return low, high, place, gram, span, ~later(hashes.data, low, high - low + LENGTH, mix64(gram + shape), span)
 
 
 def _sent(buckets: int, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, table in blocks(batches, "text", most):
-            _, ids, data, bounds = _laid(table)
+        for block, table in blocks(batches, "text", most, "id"):
+            _, _, data, bounds = _laid(table)
             low, high, place, gram, span, first = _spans(Hashes(data), bounds)
             at = np.flatnonzero(first)
             of = (gram[at] % np.uint64(buckets)).astype(np.int32)
             at, of = at[order := np.argsort(of, kind="stable")], of[order]
-            id_ = ids[np.searchsorted(bounds, low[at], side="right") - 1]
             for a, b in runs(of):
                 one = at[a:b]
-                columns = (gram[one], span[one], id_[a:b], low[one].astype(np.int32), (high[one] - low[one]).astype(np.uint8), (place[one] - low[one]).astype(np.uint8))
-                yield pa.record_batch([pa.array([of[a]], pa.int32()), pa.array([block], pa.int64()), *(pa.array([squeeze(c)], pa.binary()) for c in columns)], names=["bucket", "block", "gram", "span", "ids", "low", "wide", "back"])
+                columns = (gram[one], span[one], low[one].astype(np.int32), (high[one] - low[one]).astype(np.uint8), (place[one] - low[one]).astype(np.uint8))
+                yield pa.record_batch([pa.array([of[a]], pa.int32()), pa.array([block], pa.int64()), *(pa.array([squeeze(c)], pa.binary()) for c in columns)], names=["bucket", "block", "gram", "span", "low", "wide", "back"])
 
     return run
 
@@ -207,35 +271,35 @@ def _column(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, kind), *parts_]), np.fromiter(map(len, parts_), np.int64, len(parts_))
 
 
-def _judged(table: pa.Table) -> pa.Table:
-    """Of the anchors of a bucket: those whose span comes earlier (WHOLE), and first spans of a k-gram that has others (EDGE)."""
+def _judged(hot: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: _told(table, hot)
+
+
+def _told(table: pa.Table, hot: int) -> pa.Table:
+    """The spans of a bucket whose k-gram occurs again, by block, and whether they are SENT to it or SPREAD."""
     gram, lens = _column(table, "gram", np.uint64)
-    span, ids, low, wide, back = (_column(table, n, k)[0] for n, k in (("span", np.uint64), ("ids", np.int64), ("low", np.int32), ("wide", np.uint8), ("back", np.uint8)))
-    row = np.repeat(np.arange(table.num_rows), lens)
-    block = table.column("block").to_numpy()[row]
-    order = np.lexsort((low, block, ids, span, gram))
+    span, low, wide, back = (_column(table, n, k)[0] for n, k in (("span", np.uint64), ("low", np.int32), ("wide", np.uint8), ("back", np.uint8)))
+    order = np.lexsort((span, gram))
     fresh = np.diff(gram[order], prepend=~gram[order[:1]]) != 0
-    first = fresh | (np.diff(span[order], prepend=~span[order[:1]]) != 0)
+    kind = fresh | (np.diff(span[order], prepend=~span[order[:1]]) != 0)
     group = np.cumsum(fresh) - 1
-    kinds = np.bincount(group, weights=first)
     state = np.zeros(len(order), np.uint8)
-    state[order] = np.where(~first, WHOLE, np.where(kinds[group] > 1, EDGE, 0))
+    state[order] = np.where(np.bincount(group)[group] < 2, 0, np.where(np.bincount(group, weights=kind)[group] > hot, SPREAD, SENT))
     out = {n: [] for n in ("block", "low", "wide", "back", "state")}
-    for r, b in enumerate(table.column("block").to_pylist()):
-        at = np.flatnonzero((row == r) & (state > 0)) if table.num_rows < 8 else None
-        if at is None:
-            start = int(lens[:r].sum())
-            at = start + np.flatnonzero(state[start : start + lens[r]])
+    start = 0
+    for n, b in zip(lens.tolist(), table.column("block").to_pylist(), strict=True):
+        at = start + np.flatnonzero(state[start : start + n])
+        start += n
         if len(at):
-            for n, v in zip(out, (b, low[at], wide[at], back[at], state[at]), strict=True):
-                out[n].append(v if n == "block" else squeeze(v))
+            for c, v in zip(out, (b, low[at], wide[at], back[at], state[at]), strict=True):
+                out[c].append(v if c == "block" else squeeze(v))
     return pa.table({"block": pa.array(out["block"], pa.int64())} | {n: pa.array(out[n], pa.binary()) for n in ("low", "wide", "back", "state")})
 
 
 def _packed(most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block as one row: its documents' ids, lengths and bytes, and the spans that repeat within it."""
-        for block, table in blocks(batches, "text", most):
+        for block, table in blocks(batches, "text", most, "id"):
             rows, _, data, bounds = _laid(table)
             low, high, _, _, _, first = _spans(Hashes(data), bounds)
             yield pa.record_batch({
@@ -250,26 +314,44 @@ def _bytes(packed: pa.Table) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(packed.column("data")[0].as_py()), np.uint8)
 
 
+def _ranges(low: np.ndarray, wide: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(span, low, wide, back, start of the bytes in common) of the ranges of offsets of spans.
+
+    A window's offset is how far its k-gram stands from its start. Windows of a range hold the LENGTH - RANGE + 1
+    bytes from the first of their last window on.
+    """
+    first, last = (back - wide) // RANGE, back // RANGE
+    count = last - first + 1
+    of = np.repeat(np.arange(len(low)), count)
+    number = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start = np.maximum(back[of] - number * RANGE - RANGE + 1, 0)
+    end = np.minimum(back[of] - number * RANGE, wide[of])
+    return of, low[of] + start, end - start, back[of] - start, low[of] + back[of] - number * RANGE
+
+
 def _edges(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(packed: pa.Table, judged: pa.Table) -> pa.Table:
-        """The bytes of the edges' spans, by the bucket of their k-gram."""
+        """The bytes of spans whose k-gram occurs again, by the bucket of the k-gram, or of range and common bytes."""
         out = {n: [] for n in ("bucket", "block", "ids", "low", "wide", "back", "data")}
         if judged.num_rows:
             if not packed.num_rows:
                 raise RuntimeError("the input changed between its two readings; store it first")
-            low, wide, back, state = (_column(judged, n, k)[0] for n, k in (("low", np.int32), ("wide", np.uint8), ("back", np.uint8), ("state", np.uint8)))
-            at = np.flatnonzero(state == EDGE)
+            low, wide, back, state = (_column(judged, n, k)[0].astype(np.int64) for n, k in (("low", np.int32), ("wide", np.uint8), ("back", np.uint8), ("state", np.uint8)))
             data = _bytes(packed)
             bounds = np.append(0, np.cumsum(expand(packed.column("lens")[0].as_py(), np.int64)))
             ids = pa.compute.fill_null(packed.column("ids").combine_chunks().flatten(), LAST).to_numpy(zero_copy_only=False)
-            gram = mix64(Hashes(data[ragged(low[at].astype(np.int64) + back[at], np.full(len(at), GRAM))]).of(np.arange(len(at)) * GRAM, GRAM))
-            of = (mix64(gram) % np.uint64(buckets)).astype(np.int32)
-            at, of = at[order := np.argsort(of, kind="stable")], of[order]
-            id_ = ids[np.searchsorted(bounds, low[at], side="right") - 1]
-            for a, b in runs(of):
-                one = at[a:b]
-                body = data[ragged(low[one].astype(np.int64), wide[one].astype(np.int64) + LENGTH)]
-                for n, v in zip(out, (of[a], packed.column("block")[0].as_py(), squeeze(id_[a:b]), squeeze(low[one]), squeeze(wide[one]), squeeze(back[one]), zstandard.compress(body.tobytes(), 1)), strict=True):
+            spread = state == SPREAD
+            _, *cut, common = _ranges(low[spread], wide[spread], back[spread])
+            keys = lambda at, n: mix64(Hashes(data[ragged(at, np.full(len(at), n))]).of(np.arange(len(at)) * n, n))
+            key = np.concatenate([keys((low + back)[~spread], GRAM), keys(common, LENGTH - RANGE + 1)])
+            low, wide, back = (np.concatenate([x[~spread], y]) for x, y in zip((low, wide, back), cut, strict=True))
+            of = (mix64(key) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((low, of))
+            id_ = ids[np.searchsorted(bounds, low, side="right") - 1]
+            for a, b in runs(of[order]):
+                one = order[a:b]
+                body = data[ragged(low[one], wide[one] + LENGTH)]
+                for n, v in zip(out, (of[one[0]], packed.column("block")[0].as_py(), squeeze(id_[one]), squeeze(low[one].astype(np.int32)), squeeze(wide[one].astype(np.uint8)), squeeze(back[one].astype(np.uint8)), zstandard.compress(body.tobytes(), 1)), strict=True):
                     out[n].append(v)
         kinds = {"bucket": pa.int32(), "block": pa.int64()}
         return pa.table({n: pa.array(v, kinds.get(n, pa.binary())) for n, v in out.items()})
@@ -277,78 +359,52 @@ def _edges(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def later_equals(hashes: Hashes, starts: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
-    """Marks suffixes equal in `most` bytes to one that stands before them in their group.
-
-    group must be sorted. Equal neighbours of the suffix sort are verified byte by byte; if hashes
-    lied anywhere, that is done again on the bytes themselves.
-    """
-    order = suffix_sort(hashes, starts, group, most)
-    a, b = order[:-1], order[1:]
-    same = np.zeros(len(order), bool)
-    pair = np.flatnonzero(group[a] == group[b]) if len(order) else np.zeros(0, np.int64)
-    same[pair + 1] = hashes.extension(starts[a[pair]], starts[b[pair]], most) == most
-    for at in range(0, len(order), 1 << 14):
-        some = at + np.flatnonzero(same[at : at + (1 << 14)])
-        reach = np.arange(most)
-        if (hashes.data[starts[order[some], None] + reach] != hashes.data[starts[order[some - 1], None] + reach]).any():
-            seen: set[tuple[int, bytes]] = set()
-            out = np.zeros(len(starts), bool)
-            for i, (g, s) in enumerate(zip(group.tolist(), starts.tolist(), strict=True)):
-                key = (g, hashes.data[s : s + most].tobytes())
-                out[i] = key in seen
-                seen.add(key)
-            return out
-    out = np.zeros(len(starts), bool)
-    out[order] = same
-    return out
+def _hashed(data: np.ndarray, begin: np.ndarray, wide: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(span, shift, group by k-gram and offset, hash) of every window of spans, some megabytes of them at a time."""
+    parts_, size = [], wide + LENGTH
+    for lo, hi in runs(np.cumsum(size) // LOT):
+        hashes, at = Hashes(data[ragged(begin[lo:hi], size[lo:hi])]), np.cumsum(size[lo:hi]) - size[lo:hi]
+        count = wide[lo:hi] + 1
+        of = np.repeat(np.arange(hi - lo), count)
+        shift = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        gram = hashes.of(at + back[lo:hi], GRAM)
+        parts_.append((of + lo, shift, mix64(gram[of] + mix64((back[lo:hi][of] - shift).astype(np.uint64))), hashes.of(at[of] + shift, LENGTH)))
+    none = np.zeros(0, np.int64)
+    return tuple(map(np.concatenate, zip(*parts_, strict=True))) if parts_ else (none, none, none.view(np.uint64), none.view(np.uint64))
 
 
 def _decided(table: pa.Table) -> pa.Table:
-    """The windows of a bucket's edges that come earlier in another edge."""
+    """The spans of a bucket that are met earlier, and the windows that come earlier in another span, by block."""
     low, lens = _column(table, "low", np.int32)
-    ids, wide, back = (_column(table, n, k)[0] for n, k in (("ids", np.int64), ("wide", np.uint8), ("back", np.uint8)))
+    ids, wide, back = (_column(table, n, k)[0].astype(np.int64) for n, k in (("ids", np.int64), ("wide", np.uint8), ("back", np.uint8)))
     row = np.repeat(np.arange(table.num_rows), lens)
     data = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in table.column("data")), np.uint8)
-    hashes = Hashes(data)
-    size = wide.astype(np.int64) + LENGTH
-    begin = np.cumsum(size) - size
-    gram = mix64(hashes.of(begin + back, GRAM))
-    block = table.column("block").to_numpy()[row]
-    order = np.lexsort((low, block, ids, gram))
-    out: dict[int, list[np.ndarray]] = {}
-    # k-grams in lots of some hundred thousand windows
-    groups = np.cumsum(np.diff(gram[order], prepend=~gram[order[:1]]) != 0) - 1
-    load = np.cumsum(wide[order].astype(np.int64) + 1)
-    cuts = np.append(0, np.cumsum(np.bincount(groups))) if len(order) else np.zeros(1, np.int64)
-    a = 0
-    while a < len(order):
-        upto = int(np.searchsorted(load, (load[a - 1] if a else 0) + (1 << 19), side="right"))
-        b = int(cuts[np.searchsorted(cuts, max(upto, a + 1), side="left")])
-        one = order[a:b]
-        count = wide[one].astype(np.int64) + 1
-        entry = np.repeat(np.arange(len(one)), count)
-        shift = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-        offset = back[one][entry].astype(np.int64) - shift + 128
-        group = groups[a:b][entry] * 256 + offset
-        sort = np.argsort(group, kind="stable")
-        entry, shift = entry[sort], shift[sort]
-        found = later_equals(hashes, begin[one][entry] + shift, group[sort], LENGTH)
-        entry, shift = entry[found], shift[found]
-        rows = row[one][entry]
-        starts = low[one][entry] + shift
-        by = np.argsort(rows, kind="stable")
-        for c, d in runs(rows[by]):
-            out.setdefault(int(rows[by[c]]), []).append(starts[by[c:d]])
-        a = b
-    names = table.column("block").to_pylist()
-    none = squeeze(np.zeros(0, np.uint8))
-    done = [(names[r], np.sort(np.concatenate(s)).astype(np.int32)) for r, s in out.items()]
-    return pa.table({"block": pa.array([d[0] for d in done], pa.int64()), "low": pa.array([squeeze(d[1]) for d in done], pa.binary()), "wide": pa.array([squeeze(np.zeros(len(d[1]), np.uint8)) for d in done], pa.binary()), "back": pa.array([none] * len(done), pa.binary()), "state": pa.array([squeeze(np.full(len(d[1]), WHOLE, np.uint8)) for d in done], pa.binary())})
+    begin = np.cumsum(wide + LENGTH) - wide - LENGTH
+    order = np.lexsort((low, table.column("block").to_numpy()[row], ids))
+    low, wide, back, row, begin = (x[order] for x in (low, wide, back, row, begin))
+    size, gram, span = wide + LENGTH, np.zeros(len(low), np.uint64), np.zeros(len(low), np.uint64)
+    for lo, hi in runs(np.cumsum(size) // LOT):
+        hashes, at = Hashes(data[ragged(begin[lo:hi], size[lo:hi])]), np.cumsum(size[lo:hi]) - size[lo:hi]
+        gram[lo:hi], span[lo:hi] = hashes.of(at + back[lo:hi], GRAM), hashes.of(at, size[lo:hi])
+    whole = later(data, begin, size, mix64(gram + (back << 8 | wide).astype(np.uint64)), span)
+    # what is left of k-grams with several spans
+    _, group = np.unique(gram, return_inverse=True)
+    edge = np.flatnonzero(~whole & (np.bincount(group, weights=~whole)[group] > 1)) if len(gram) else np.zeros(0, np.int64)
+    of, shift, group, key = _hashed(data, begin[edge], wide[edge], back[edge])
+    found = later(data, begin[edge][of] + shift, np.full(len(of), LENGTH), group, key)
+    rows = np.concatenate([row[whole], row[edge][of[found]]])
+    starts = np.concatenate([low[whole], low[edge][of[found]] + shift[found]]).astype(np.int32)
+    wide = np.concatenate([wide[whole], np.zeros(int(found.sum()), np.int64)]).astype(np.uint8)
+    by = np.lexsort((starts, rows))
+    names, out = table.column("block").to_pylist(), {n: [] for n in ("block", "low", "wide")}
+    for a, b in runs(rows[by]):
+        for n, v in zip(out, (names[rows[by[a]]], squeeze(starts[by[a:b]]), squeeze(wide[by[a:b]])), strict=True):
+            out[n].append(v)
+    return pa.table({n: pa.array(v, pa.int64() if n == "block" else pa.binary()) for n, v in out.items()})
 
 
 def _cleared(texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(packed: pa.Table, judged: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, found: pa.Table) -> pa.Table:
         """Documents of a block with the covered runs and the bytes that stay; with texts, only whole characters of them."""
         out = {n: [] for n in ("n_bytes", "spans", "kept")}
         for one in packed.to_batches():
@@ -357,10 +413,8 @@ def _cleared(texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 data = _bytes(line)
                 bounds = np.append(0, np.cumsum(expand(line.column("lens")[0].as_py(), np.int64)))
                 low, wide = (expand(line.column(n)[0].as_py(), k) for n, k in (("low", np.int32), ("wide", np.uint8)))
-                if judged.num_rows:
-                    state = _column(judged, "state", np.uint8)[0]
-                    low = np.concatenate([low, _column(judged, "low", np.int32)[0][state == WHOLE]])
-                    wide = np.concatenate([wide, _column(judged, "wide", np.uint8)[0][state == WHOLE]])
+                low = np.concatenate([low, _column(found, "low", np.int32)[0]])
+                wide = np.concatenate([wide, _column(found, "wide", np.uint8)[0]])
                 n = len(data)
                 cover = np.bincount(low, minlength=n + 1) - np.bincount(low.astype(np.int64) + wide + LENGTH, minlength=n + 1)
                 gone = np.cumsum(cover)[:n] > 0
@@ -382,28 +436,27 @@ def _cleared(texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def _found(df: DataFrame, id_col: str, text_col: str, block: int, texts: bool = False) -> DataFrame:
+def _found(df: DataFrame, id_col: str, text_col: str, block: int, texts: bool = False, hot: int = HOT) -> DataFrame:
     """(rest, n_bytes, spans, kept); rest holds all columns but the text."""
-    buckets = 4 * parts(df.sparkSession)
+    many = buckets(df, text_col)
     rest = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col))
     given = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
     kind = given.schema["rest"].dataType
     long, binary = T.LongType(), T.BinaryType()
     arrays = "low binary, wide binary, back binary"
-    sent = given.select("id", "text").mapInArrow(_sent(buckets, block), f"bucket int, block long, gram binary, span binary, ids binary, {arrays}")
-    judged = sent.groupBy("bucket").applyInArrow(_judged, f"block long, {arrays}, state binary")
+    sent = given.select("id", "text").mapInArrow(_sent(many, block), f"bucket int, block long, gram binary, span binary, {arrays}")
+    judged = sent.groupBy("bucket").applyInArrow(_judged(hot), f"block long, {arrays}, state binary")
     columns = {"block": long, "ids": T.ArrayType(long), "rest": T.ArrayType(kind), "lens": binary, "data": binary, "low": binary, "wide": binary}
     packed = given.mapInArrow(_packed(block), T.StructType([T.StructField(*c) for c in columns.items()]))
-    edges = packed.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(_edges(buckets), f"bucket int, block long, ids binary, {arrays}, data binary")
-    decided = edges.groupBy("bucket").applyInArrow(_decided, f"block long, {arrays}, state binary")
-    found = judged.unionByName(decided)
+    edges = packed.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(_edges(many), f"bucket int, block long, ids binary, {arrays}, data binary")
+    found = edges.groupBy("bucket").applyInArrow(_decided, "block long, low binary, wide binary")
     columns = {"rest": kind, "n_bytes": long, "spans": T.ArrayType(T.StructType([T.StructField("start", long), T.StructField("end", long)])), "kept": binary}
     return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cleared(texts), T.StructType([T.StructField(*c) for c in columns.items()]))
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id_col, n_bytes, spans array<struct<start, end>>, kept binary) for each row of df; ids are longs."""
-    found = _found(df.select(id_col, text_col), id_col, text_col, block)
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """(id_col, n_bytes, spans array<struct<start, end>>, kept binary) for each row of df; ids are longs. No result depends on block and hot."""
+    found = _found(df.select(id_col, text_col), id_col, text_col, block, hot=hot)
     return found.select(F.col("rest")[id_col].alias(id_col), "n_bytes", "spans", "kept")
 
 

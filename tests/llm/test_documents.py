@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyloom.llm import cube_mixing, ngram_trie, paragraph_minhash, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup
+from tallyloom.llm import cube_mixing, frames, ngram_trie, paragraph_minhash, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup
 from tallyloom.llm.frames import components, stored
 
 from .helpers import SCHEMA, odd, odd_rows
@@ -98,9 +98,9 @@ def suffix_brute(rows):
     return sorted(out.values(), key=repr)
 
 
-@pytest.mark.parametrize("block", [3000, 1 << 20])
-def test_suffix_dedup(docs, empty, block):
-    got = suffix_dedup.repeats(docs, block=block)
+@pytest.mark.parametrize(("block", "hot"), [(3000, 1), (3000, 4096), (1 << 20, 4096)])
+def test_suffix_dedup(docs, empty, block, hot):
+    got = suffix_dedup.repeats(docs, block=block, hot=hot)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     flat = got.select("doc_id", "n_bytes", removed, F.size("spans"), F.sha2("kept", 256))
     assert rows_of(flat) == suffix_brute(odd_rows())
@@ -109,17 +109,34 @@ def test_suffix_dedup(docs, empty, block):
     assert suffix_dedup.repeats(empty).count() == 0
 
 
-def test_suffix_sort_orders_and_verifies():
+@pytest.mark.parametrize("hot", [3, 4096])
+def test_lines_with_many_neighbours(spark, hot):
+    """Lines of 40 to 98 bytes, and ends of a passage, that all documents share with different text around them."""
+    rng = np.random.default_rng(9)
+    body = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    lines, passage = [body(n) for n in (40, 63, 98)], body(240)
+    texts = [body(rng.integers(0, 60)).join(["", *rng.permutation([*lines, passage[: rng.integers(90, 240)], "ab" * 70]), body(8)]) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = suffix_dedup.repeats(df, block=2000, hot=hot)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    assert rows_of(got.select("doc_id", "n_bytes", removed, F.size("spans"), F.sha2("kept", 256))) == suffix_brute([(*r, None) for r in rows])
+
+
+def test_suffix_sort_orders_and_verifies(monkeypatch):
     data = np.frombuffer(b"banana_bandana_banana_ban" * 3, np.uint8)
     h = suffix_dedup.Hashes(data)
-    starts = np.arange(0, 40)
-    order = suffix_dedup.suffix_sort(h, starts, np.zeros(40, np.int64), 20)
+    starts, none, most = np.arange(0, 40), np.zeros(40, np.int64), np.full(40, 20)
+    order = suffix_dedup.suffix_sort(h, starts, none, most)
     texts = [data[s : s + 20].tobytes() for s in starts]
     assert [texts[i] for i in order] == sorted(texts)
-    later = suffix_dedup.later_equals(h, starts, np.zeros(40, np.int64), 20)
+    later = suffix_dedup.later_equals(h, starts, none, most)
     assert later.tolist() == [texts[i] in texts[:i] for i in range(40)]
+    for lot in (1 << 20, 100, 1):
+        monkeypatch.setattr(suffix_dedup, "LOT", lot)
+        assert suffix_dedup.later(data, starts, most, none, none).tolist() == later.tolist()
     h.of = lambda start, length: np.zeros(len(start), np.uint64)  # all hashes collide
-    assert suffix_dedup.later_equals(h, starts, np.zeros(40, np.int64), 20).tolist() == later.tolist()
+    assert suffix_dedup.later_equals(h, starts, none, most).tolist() == later.tolist()
 
 
 def test_simhash(docs, empty):
@@ -225,6 +242,62 @@ def test_scores(docs, empty, order):
     assert ngram_trie.scores(empty).count() == 0
 
 
+def backoff_brute(rows, order):
+    """The score of each row by dictionaries, with the same quantised numbers."""
+    toks = [WORD.findall(low(t)) + [" "] for _, t, _ in rows]
+    train = [t for t, (i, _, _) in zip(toks, rows, strict=True) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    one = lambda x, grid: float(ngram_trie.restored(ngram_trie.quantised(np.array([x]), grid), grid)[0])
+    counts = [collections.Counter() for _ in range(order + 1)]
+    context = lambda t, j, k: tuple(t[x] if x >= 0 else None for x in range(j - k + 1, j))
+    for t in train:
+        for j, w in enumerate(t):
+            for k in range(1, order + 1):
+                counts[k][context(t, j, k), w] += 1
+    n, v = sum(counts[1].values()), len(counts[1])
+    after = [collections.defaultdict(dict) for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for (h, w), c in counts[k].items():
+            after[k][h][w] = c
+    discount = lambda own: (sum(c == 1 for c in own.values()) + 3.0) / (sum(c == 1 for c in own.values()) + 2 * sum(c == 2 for c in own.values()) + 4.0)
+
+    def p(k, h, w):
+        if k == 1:
+            return one(math.log10((counts[1][(), w] + 1) / (n + v + 1)), ngram_trie.P_GRID)
+        own = after[k].get(h)
+        if own is None:
+            return p(k - 1, h[1:], w)
+        d, total = discount(own), sum(own.values())
+        if w in own:
+            return one(math.log10((own[w] - d) / total), ngram_trie.P_GRID)
+        seen = sum(10 ** one(p(k - 1, h[1:], x), ngram_trie.P_GRID) for x in own)
+        return p(k - 1, h[1:], w) + one(math.log10(d * len(own) / total / max(1 - seen, 1e-5)), ngram_trie.A_GRID)
+
+    return [sum(p(order, context(t, j, order), w) for j, w in enumerate(t)) for t in toks]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_are_those_of_a_backoff_model(spark, order):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"w{min(rng.geometric(0.08), rng.integers(1, 60))}" for _ in range(rng.integers(0, 60))), None) for i in range(70)] + [(None, "w1 W2 w1 w2", None), (3, None, None), (3, None, None)]
+    want = sorted(((r[0], round(x, 5)) for r, x in zip(rows, backoff_brute(rows, order), strict=True)), key=repr)
+    df = stored(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    got = []
+    for parts in ("4", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got.append(rows_of(ngram_trie.scores(df, order=order, block=1000).select("doc_id", F.round("score", 5))))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] == want
+
+
+def test_keys_that_lie_are_told_apart(monkeypatch):
+    heads = [np.array([[5, 6, 5], [7, 8, 9]], np.uint64), np.array([[6], [8]], np.uint64)]
+    monkeypatch.setattr(ngram_trie, "_context", lambda words: np.ones(len(words[0]), np.uint64))
+    keys = ngram_trie._contexts(heads)
+    assert keys[1] == keys[3] and len(set(keys.tolist())) == 3
+
+
 def test_scores_are_those_of_trigrams(spark):
     # after "a b" always c, after "x b" always d: only a trigram knows which
     texts = [(i, f"a b c u{i} x b d v{i}") for i in range(40)]
@@ -252,11 +325,10 @@ def test_trie_level_answers_like_a_dictionary(tmp_path):
     count = rng.integers(1, 9, len(pairs))
     lower = np.full(len(pairs), -3.0)
     level = ngram_trie.Level(pairs[:, 0], pairs[:, 1], count, lower, str(tmp_path))
-    once, twice = (count == 1).sum(), (count == 2).sum()
-    d = once / (once + 2 * twice)
     said = level.answer(pairs[:, 0], pairs[:, 1])
-    total = {c: count[pairs[:, 0] == c].sum() for c in np.unique(context)}
-    p = np.array([(k - d) / total[c] for c, k in zip(pairs[:, 0], count, strict=True)])
+    own = {c: count[pairs[:, 0] == c] for c in np.unique(context)}
+    d = {c: ((k == 1).sum() + 3.0) / ((k == 1).sum() + 2 * (k == 2).sum() + 4.0) for c, k in own.items()}
+    p = np.array([(k - d[c]) / own[c].sum() for c, k in zip(pairs[:, 0], count, strict=True)])
     assert np.abs(ngram_trie.restored(said, ngram_trie.P_GRID) - np.log10(p)).max() < 0.021
     missing = level.answer(np.sort(np.unique(context)), np.full(len(np.unique(context)), 500, np.uint64))
     assert ((missing >= 256) & (missing < 512)).all()
@@ -359,7 +431,23 @@ def test_near_dedup_leaves_no_similar_pair(spark, docs, empty):
     assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("crowd", [0, 100_000])
+def test_components(spark, monkeypatch, crowd):
+    monkeypatch.setattr(frames, "CROWD", crowd)
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 10), (7, 7), (5, None)] + [(100, 100 + i) for i in range(1, 50)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got[4] == 1 and got[11] == 10 and got[149] == 100 and 7 not in got and len(got) == 4 + 2 + 50
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(spark):
+    class Context:
+        master = "yarn"
+        getCheckpointDir = lambda self: None
+        getConf = lambda self: {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        frames.shared_folder(Session())
