@@ -10,10 +10,12 @@ paragraph of a cluster, by document id and line, stays and all others are remove
 
 A lot of texts sends one class for each band, its least; the others of the lot collide with that one there, so
 a band that a third of all paragraphs share is a row a lot. What collides is a star of stars, and
-its pairs are verified first. After that only pairs in different components are left. Bands whose
-members are all connected need none of them; for the members of other bands a prefix filter finds
-the pairs: of two sets with a similarity of t or more, one of the 1 - t rarest shingles of
-the one is among those of the other. So no link is lost, and no band is joined with itself.
+its pairs are verified first. Bands whose members are all connected then need nothing more. Each other band
+is a star again, around its most central class, the one with the fewest shingles of its own: the
+copies of a text with few changes all meet there. After that a prefix filter finds the
+pairs of different components that are left: shingles are put in order of how many sets hold
+them, and the first one that two sets share stands so early in both that the rest can still
+make up the similarity. So no link is lost, and no band is joined with itself.
 
 Defined results: null and empty texts have no paragraphs; null ids come last in the order; rows
 of one id are ordered by a hash of their text; of rows equal in id and text one comes first and all
@@ -180,31 +182,38 @@ def _similar(threshold: float):
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pid, root, size, shingle) for each shingle of the set of (pid, root, body)."""
+    """(pid, size, shingle) for each shingle of the set of (pid, body)."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             some = batch.slice(lo, 256)
             sets = _sets(some.column("body").to_pylist())
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            same = lambda c: pa.array(np.repeat(some.column(c).to_numpy(), size))  # noqa: E731, B023
-            yield pa.record_batch({"pid": same("pid"), "root": same("root"), "size": pa.array(np.repeat(size, size)), "shingle": pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))})
+            yield pa.record_batch({"pid": pa.array(np.repeat(some.column("pid").to_numpy(), size)), "size": pa.array(np.repeat(size, size)), "shingle": pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))})
 
 
-def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of sets (pid, root, body) of different roots that can have a similarity of at least threshold.
+def ranked(sets: DataFrame) -> DataFrame:
+    """(pid, size, shingle, nth, sets) of the sets (pid, body): nth is the place of a shingle among its set's, the ones that the fewest sets hold first; sets is null where there is no other."""
+    each = stored(sets.select("pid", "body").mapInArrow(_exploded, "pid long, size long, shingle long"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    nth = F.row_number().over(Window.partitionBy("pid").orderBy(F.coalesce("sets", F.lit(1)), "shingle"))
+    return stored(each.join(often, "shingle", "left").withColumn("nth", nth))
+
+
+def prefix_pairs(places: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of sets of different roots (pid, root) that can have a similarity of at least threshold, from ranked().
 
-    Sets are sorted by how many sets hold a shingle. If two share less than their first size - threshold * size + 1
-    shingles, they can't share threshold of the larger.
+    Sets of sizes m and n need threshold / (1 + threshold) * (m + n) shingles in common, so their first common one is
+    among the first m + 1 less that of the one and the first n + 1 less that of the other. Of the sets
+    that hold a shingle those of the most frequent root are met by the others only.
     """
-    each = stored(sets.mapInArrow(_exploded, "pid long, root long, size long, shingle long"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy(F.coalesce("sets", F.lit(1)), "shingle"))
-    needed = F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9))
-    first = each.join(often, "shingle", "left").withColumn("nth", rank).where(F.col("nth") <= F.col("size") - needed + 1).where("sets is not null")
-    left = first.select("shingle", F.col("pid").alias("a"), F.col("root").alias("r"), F.col("size").alias("m"))
-    right = first.select("shingle", F.col("pid").alias("b"), F.col("root").alias("s"), F.col("size").alias("n"))
-    near = (F.col("m") >= F.lit(threshold) * F.col("n") - 1e-9) & (F.col("n") >= F.lit(threshold) * F.col("m") - 1e-9)
-    return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("r") != F.col("s")) & near).select("a", "b").distinct()
+    early = places.where((F.col("nth") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)) + 1) & F.col("sets").isNotNull()).join(roots, "pid")
+    each = early.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    hubs = each.groupBy("shingle").agg(F.max_by("root", "n").alias("hub"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    left = early.join(hubs, "shingle").where("root <> hub").select("shingle", F.col("pid").alias("a"), F.col("root").alias("r"), F.col("size").alias("m"), F.col("nth").alias("i"))
+    right = early.select("shingle", F.col("pid").alias("b"), F.col("root").alias("s"), F.col("size").alias("n"), F.col("nth").alias("j"))
+    common = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("n")) - F.lit(1e-9))
+    can = (F.col("r") != F.col("s")) & (F.col("i") <= F.col("m") - common + 1) & (F.col("j") <= F.col("n") - common + 1)
+    return left.join(right, "shingle").where(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def clusters(given: DataFrame, threshold: float, least: int) -> DataFrame:
@@ -224,13 +233,21 @@ def clusters(given: DataFrame, threshold: float, least: int) -> DataFrame:
         both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
         return stored(both.mapInArrow(_similar(threshold), "a long, b long"))
 
+    def rooted(links: DataFrame) -> DataFrame:
+        """(band, pid, root) of the bands whose members are in several components."""
+        labels = components(links).withColumnsRenamed({"node": "pid"})
+        found = stored(members.join(labels, "pid", "left").select("band", "pid", F.coalesce("root", "pid").alias("root")))
+        mixed = found.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+        return found.join(mixed, "band", "left_semi")
+
     links = verified(met.select("a", F.col("pid").alias("b")).distinct())
-    labels = components(links)
-    rooted = stored(members.join(labels.withColumnsRenamed({"node": "pid"}), "pid", "left").select("band", "pid", F.coalesce("root", "pid").alias("root")))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    rest = rooted.join(mixed, "band", "left_semi").select("pid", "root").distinct()
-    across = prefix_pairs(bodies.join(rest, "pid").select("pid", "root", "body"), threshold)
-    return components(links.union(verified(across)))
+    left = stored(rooted(links))
+    places = ranked(bodies.join(left.select("pid").distinct(), "pid", "left_semi"))
+    own = left.join(places.groupBy("pid").agg(F.count_if(F.col("sets").isNull()).alias("own")), "pid")
+    middle = own.groupBy("band").agg(F.min_by(F.struct("pid", "root"), F.struct("own", "pid")).alias("m")).select("band", F.col("m")["pid"].alias("a"), F.col("m")["root"].alias("r"))
+    links = links.union(verified(left.join(middle, "band").where("root <> r").select("a", F.col("pid").alias("b")).distinct()))
+    rest = rooted(links).select("pid", "root").distinct()
+    return components(links.union(verified(prefix_pairs(places, rest, threshold))))
 
 
 def _given(df: DataFrame, id_col: str, text, *tied: str) -> DataFrame:
