@@ -32,6 +32,7 @@ from .frames import stored
 from .text import mix64
 
 WEIGHTS, MOST, BLOCK, SEED = (1, 2, 3), 3.0, 4096, 10
+LOT = 100_000
 
 
 def words_in(text_col: str = "text"):
@@ -145,7 +146,7 @@ def _flown(salt: int, last: bool):
 def mix(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """Adds source_size, target, copies and taken to units (source, size, key, nth).
 
-    (key, nth) must name a unit; key is a long that also seeds its coins.
+    (key, nth) must name a unit of its source; key is a long that also seeds its coins.
     """
     goal = targets(units.select("source", "size"), weights, most)
     counted = units.groupBy("source").agg(F.count("*").alias("n"))
@@ -176,10 +177,22 @@ def mix(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST
     return done.withColumn("copies", copies).withColumn("taken", F.col("size") * copies).drop("n", "sure", "chance", "block")
 
 
+def _keyed(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """(id, source, size, key, row): key hashes id and text."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    return df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), F.xxhash64(id_col, text_col).alias("key"), row)
+
+
+def times(df: DataFrame, n: str, name: str) -> DataFrame:
+    """Each row n times, numbered from 1, in lots so that no row holds a long list."""
+    lots = df.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(LOT).cast("long"))))
+    return lots.withColumn(name, F.explode(F.sequence(F.col("lot") + 1, F.least(F.col("lot") + LOT, n)))).drop("lot")
+
+
 def _units(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(id, source, size, key, nth): key hashes id and text, nth numbers the rows of one key by source."""
-    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), F.xxhash64(id_col, text_col).alias("key"))
-    return stored(sized.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("source"))))
+    """(id, source, size, key, nth): nth numbers the rows of one key and source, which are counted and not gathered."""
+    per = _keyed(df, id_col, source_col, text_col).groupBy("id", "source", "size", "key").agg(F.count("*").alias("rows"))
+    return stored(times(per, "rows", "nth").drop("rows"))
 
 
 def weigh(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
@@ -189,12 +202,19 @@ def weigh(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def take(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: each row of df as often as it is taken, with the columns of df."""
-    copies = mix(_units(df, id_col, source_col, text_col), **options).where("copies > 0").select("key", "nth", "copies")
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
-    rows = df.select(row, F.xxhash64(id_col, text_col).alias("key"), F.col(source_col).alias("source"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("source")))
-    return rows.join(copies, ["key", "nth"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    """The mix itself: each row of df as often as it is taken, with the columns of df.
+
+    Rows equal in id, text and source share what is taken of them evenly, in the order of a hash of all columns.
+    """
+    mixed = mix(_units(df, id_col, source_col, text_col), **options)
+    taken = mixed.groupBy("key", "source").agg(F.sum("copies").alias("copies")).where("copies > 0").toDF("k", "s", "copies")
+    alike = _keyed(df, id_col, source_col, text_col).groupBy("key", "source", F.xxhash64("row").alias("kind")).agg(F.any_value("row").alias("row"), F.count("*").alias("rows"))
+    own = Window.partitionBy("key", "source")
+    upto, whole = F.sum("rows").over(own.orderBy("kind")), F.sum("rows").over(own)
+    met = alike.withColumn("upto", upto).withColumn("whole", whole).join(taken, (F.col("key") == F.col("k")) & F.col("source").eqNullSafe(F.col("s")))
+    part = lambda n: F.floor(F.col("copies") * n / F.col("whole"))
+    shared = met.withColumn("copies", (part(F.col("upto")) - part(F.col("upto") - F.col("rows"))).cast("long")).where("copies > 0")
+    return times(shared.select("row", "copies"), "copies", "nth").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

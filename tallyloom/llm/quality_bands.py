@@ -1,7 +1,9 @@
 """Operator 3: quality rules with compression bands.
 
-Every text is compressed whole and in fixed chunks. Text that repeats itself compresses too well,
-noise compresses too badly; the limits depend on the length, as short texts compress less. The
+Every text is compressed whole and in fixed chunks; what is left after the last full chunk is judged in a
+chunk that ends with the text and overlaps the one before, and a text shorter than a chunk by its whole
+ratio alone. Text that repeats itself compresses too well, noise compresses too badly; the limits depend
+on the length, as short texts compress less. The
 rule reads one document at a time, so it is a projection of the scan without a shuffle; a batch
 of documents is handled at once where counts need sorting.
 
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from .text import WHITE, mix64
 
 #: (bytes from, least and most ratio of compressed to plain bytes). Under 128 bytes the frame of
-#: the format itself decides the ratio, so there is no band.
+#: the format itself weighs most, so the band is wide.
 WHOLE = (
+    (1, 0.50, 1.40),
     (128, 0.45, 1.10),
     (256, 0.50, 0.88),
     (512, 0.47, 0.80),
@@ -95,6 +98,8 @@ def _lot(texts: pd.Series) -> pd.DataFrame:
         found = data.split()
         lines = [x for x in text.split("\n") if x.strip(WHITE)]
         chunks = [data[i : i + CHUNK] for i in range(0, len(data) - CHUNK + 1, CHUNK)]
+        if chunks and len(data) % CHUNK:
+            chunks.append(data[-CHUNK:])
         ratios = [len(press.compress(c)) / CHUNK for c in chunks]
         rows.append((
             len(found),

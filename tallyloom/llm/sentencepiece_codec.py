@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .frames import blocks, parts
+from .frames import blocks, buckets
 from .text import expand, ragged, runs, squeeze
 
 MARK = "▁"
@@ -186,14 +186,13 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     ids are those of the library's encode() of the whole text, without begin or end ids; decoded
     is its decode() of them. model is the path of a model file on every machine.
     """
-    spark = df.sparkSession
-    buckets = 4 * parts(spark)
+    many = buckets(df, text_col)
     kind = df.schema[id_col].dataType.simpleString()
     _cutter(model)
     given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lists = given.select("text").mapInArrow(_lists(model, "text", buckets), "bucket int, block long, sizes binary, chunks binary")
+    lists = given.select("text").mapInArrow(_lists(model, "text", many), "bucket int, block long, sizes binary, chunks binary")
     tables = lists.groupBy("bucket").applyInArrow(_segmented(model), "block long, bucket int, lens binary, ids binary")
-    codes = given.mapInArrow(_codes(model, "id", "text", buckets), f"block long, ids array<{kind}>, lens binary, codes binary, places binary")
+    codes = given.mapInArrow(_codes(model, "id", "text", many), f"block long, ids array<{kind}>, lens binary, codes binary, places binary")
     run = _joined(model, to_arrow_type(df.schema[id_col].dataType))
     return codes.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 

@@ -12,8 +12,9 @@ ten times the replicas.
 
 Equal fingerprints are one class before anything is replicated. At an anchor, fingerprints are
 compared in tiles and only a spanning forest of the links found there leaves the task, so a group
-of near copies costs rows in proportion to its size. Components over these links are those over
-all links.
+of near copies costs rows in proportion to its size. An anchor with more than `LOT` fingerprints is
+cut in chunks, and each two chunks are a cell of their own, so that many tasks compare them. Components
+over these links are those over all links.
 
 Defined results: null and empty texts have fingerprint 0 and link like others; null ids get a row
 and the component of their fingerprint, which is null if it has no other id; repeated rows each
@@ -27,15 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import components, stored
+from .frames import components, spread_join, stored
 from .text import words
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Fingerprints compared at once: a tile of TILE x TILE.
 TILE = 2048
+#: Fingerprints of an anchor that a task compares, about half of them if they are cut.
+LOT = 8192
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -177,8 +180,14 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if distance not in (4, 5):
         raise ValueError("the anchors cover distances of 4 and 5 bits")
     spread = classes.select("fp").mapInArrow(_replicas, "anchor long, fp long")
-    dealt = spread.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(_compared(distance), "a long, b long").distinct()
+    hot = spread.groupBy("anchor").agg((2 * F.ceil(F.count("*") / LOT)).alias("many")).where("many > 2")
+    chunk = F.pmod(F.xxhash64("fp"), F.col("many"))
+    # a fingerprint of a cut anchor goes to the cells of its chunk with each other chunk
+    other = F.explode(F.when(F.col("many").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("many") - 1), lambda o: o != chunk)))
+    cells = spread.join(hot, "anchor", "left").select("anchor", "fp", "many", other.alias("other"))
+    cell = F.when(F.col("other") < 0, F.col("anchor")).otherwise(F.xxhash64("anchor", F.least(chunk, "other"), F.greatest(chunk, "other")))
+    dealt = cells.select("anchor", cell.alias("cell"), "fp").repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    return dealt.select("cell", "fp").mapInArrow(_compared(distance), "a long, b long").distinct()
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, distance: int) -> DataFrame:
@@ -188,9 +197,9 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, distance: int) -> DataFr
     prints = stored(given.mapInArrow(_fingerprints, f"id {kind}, key long, fp long"))
     classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(classes, distance)).withColumnsRenamed({"node": "fp"})
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+    rooted = stored(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return prints.join(spread_join(rooted, least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -205,8 +214,8 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = grouped.groupBy("root").agg(first).select(F.col("first")["key"].alias("key"))
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
     rows = df.select(row, F.xxhash64(id_col, text_col).alias("key")).join(chosen, "key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
-    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
+    # of rows equal in id and text one stays, whatever their number, by a hash of all columns
+    return rows.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

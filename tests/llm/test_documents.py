@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tallyloom.llm import cube_mixing, frames, ngram_trie, paragraph_minhash, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup
@@ -74,6 +75,38 @@ def test_quality(docs, empty):
     assert quality_bands.rate(empty).count() == 0 == quality_bands.keep(empty).count()
 
 
+def bands_brute(text):
+    """The verdict of the bands: the whole ratio by length, and at most a quarter of the chunks outside theirs."""
+    data, press = (text or "").encode(), zstandard.ZstdCompressor(level=3)
+    if not data:
+        return True
+    low, high = next((a, b) for least, a, b in reversed(quality_bands.WHOLE) if len(data) >= least)
+    if not low <= len(press.compress(data)) / len(data) <= high:
+        return False
+    cuts = [(i, i + 2048) for i in range(0, len(data) - 2047, 2048)]
+    if len(data) > 2048 and len(data) % 2048:
+        cuts.append((len(data) - 2048, len(data)))
+    out = [not 0.44 <= len(press.compress(data[a:b])) / 2048 <= 0.66 for a, b in cuts]
+    return 4 * sum(out) <= len(out)
+
+
+def test_verdicts_are_those_of_the_bands(spark, docs):
+    rng = np.random.default_rng(13)
+    noise = lambda n: "".join(chr(x) for x in rng.integers(33, 126, n))
+    prose = lambda n: " ".join(f"{'aeiou'[x % 5]}{chr(98 + x % 20)}t{x % 90}" for x in rng.integers(0, 4000, n))
+    texts = [t for _, t, _ in odd_rows()] + [prose(n) for n in (20, 25, 60, 200, 341, 342, 700, 1500)] + [prose(500) + " " + noise(1500), prose(500) + " x" * 900, " ".join(noise(7) for _ in range(300)), " ".join("abcdefghijklmnopqrstuv")]
+    want = []
+    for t in texts:
+        w = WORD.findall(t or "")
+        n = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        cover = {j for i in range(len(w) - 7) if n[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        want.append(not (len(w) < 20 or 100 * len(cover) > 30 * len(w)) and bands_brute(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["kept"] for r in quality_bands.rate(df).orderBy("doc_id").collect()] == want and any(want) and not all(want)
+    both = df.withColumn("row", F.lit(1)).withColumn("m", F.lit(2)).withColumn("n_words", F.lit("x"))
+    assert sorted(r["doc_id"] for r in quality_bands.keep(both).collect()) == [i for i, k in enumerate(want) if k]
+
+
 def test_bands_reject_repetition_and_noise(spark):
     rng = np.random.default_rng(5)
     noise = " ".join(bytes(rng.integers(33, 126, 9, dtype=np.uint8)).decode() for _ in range(500))
@@ -401,10 +434,10 @@ def test_prefix_pairs_lose_nothing(spark):
     rng = np.random.default_rng(3)
     pool = [f"w{x}" for x in range(60)]
     bodies = [" ".join(pool[j] for j in sorted(rng.choice(60, rng.integers(30, 58), replace=False))) for _ in range(120)]
-    sets = spark.createDataFrame([(i, i, b.encode()) for i, b in enumerate(bodies)], "pid long, root long, body binary")
-    got = {tuple(r) for r in paragraph_minhash.prefix_pairs(sets, 0.6).collect()}
+    sets = spark.createDataFrame([(i, i // 3, b.encode()) for i, b in enumerate(bodies)], "pid long, root long, body binary")
+    got = {tuple(r) for r in paragraph_minhash.prefix_pairs(paragraph_minhash.ranked(sets), sets.select("pid", "root"), 0.6).collect()}
     grams = [set(zip(*(b.split()[k:] for k in range(5)), strict=False)) for b in bodies]
-    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if len(grams[i] & grams[j]) >= 0.6 * len(grams[i] | grams[j])}
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if i // 3 != j // 3 and len(grams[i] & grams[j]) >= 0.6 * len(grams[i] | grams[j])}
     assert want and want <= got
 
 

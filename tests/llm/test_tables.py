@@ -105,10 +105,37 @@ def test_url_lists(spark):
     got = sorted((r["page_id"], r["n_active"], r["blocked"]) for r in url_lists.active(spark.createDataFrame(rows, "page_id long, url string, fetched date").withColumn("host", F.lit(1)), changes).collect())
     assert got == [(1, 0, False), (2, 1, True), (2, 1, True), (3, 0, False), (4, 1, True), (5, 0, False), (6, 0, False), (7, 0, False), (8, 0, False)]
     captures = spark.createDataFrame(rows, "page_id long, url string, fetched date")
+    odd = captures.withColumn("h", F.lit(1)).withColumn("day", F.lit(2)).withColumn("row", F.lit(3)).withColumn("entry", F.lit(4))
+    done = url_lists.active(odd, changes)
+    assert done.columns == ["page_id", "url", "fetched", "h", "day", "row", "host", "n_active", "entry", "blocked"]
+    assert sorted((r["page_id"], r["n_active"], r["blocked"]) for r in done.collect()) == got
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched date")
     assert url_lists.active(captures, changes.limit(0)).where("blocked").count() == 0
     assert url_lists.active(captures.limit(0), changes).count() == 0
 
 
+def test_hosts(spark):
+    urls = ["http://[2001:DB8::1]:8080/x", "https://[::1]/", "http://1.2.3.4:80/", "ftp://u:p@a.B.c/", "http://", "mailto:x", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [r[0] for r in df.select(url_lists.host_of(F.col("url"))).collect()] == ["[2001:db8::1]", "[::1]", "1.2.3.4", "a.b.c", None, None, None]
+    changes = spark.createDataFrame([("3.4", dt.date(2024, 1, 1), "add"), ("[::1]", dt.date(2024, 1, 1), "add"), ("c", dt.date(2024, 1, 1), "add")], "entry string, on date, action string")
+    done = url_lists.active(df.withColumn("fetched", F.lit(dt.date(2024, 2, 1))), changes)
+    assert {r["host"] for r in done.where("blocked").collect()} == {"[::1]", "a.b.c"}
+
+
+def test_as_of_agrees_with_all_intervals(spark):
+    rng = np.random.default_rng(5)
+    start = dt.date(2024, 1, 1)
+    log = [(f"d{rng.integers(4)}.com", start + dt.timedelta(int(rng.integers(90))), ["add", "remove"][rng.integers(2)]) for _ in range(120)]
+    asked = [(f"d{i}.com", start + dt.timedelta(d)) for i in range(5) for d in range(-2, 95)]
+    last = {}
+    for e, on, action in sorted(set(log)):
+        last.setdefault(e, {})[on] = action
+    want = {(e, d) for e, d in asked if (on := max((x for x in last.get(e, {}) if x <= d), default=None)) and last[e][on] == "add"}
+    valid = url_lists.intervals(spark.createDataFrame(log, "entry string, on date, action string"))
+    assert {tuple(r) for r in url_lists.as_of(spark.createDataFrame(asked, "entry string, day date"), valid).collect()} == want
+
+
 def test_chat(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo"), (1, 2, None, None), (1, 5000, "ann", "bye"), (None, 0, "x", "y"), (2, 0, None, "z"), (1, 1, "bob", "yo")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
