@@ -3,25 +3,39 @@
 All of them are data, in the order in which they are tried.
 """
 
-# Date formats, Spark notation (single letters also take two digits), tried in this order.
+# Date formats, Spark notation (single letters also take two digits), tried in this order.
 DATE_FORMATS = ("d/M/yyyy", "yyyy-M-d", "M/d/yyyy", "d-MMM-yyyy", "d-M-yyyy", "yyyy/M/d", "d MMM yyyy", "d MMMM yyyy")
 SHORT_DATE_FORMATS = ("d/M/yyyy", "yyyy-M-d", "M/d/yyyy", "d-M-yyyy")
 
+# The same with the month before the day.
+MONTH_FIRST_FORMATS = ("M/d/yyyy", "yyyy-M-d", "d/M/yyyy", "d-MMM-yyyy", "d-M-yyyy", "yyyy/M/d", "d MMM yyyy", "d MMMM yyyy")
+
 # What counts as a number after prefixes and separators are gone.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 # Urdu script: Arabic, Arabic Supplement, Presentation Forms A and B.
 URDU = "[\\u0600-\\u06FF\\u0750-\\u077F\\uFB50-\\uFDFF\\uFE70-\\uFEFF]"
 
-# Personal data in the order in which it is searched (Java regular expressions).
+# Personal data in the order in which it is searched. (?U): digits and word ends of any script.
 PII_PATTERNS = {
-    "CNIC": r"\b[0-9]{5}-[0-9]{7}-[0-9]\b",
-    "PHONE": r"(?<![0-9])(?:\+92|0092|92)?[-.\s]?3[0-9]{2}[-.\s]?[0-9]{7}|\b0[0-9]{2,3}[-.\s]?[0-9]{6,7}\b",
-    "EMAIL": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
-    "IBAN": r"\bPK[0-9]{2}[A-Z]{4}[0-9]{16}\b",
-    "ACCOUNT_NO": r"(?<![0-9])[0-9]{8,16}(?![0-9])",
-    "ADDRESS": r"(?i)\b(?:house|h\.?\s*no\.?|street|st\.|block|sector|phase|plot|flat|floor|apartment|apt\.?|road|rd\.|avenue|ave\.|lane|gali|mohalla|muhalla|locality|colony|town|city)\b",
+    "CNIC": r"(?U)\b\d{5}-\d{7}-\d\b",
+    "PHONE": r"(?U)(?<!\d)(\+92|0092|92)?[-.\s]?(3\d{2})[-.\s]?\d{7}|\b0\d{2,3}[-.\s]?\d{6,7}\b",
+    "EMAIL": r"(?U)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
+    "IBAN": r"(?U)\bPK\d{2}[A-Z]{4}\d{16}\b",
+    "ACCOUNT_NO": r"(?U)(?<!\d)\d{8,16}(?!\d)",
+    "ADDRESS": r"(?Ui)\b(house|h\.?\s*no\.?|street|st\.|block|sector|phase|plot|flat|floor|apartment|apt\.?|road|rd\.|avenue|ave\.|lane|gali|mohalla|muhalla|locality|colony|town|city)\b",
 }
+# Masks of the silver step and of the file-to-gold job, in order: type, pattern, mark.
+SILVER_MASKS = (
+    ("cnic", r"(?U)\b\d{5}-\d{7}-\d\b", "*****-*******-*"),
+    ("phone", r"(?U)(\+92|0)\d{10}", "***PHONE***"),
+    ("email", r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "***EMAIL***"),
+)
+PIPELINE_MASKS = (
+    ("CNIC", r"(?U)\d{5}-\d{7}-\d", "[CNIC]"),
+    ("PHONE", r"(?U)03\d{9}", "[PHONE]"),
+    ("PHONE", r"(?U)\+92\d{10}", "[PHONE]"),
+)
 PII_FIELDS = ("description", "party_name", "reference")
 
 # Canonical columns and their aliases; the first alias present wins.
@@ -184,25 +198,59 @@ CLOUD_SAFE = (
     "rows_failed", "rows_total", "file_sha256", "filename", "file_size_bytes", "mime_type", "created_at", "updated_at", "org_id",
 )
 
-# Header dictionary: software, then target field and its headers.
+# The header dictionary, in the order in which it is tried. Software, then header and target field.
 SOFTWARE_HEADERS = {
-    "tally": {"transaction_date": ("date",), "description": ("particulars",), "voucher_type": ("vch type",), "voucher_number": ("vch no.", "vch no"), "amount_debit": ("debit",), "amount_credit": ("credit",), "account_name": ("ledger name",)},
-    "quickbooks_desktop": {"transaction_date": ("date", "txn date"), "vendor": ("name",), "description": ("memo", "memo/description"), "reference": ("num",), "voucher_type": ("type",), "net_amount": ("amount",), "amount_debit": ("debit",), "amount_credit": ("credit",), "account_name": ("account",), "category": ("class",)},
-    "quickbooks_online": {"transaction_date": ("date", "transaction date"), "vendor": ("payee",), "description": ("description",), "reference": ("ref no.",), "voucher_type": ("transaction type",), "net_amount": ("amount",), "amount_debit": ("debit (pkr)",), "amount_credit": ("credit (pkr)",), "account_name": ("account",), "category": ("category",)},
-    "ledgermax": {"transaction_date": ("transaction date", "date"), "description": ("description",), "vendor": ("party name",), "reference": ("reference",), "amount_debit": ("dr amount",), "amount_credit": ("cr amount",), "net_amount": ("net amount",), "account_name": ("account",)},
-    "xero": {"transaction_date": ("date",), "description": ("description",), "reference": ("reference",), "vendor": ("contact",), "amount_debit": ("debit",), "amount_credit": ("credit",), "account_name": ("account",), "category": ("tax rate",)},
-    "bank_pdf_hbl": {"transaction_date": ("date", "value date"), "description": ("description", "narration"), "amount_debit": ("debit", "dr"), "amount_credit": ("credit", "cr"), "balance": ("balance",)},
-    "bank_pdf_ubl": {"transaction_date": ("posting date",), "description": ("description",), "amount_debit": ("debit",), "amount_credit": ("credit",), "balance": ("running balance",)},
-    "bank_pdf_meezan": {"transaction_date": ("date",), "description": ("description",), "amount_debit": ("withdrawal",), "amount_credit": ("deposit",), "balance": ("balance",)},
+    "tally": {"date": "transaction_date", "particulars": "description", "vch type": "voucher_type", "vch no.": "voucher_number", "vch no": "voucher_number", "debit": "amount_debit", "credit": "amount_credit", "ledger name": "account_name"},
+    "quickbooks_desktop": {"date": "transaction_date", "txn date": "transaction_date", "name": "vendor", "memo": "description", "memo/description": "description", "num": "reference", "type": "voucher_type", "amount": "net_amount", "debit": "amount_debit", "credit": "amount_credit", "account": "account_name", "class": "category"},
+    "quickbooks_online": {"date": "transaction_date", "transaction date": "transaction_date", "payee": "vendor", "description": "description", "ref no.": "reference", "transaction type": "voucher_type", "amount": "net_amount", "debit (pkr)": "amount_debit", "credit (pkr)": "amount_credit", "account": "account_name", "category": "category"},
+    "ledgermax": {"transaction date": "transaction_date", "date": "transaction_date", "description": "description", "party name": "vendor", "reference": "reference", "dr amount": "amount_debit", "cr amount": "amount_credit", "net amount": "net_amount", "account": "account_name"},
+    "xero": {"date": "transaction_date", "description": "description", "reference": "reference", "contact": "vendor", "debit": "amount_debit", "credit": "amount_credit", "account": "account_name", "tax rate": "category"},
+    "bank_pdf_hbl": {"date": "transaction_date", "value date": "transaction_date", "description": "description", "narration": "description", "debit": "amount_debit", "credit": "amount_credit", "balance": "balance", "dr": "amount_debit", "cr": "amount_credit"},
+    "bank_pdf_ubl": {"posting date": "transaction_date", "description": "description", "debit": "amount_debit", "credit": "amount_credit", "running balance": "balance"},
+    "bank_pdf_meezan": {"date": "transaction_date", "description": "description", "withdrawal": "amount_debit", "deposit": "amount_credit", "balance": "balance"},
 }
 URDU_HEADERS = {
-    "transaction_date": ("تاریخ",), "net_amount": ("رقم",), "description": ("تفصیل", "بیان"), "vendor": ("نام", "فروش", "خریدار"), "reference": ("حوالہ", "نمبر"), "amount_credit": ("آمد", "جمع"),
-    "amount_debit": ("خرچ", "نکاسی"), "balance": ("بقایا",), "voucher_type": ("قسم",), "category": ("زمرہ",), "account_name": ("کھاتہ",),
-}
+    "تاریخ": "transaction_date",
+    "رقم": "net_amount",
+    "تفصیل": "description",
+    "بیان": "description",
+    "نام": "vendor",
+    "فروش": "vendor",
+    "خریدار": "vendor",
+    "حوالہ": "reference",
+    "نمبر": "reference",
+    "آمد": "amount_credit",
+    "خرچ": "amount_debit",
+    "جمع": "amount_credit",
+    "نکاسی": "amount_debit",
+    "بقایا": "balance",
+    "قسم": "voucher_type",
+    "زمرہ": "category",
+    "کھاتہ": "account_name",
+}
 ROMAN_URDU_HEADERS = {
-    "transaction_date": ("taareekh", "tareekh", "tarikh"), "net_amount": ("raqam", "raqm"), "description": ("tafseelat", "tafsilat", "bayaan", "bayan"), "vendor": ("naam",), "reference": ("hawala", "number"),
-    "amount_credit": ("aamad", "jama"), "amount_debit": ("kharcha", "kharch", "nikaasi"), "balance": ("baqaya",), "voucher_type": ("qisam",), "category": ("zamra",), "account_name": ("khaata",),
-}
+    "taareekh": "transaction_date",
+    "tareekh": "transaction_date",
+    "tarikh": "transaction_date",
+    "raqam": "net_amount",
+    "raqm": "net_amount",
+    "tafseelat": "description",
+    "tafsilat": "description",
+    "bayaan": "description",
+    "bayan": "description",
+    "naam": "vendor",
+    "hawala": "reference",
+    "number": "reference",
+    "aamad": "amount_credit",
+    "kharcha": "amount_debit",
+    "kharch": "amount_debit",
+    "jama": "amount_credit",
+    "nikaasi": "amount_debit",
+    "baqaya": "balance",
+    "qisam": "voucher_type",
+    "zamra": "category",
+    "khaata": "account_name",
+}
 GENERAL_HEADERS = (
     ("transaction_date", ("date", "txn_date", "txn date", "transaction_date", "transaction date", "posting_date", "posting date", "post_date", "value_date", "value date", "trans_date", "trans date", "dated", "dt")),
     ("description", ("description", "desc", "narration", "memo", "details", "particulars", "remarks", "note", "notes", "transaction_details", "transaction details")),

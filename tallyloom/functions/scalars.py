@@ -18,7 +18,7 @@ def literals(values: Iterable[str]) -> Column:
 
 def trimmed(c: Column) -> Column:
     """c without white space at its ends; null if nothing is left."""
-    t = F.regexp_replace(c, r"^\s+|\s+$", "")
+    t = F.btrim(c, F.lit(" \t\n\x0b\f\r"))
     return F.when(t != "", t)
 
 
@@ -30,10 +30,46 @@ def slug(c: Column) -> Column:
 # Dates -------------------------------------------------------------------------------------------
 
 
+#: Shapes of the formats that parse_date() reads without trying them, by format.
+SHAPES = {
+    "d/M/yyyy": r"\d{1,2}/\d{1,2}/\d{4}",
+    "M/d/yyyy": r"\d{1,2}/\d{1,2}/\d{4}",
+    "d-M-yyyy": r"\d{1,2}-\d{1,2}-\d{4}",
+    "yyyy-M-d": r"\d{4}-\d{1,2}-\d{1,2}",
+    "yyyy/M/d": r"\d{4}/\d{1,2}/\d{1,2}",
+    "d-MMM-yyyy": r"\d{1,2}-[A-Za-z]{3}-\d{4}",
+    "d MMM yyyy": r"\d{1,2} [A-Za-z]{3} \d{4}",
+    "d MMMM yyyy": r"\d{1,2} [A-Za-z]+ \d{4}",
+}
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
 def parse_date(c: Column, formats: Sequence[str] = fixed.DATE_FORMATS) -> Column:
-    """The date by the first format that fits, else null."""
+    """The date by the first format that fits, else null.
+
+    A text of a known shape is cut at its separators and its parts are put in order; formats without one
+    in SHAPES are tried by the parser. fixed.MONTH_FIRST_FORMATS reads 03/04 as 4 March.
+    """
     t = trimmed(c)
-    return F.coalesce(*(F.try_to_date(t, f) for f in formats))
+    known = [f for f in formats if f in SHAPES]
+    if len(known) < len(formats):
+        return F.coalesce(*(parse_date(c, (f,)) if f in SHAPES else F.try_to_date(t, f) for f in formats))
+    same = F.translate(t, "/ ", "--")
+    first, last = F.substring_index(same, "-", 1), F.substring_index(same, "-", -1)
+    middle = F.substring_index(F.substring_index(same, "-", 2), "-", -1)
+    name = F.lower(middle)
+    named = {m: i + 1 for i, m in enumerate(MONTHS)} if "d MMMM yyyy" in known else {}
+    short = {m[:3]: i + 1 for i, m in enumerate(MONTHS)}
+    month = F.try_element_at(F.create_map(*(F.lit(x) for pair in (named | short).items() for x in pair)), name).cast("string")
+    day = lambda *parts: F.concat_ws("-", *parts).try_cast("date")
+    slashed = [day(last, middle, first) if f == "d/M/yyyy" else day(last, first, middle) for f in known if f in ("d/M/yyyy", "M/d/yyyy")]
+    date = (
+        F.when(F.length(first) == 4, day(first, middle, last))
+        .when(F.contains(t, F.lit("/")), F.coalesce(*slashed) if slashed else F.lit(None))
+        .when(middle.rlike("^[A-Za-z]"), F.when(month.isNotNull(), day(last, month, first)))
+        .otherwise(day(last, middle, first))
+    )
+    return F.when(t.rlike("^(" + "|".join(dict.fromkeys(SHAPES[f] for f in known)) + ")$"), date)
 
 
 def fiscal_year(d: Column) -> Column:
@@ -125,13 +161,9 @@ def _masked(text: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column
     return now, F.array_distinct(F.array_compact(F.array(*hits)))
 
 
-SILVER_MASKS = (("cnic", r"\b[0-9]{5}-[0-9]{7}-[0-9]\b", "*****-*******-*"), ("phone", r"(\+92|0)[0-9]{10}", "***PHONE***"), ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "***EMAIL***"))
-PIPELINE_MASKS = (("CNIC", "[0-9]{5}-[0-9]{7}-[0-9]", "[CNIC]"), ("PHONE", "03[0-9]{9}", "[PHONE]"), ("PHONE", r"\+92[0-9]{10}", "[PHONE]"))
-
-
 def mask(text: Column, style: str = "silver") -> tuple[Column, Column]:
     """(masked text, array of the types found) by the rules of the silver step or of the file-to-gold job."""
-    return _masked(text, {"silver": SILVER_MASKS, "pipeline": PIPELINE_MASKS}[style])
+    return _masked(text, {"silver": fixed.SILVER_MASKS, "pipeline": fixed.PIPELINE_MASKS}[style])
 
 
 def pii_matches(fields: dict[str, Column]) -> Column:
@@ -153,10 +185,36 @@ def pii_matches(fields: dict[str, Column]) -> Column:
     return F.concat(*found)
 
 
-def mask_tokens(text: Column, matches: Column, field: str) -> Column:
-    """The field with each of its matches replaced by its token, literally and in order."""
+def mask_tokens(text: Column, matches: Column, field: str, mode: str = "places") -> Column:
+    """The field with its matches replaced by their tokens, one after the other in their order.
+
+    mode `places`: each match where its own pattern found it, so `abroad` stays though `road` was found; a match that
+    an earlier token has covered is left out. mode `compat`: every occurrence of the matched text.
+    """
     own = F.filter(matches, lambda m: m["field"] == field)
-    return F.aggregate(own, text, lambda acc, m: F.replace(acc, m["original"], m["token"]))
+    if mode == "compat":
+        return F.aggregate(own, text, lambda acc, m: F.replace(acc, m["original"], m["token"]))
+    if mode != "places":
+        raise ValueError("mode is places or compat")
+    now = text
+    for kind, pattern in fixed.PII_PATTERNS.items():
+        now = _placed(now, own, kind, pattern)
+    return now
+
+
+def _placed(text: Column, matches: Column, kind: str, pattern: str) -> Column:
+    """The text with each match of a kind replaced where the pattern finds it, unless an earlier token covers it."""
+
+    def step(acc: Column, m: Column) -> Column:
+        same = F.coalesce(F.regexp_substr(acc["rest"], F.lit(pattern)) == m["original"], F.lit(False))
+        # a match that the pattern finds elsewhere first is taken where its text stands: nothing found is left
+        at = F.when(same, F.regexp_instr(acc["rest"], F.lit(pattern))).otherwise(F.position(m["original"], acc["rest"]))
+        done = F.concat(acc["done"], F.substring(acc["rest"], F.lit(1), at - 1), m["token"])
+        rest = F.substring(acc["rest"], at + F.length(m["original"]), F.length(acc["rest"]))
+        return F.when(at > 0, F.struct(done.alias("done"), rest.alias("rest"))).otherwise(acc)
+
+    start = F.struct(F.lit("").alias("done"), text.alias("rest"))
+    return F.aggregate(F.filter(matches, lambda m: m["type"] == kind), start, step, lambda acc: F.concat(acc["done"], acc["rest"]))
 
 
 def pii_summary(matches: Column) -> Column:
@@ -205,14 +263,23 @@ def neutralised(c: Column) -> Column:
     return F.when(dangerous | leading, F.concat(F.lit(fixed.FORMULA_MARK), c)).otherwise(c)
 
 
+def let(c: Column, body) -> Column:
+    """body of c, with c worked out once."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def keyword_category(text: Column, word_boundary: bool = False) -> Column:
     """(category, taxable) of the first keyword contained in the text, null and false without one."""
-    low, out = F.lower(text), None
-    for word, name, taxable in fixed.KEYWORD_CATEGORIES:
-        hit = low.rlike(rf"\b{word}\b") if word_boundary else F.contains(low, F.lit(word))
-        value = F.struct(F.lit(name).alias("category"), F.lit(taxable).alias("taxable"))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(F.struct(F.lit(None).cast("string").alias("category"), F.lit(False).alias("taxable")))
+
+    def first(low: Column) -> Column:
+        out = None
+        for word, name, taxable in fixed.KEYWORD_CATEGORIES:
+            hit = low.rlike(rf"\b{word}\b") if word_boundary else F.contains(low, F.lit(word))
+            value = F.struct(F.lit(name).alias("category"), F.lit(taxable).alias("taxable"))
+            out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out.otherwise(F.struct(F.lit(None).cast("string").alias("category"), F.lit(False).alias("taxable")))
+
+    return let(F.lower(text), first)
 
 
 def tax_class(category: Column) -> Column:

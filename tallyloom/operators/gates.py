@@ -57,10 +57,14 @@ def nfc_column(c: Column) -> Column:
     return nfc(c)
 
 
-def run(df: DataFrame, length: int | None = None, max_rows: int | None = fixed.MAX_ROWS) -> DataFrame:
-    """All gates on one file's rows: limits block (ValueError), the rest sanitises."""
-    if length is not None and length > fixed.MAX_FILE_BYTES:
-        raise ValueError("the file is too large")
-    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError("the file has too many rows")
-    return sanitised(safe_names(df))
+def chain(files: DataFrame, rows: DataFrame, key: str, max_bytes: int = fixed.MAX_FILE_BYTES, max_rows: int | None = fixed.MAX_ROWS, most: int = fixed.MAX_CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All gates on the rows (path, key, ...) of the files (path, length) of a manifest: (clean rows, warnings, verdicts).
+
+    Sizes and row counts block a file with all its rows; names, Unicode form, formulas and long cells of the others are
+    mended, and each cell that was changed has a warning (key, rule, column).
+    """
+    verdicts = admitted(files, rows.select("path"), max_bytes, max_rows)
+    passed = safe_names(rows.join(verdicts.where("blocked_by is null").select("path"), "path", "left_semi"))
+    plain = passed.withColumns({c: nfc_column(F.col(f"`{c}`")) for c in _texts(passed) if c not in ("path", key)})
+    clean = plain.withColumns({c: F.left(S.neutralised(F.col(f"`{c}`")), F.lit(most)) for c in _texts(plain) if c not in ("path", key)})
+    return clean, warnings(plain.drop("path"), key, most), verdicts

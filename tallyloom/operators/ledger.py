@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
+from .medallion import settled
 
 
 class SchemaError(ValueError):
@@ -77,13 +78,21 @@ def usable() -> Column:
     return F.col("txn_date").isNotNull() & F.col("description").isNotNull() & (F.coalesce(F.col("amount"), F.lit(0.0)) > 0)
 
 
-def normalise(df: DataFrame, default_currency: str = "PKR", formats: Sequence[str] = fixed.DATE_FORMATS, sign_rule: str = "ledger") -> DataFrame:
-    """Any frame with recognisable headers as the canonical ledger; rows that can't be used are dropped."""
+def normalise(df: DataFrame, default_currency: str = "PKR", formats: Sequence[str] = fixed.DATE_FORMATS, sign_rule: str = "ledger", date_order: str = "dmy") -> DataFrame:
+    """Any frame with recognisable headers as the canonical ledger; rows that can't be used are dropped.
+
+    date_order: `dmy`, or `mdy` for files that write the month first.
+    """
+    if date_order not in ("dmy", "mdy"):
+        raise ValueError("date_order is dmy or mdy")
+    formats = fixed.MONTH_FIRST_FORMATS if date_order == "mdy" else formats
     named = derive_amount(require(rename(df)), sign_rule)
     date = F.col("txn_date") if dict(named.dtypes)["txn_date"] in ("date", "timestamp") else S.parse_date(F.col("txn_date"), formats)
     optional = lambda c: F.col(c).cast("string") if c in named.columns else F.lit(None).cast("string")
     code = F.coalesce(F.upper(F.trim(optional("currency"))), F.lit(default_currency))
-    full = named.select(date.cast("date").alias("txn_date"), F.col("description").cast("string").alias("description"), optional("party_name").alias("party_name"), optional("reference").alias("reference"), F.col("amount"), F.col("direction"), code.alias("currency"))
+    # settled: the filter reads the date and the amount instead of working them out again
+    full = settled(named, __date=date.cast("date"), __amount=F.col("amount"))
+    full = full.select(F.col("__date").alias("txn_date"), F.col("description").cast("string").alias("description"), optional("party_name").alias("party_name"), optional("reference").alias("reference"), F.col("__amount").alias("amount"), F.col("direction"), code.alias("currency"))
     return full.where(usable())
 
 
@@ -111,11 +120,11 @@ def clean(df: DataFrame, order: Sequence[str], dedupe: bool = True, fill: bool =
     return df.withColumn("currency", S.currency(F.col("currency"))) if currencies else df
 
 
-def cleaning_report(df: DataFrame) -> DataFrame:
-    """One row of counts of what clean() changes; duplicates come from a count of keys, not a sort."""
+def cleaning_report(df: DataFrame, order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """One row of counts of what clean() with the same order changes; duplicates come from a count of keys, not a sort."""
     blank = lambda c: F.coalesce(S.trimmed(F.col(c)), F.lit("")) == ""
     keyed = df.withColumn("k", ledger_key())
-    per = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("row_id", blank("description").alias("d"), blank("party_name").alias("p"), (S.currency(F.col("currency")) != F.col("currency")).alias("c"))).alias("first"))
+    per = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct(*order, blank("description").alias("d"), blank("party_name").alias("p"), (S.currency(F.col("currency")) != F.col("currency")).alias("c"))).alias("first"))
     return per.agg(
         F.sum("n").alias("rows_before"), (F.sum("n") - F.count("*")).alias("duplicates"), F.count("*").alias("rows_after"),
         F.count_if(F.col("first")["d"]).alias("filled_descriptions"), F.count_if(F.col("first")["p"]).alias("filled_parties"), F.count_if(F.coalesce(F.col("first")["c"], F.lit(False))).alias("currencies_changed"),

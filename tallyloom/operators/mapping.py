@@ -14,9 +14,9 @@ def entries() -> list[tuple[str, str | None, str, str, int]]:
     """(layer, software, header, target, rank) of the whole dictionary; rank is its order."""
     rows: list[tuple[str, str | None, str, str]] = []
     for software, fields in fixed.SOFTWARE_HEADERS.items():
-        rows += [("software", software, h, t) for t, hs in fields.items() for h in hs]
+        rows += [("software", software, h, t) for h, t in fields.items()]
     for layer, table in (("urdu", fixed.URDU_HEADERS), ("roman_urdu", fixed.ROMAN_URDU_HEADERS)):
-        rows += [(layer, None, h, t) for t, hs in table.items() for h in hs]
+        rows += [(layer, None, h, t) for h, t in table.items()]
     rows += [("general", None, h, t) for t, hs in fixed.GENERAL_HEADERS for h in hs]
     return [(*r, i) for i, r in enumerate(rows)]
 

@@ -22,15 +22,43 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def bronze(df: DataFrame, batch: str, source_type: str = "csv", software: str = "manual_csv", order: Sequence[str] = (), file_col: str | None = None) -> DataFrame:
-    """Every row verbatim as JSON with its headers, a row number from 1 in its file, and status `pending`."""
-    columns = [c for c in df.columns if c != file_col]
+def numbered(df: DataFrame, order: Sequence[str], name: str = "number", ranges: int = 64) -> DataFrame:
+    """Adds the place of each row in an order, from 1, without sorting all rows in one task.
+
+    Rows are dealt by ranges of the first column of the order, whose bounds come from at most a thousand of its
+    values; each range is numbered by itself and shifted by the rows before it.
+    """
+    first = F.col(order[0])
+    some = df.select(first.alias("v")).where("v is not null").distinct().orderBy(F.xxhash64("v")).limit(1000).collect()
+    values = sorted(r["v"] for r in some)
+    bounds = [values[len(values) * i // ranges] for i in range(1, ranges)] if values else []
+    before = F.size(F.filter(F.array(*(F.lit(b) for b in dict.fromkeys(bounds))), lambda b: b <= first)) if bounds else F.lit(0)
+    dealt = df.withColumn("__range", F.when(first.isNull(), -1).otherwise(before))
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("n"))
+    # one row a range
+    shifts = counts.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
+    placed = dealt.withColumn(name, F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    return placed.join(F.broadcast(shifts), "__range").withColumn(name, F.col(name) + F.col("__shift")).drop("__range", "__shift")
+
+
+def bronze(df: DataFrame, batch: str, source_type: str = "csv", software: str | Column = "manual_csv", order: Sequence[str] = (), file_col: str | None = None, number_col: str | None = None) -> DataFrame:
+    """Every row verbatim as JSON with its headers, a row number from 1 in its file, and status `pending`.
+
+    number_col holds row numbers that were read with the rows; else rows are numbered by order, within their file or
+    over all of them, or as they come. Both columns stay out of the JSON.
+    """
+    columns = [c for c in df.columns if c not in (file_col, number_col)]
     file = F.col(file_col) if file_col else F.lit("inline")
+    if number_col:
+        placed = df.withColumn("__number", F.col(number_col))
+    elif file_col:
+        placed = df.withColumn("__number", F.row_number().over(Window.partitionBy(file).orderBy(*(order or [F.monotonically_increasing_id()]))))
+    else:
+        placed = numbered(df, order, "__number") if order else numbered(df.withColumn("__at", F.monotonically_increasing_id()), ["__at"], "__number")
     raw = F.to_json(F.struct(*(F.col(f"`{c}`") for c in columns)), {"ignoreNullFields": "false"})
-    row = F.row_number().over(Window.partitionBy(file).orderBy(*(order or [F.monotonically_increasing_id()])))
-    return df.select(
-        file.alias("source_file"), row.alias("source_row_number"), raw.alias("raw_content"), F.to_json(F.array(*map(F.lit, columns))).alias("raw_headers"),
-        F.lit(batch).alias("ingestion_batch_id"), F.lit(source_type).alias("source_type"), F.lit(software).alias("source_software"), F.lit("pending").alias("processing_status"),
+    return placed.select(
+        file.alias("source_file"), F.col("__number").cast("int").alias("source_row_number"), raw.alias("raw_content"), F.to_json(F.array(*map(F.lit, columns))).alias("raw_headers"),
+        F.lit(batch).alias("ingestion_batch_id"), F.lit(source_type).alias("source_type"), (software if isinstance(software, Column) else F.lit(software)).alias("source_software"), F.lit("pending").alias("processing_status"),
     ).withColumn("bronze_id", F.sha2(F.concat_ws("|", "ingestion_batch_id", "source_file", "source_row_number"), 256))
 
 
@@ -38,8 +66,10 @@ def fields_of(raw: Column) -> Column:
     """A raw JSON object as a map whose keys are lower-cased and trimmed; the last of equal keys wins."""
     entries = F.map_entries(F.from_json(raw, "map<string,string>"))
     named = F.transform(entries, lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
+    keys = F.transform(named, lambda e: e["key"])
     last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+    # keys are rarely equal
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(named)).otherwise(F.map_from_entries(last))
 
 
 def first_field(m: Column, keys: Sequence[str]) -> Column:
@@ -70,7 +100,7 @@ def classified(rows: DataFrame) -> DataFrame:
     money = settled(typed, amount_debit=side("debit", F.col("signed") < 0), amount_credit=side("credit", F.col("signed") >= 0))
     said = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
     score = S.quality_score(F.col("transaction_date").isNotNull(), (F.col("amount_debit") != 0) | (F.col("amount_credit") != 0), said("description"), said("vendor"), F.size("pii_types") > 0)
-    scored = settled(money, quality_score=score)
+    scored = settled(money, quality_score=score, category=S.keyword_category(F.col("description"))["category"])
     reasons = F.concat_ws("; ", F.when(F.col("transaction_date").isNull(), "date_parse_failed"), F.when(F.col("quality_score") < SILVER_LEAST, F.format_string("low_quality_score(%s)", F.col("quality_score").cast("string"))))
     return settled(scored, reason=F.coalesce("broken", F.when(reasons != "", reasons)))
 
@@ -80,7 +110,7 @@ def silver(rows: DataFrame) -> DataFrame:
     good = rows.where("reason is null")
     return good.select(
         F.sha2(F.concat(F.lit("silver|"), "bronze_id"), 256).alias("silver_id"), "bronze_id", "ingestion_batch_id", "transaction_date", S.year_month(F.col("transaction_date")).alias("year_month"), S.fiscal_year(F.col("transaction_date")).alias("fiscal_year"),
-        "description", "description_masked", "vendor", S.keyword_category(F.col("description"))["category"].alias("category"), "amount_debit", "amount_credit", (F.col("amount_credit") - F.col("amount_debit")).alias("net_amount"), F.lit("PKR").alias("currency"),
+        "description", "description_masked", "vendor", "category", "amount_debit", "amount_credit", (F.col("amount_credit") - F.col("amount_debit")).alias("net_amount"), F.lit("PKR").alias("currency"),
         "language_detected", (F.size("pii_types") > 0).alias("pii_masked"), F.array_join("pii_types", ",").alias("pii_types_found"), "quality_score",
     )
 
@@ -149,6 +179,11 @@ def summaries(rows: DataFrame, tenant: str | None = None) -> DataFrame:
     return monthly(rows, tenant).withColumn("period_type", F.lit("monthly")).withColumn("period_start", S.period_start(ym)).withColumn("period_end", S.period_end(ym))
 
 
+def full_summaries(rows: DataFrame) -> DataFrame:
+    """summaries() with the breakdown of each month by category as one JSON object."""
+    return summaries(rows).join(breakdown_json(rows), "year_month", "left")
+
+
 def lineage(gold_rows: DataFrame, silver_rows: DataFrame, bronze_rows: DataFrame) -> DataFrame:
     """gold -> silver -> bronze by id."""
     return gold_rows.select("silver_id", "embedding_text").join(silver_rows.select("silver_id", "bronze_id"), "silver_id").join(bronze_rows.select("bronze_id", "source_file", "source_row_number"), "bronze_id")
@@ -196,10 +231,11 @@ def file_rows(rows: DataFrame) -> DataFrame:
 
 def file_gold(rows: DataFrame) -> DataFrame:
     """Gold rows of file_rows()."""
-    tax = S.keyword_category(F.concat_ws(" ", F.coalesce("description", F.lit("")), F.coalesce("category", F.lit(""))))
     sentence = S.embedding_text(F.col("transaction_date"), F.col("amount_debit"), F.col("amount_credit"), F.lit("PKR"), F.col("vendor"), F.col("category"), "pipeline")
     good = rows.where((F.col("quality_score") >= GOLD_LEAST) & F.col("reason").isNull())
+    tax = F.col("tax")
+    good = settled(good, tax=S.keyword_category(F.concat_ws(" ", F.coalesce("description", F.lit("")), F.coalesce("category", F.lit("")))))
     return good.select(
-        "bronze_id", "transaction_date", S.year_month(F.col("transaction_date")).alias("year_month"), S.fiscal_year(F.col("transaction_date")).alias("fiscal_year"), "description_masked", "vendor", "category",
+        "bronze_id", "ingestion_batch_id", "transaction_date", S.year_month(F.col("transaction_date")).alias("year_month"), S.fiscal_year(F.col("transaction_date")).alias("fiscal_year"), "description_masked", "vendor", "category",
         F.when(F.col("category").isNotNull(), 0.9).otherwise(0.5).alias("category_confidence"), "amount_debit", "amount_credit", sentence.alias("embedding_text"), tax["category"].alias("fbr_category"), tax["taxable"].alias("fbr_tax_applicable"), "quality_score",
     )

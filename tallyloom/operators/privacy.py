@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions import scalars as S
+from .medallion import settled
 
 
 class BoundaryError(ValueError):
@@ -21,13 +22,13 @@ class BoundaryError(ValueError):
 
 
 def scan(df: DataFrame, fields: Sequence[str] = fixed.PII_FIELDS) -> DataFrame:
-    """Adds pii, the array of matches of a row."""
-    return df.withColumn("pii", S.pii_matches({f: F.col(f) for f in fields if f in df.columns}))
+    """Adds pii, the array of matches of a row; settled, as masks and summaries refer to it many times."""
+    return settled(df.drop("pii"), pii=S.pii_matches({f: F.col(f) for f in fields if f in df.columns}))
 
 
-def mask_rows(df: DataFrame, fields: Sequence[str] = fixed.PII_FIELDS) -> DataFrame:
-    """The fields of a scanned frame with tokens in place of their matches."""
-    return df.withColumns({f: S.mask_tokens(F.col(f), F.col("pii"), f) for f in fields if f in df.columns})
+def mask_rows(df: DataFrame, fields: Sequence[str] = fixed.PII_FIELDS, mode: str = "places") -> DataFrame:
+    """The fields of a scanned frame with tokens in place of their matches; mode as of scalars.mask_tokens()."""
+    return df.withColumns({f: S.mask_tokens(F.col(f), F.col("pii"), f, mode) for f in fields if f in df.columns})
 
 
 def report(df: DataFrame, fields: Sequence[str] = fixed.PII_FIELDS) -> DataFrame:
@@ -50,20 +51,32 @@ def verdict(names: Iterable[str], local: Iterable[str] = fixed.LOCAL_ONLY, safe:
 
 
 def for_cloud(df: DataFrame, strict: bool = False, unknown: str = "drop") -> DataFrame:
-    """Columns that may leave, at every depth of structs; strict raises if any is blocked; unknown: drop or keep."""
+    """Columns that may leave, at every depth of structs, arrays and maps; strict raises if any is blocked; unknown: drop or keep.
+
+    The entries of a map are judged by their keys. What has no part left that may leave is dropped.
+    """
     found = verdict(df.columns)
     if strict and found["blocked"]:
         raise BoundaryError(found["blocked"])
 
-    def pruned(c, kind: T.DataType, name: str):
-        state = next(k for k, v in verdict([name]).items() if v)
-        if state == "blocked" or (state == "unknown" and unknown == "drop"):
-            return None
+    def may(name: str) -> bool:
+        state = verdict([name])
+        return not state["blocked"] and (bool(state["allowed"]) or unknown == "keep")
+
+    def within(c: Column, kind: T.DataType) -> Column | None:
         if isinstance(kind, T.StructType):
-            inner = [(f.name, pruned(c[f.name], f.dataType, f.name)) for f in kind.fields]
+            inner = [(f.name, within(c[f.name], f.dataType)) for f in kind.fields if may(f.name)]
             kept = [x.alias(n) for n, x in inner if x is not None]
-            return F.struct(*kept) if kept else None
+            return F.when(c.isNotNull(), F.struct(*kept)) if kept else None
+        if isinstance(kind, T.ArrayType):
+            return None if within(F.lit(None), kind.elementType) is None else F.transform(c, lambda x: within(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            if within(F.lit(None), kind.valueType) is None:
+                return None
+            key = lambda k: F.lower(k.cast("string"))
+            fine = lambda k: ~key(k).isin(*fixed.LOCAL_ONLY) & (key(k).isin(*fixed.CLOUD_SAFE) if unknown == "drop" else F.lit(True))
+            return F.transform_values(F.map_filter(c, lambda k, v: fine(k)), lambda k, v: within(v, kind.valueType))
         return c
 
-    chosen = [(f.name, pruned(F.col(f"`{f.name}`"), f.dataType, f.name)) for f in df.schema.fields]
+    chosen = [(f.name, within(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields if may(f.name)]
     return df.select(*(c.alias(n) for n, c in chosen if c is not None))

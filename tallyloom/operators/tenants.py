@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
+from . import privacy
 
 
 def listing(df: DataFrame, org: int | None = None, date_from=None, date_to=None, direction=None, party=None, min_amount=None, max_amount=None, account=None) -> DataFrame:
@@ -103,3 +104,20 @@ def upload_rows(df: DataFrame, compat: bool = False) -> DataFrame:
     exact = S.quantised(F.col("amount"))
     ok = F.coalesce(F.col("txn_date").isNotNull() & (S.trimmed(F.col("description")).isNotNull()) & (exact > 0), F.lit(False))
     return df.withColumn("amount_exact", exact).withColumn("ok", ok).withColumn("source_row_hash", S.row_hash(F.col("txn_date"), F.col("description"), exact, F.col("party_name"), F.col("reference"), *more))
+
+
+def upload(rows: DataFrame, existing: DataFrame, known: DataFrame | None = None, formats=fixed.DATE_FORMATS, mode: str = "places") -> tuple[DataFrame, DataFrame]:
+    """A whole upload: (rows with their fate, jobs), from (org_id, file, row_id, raw_date, ...) and the hashes in the ledger.
+
+    known: (org_id, sha256) of files had before; with it rows need a sha256, and those of such files are left out.
+    Rows are read to canonical form, hashed before anything is masked, and then lose their personal data. A job is an
+    org's file with its counts and what was masked in it.
+    """
+    if known is not None:
+        rows, _ = new_files(rows, known)
+    ready = upload_rows(rows.withColumn("txn_date", S.parse_date(F.col("raw_date"), formats)))
+    fate = statuses(ready, existing)
+    masked = privacy.mask_rows(privacy.scan(fate), mode=mode).withColumn("pii", S.pii_summary(F.col("pii")))
+    jobs = job_counts(masked)
+    seen = masked.groupBy("org_id", "file").agg(F.count_if("pii.has_pii").alias("rows_with_pii"), F.sum("pii.redactions").alias("redactions"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("pii.types")))).alias("pii_types_detected"))
+    return masked, jobs.join(seen, ["org_id", "file"])

@@ -9,54 +9,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import medallion as M
-from ..sources import files, sinks
+from ..sources import files, sinks, workbook
 
+BRONZE = "source_file string, source_row_number int, raw_content string, raw_headers string, source_type string, source_software string, processing_status string, bronze_id string, source_file_hash string, ingestion_batch_id string"
+MARKS = "ingestion_batch_id string, status string"
 
-def _known(spark: SparkSession, path: str) -> DataFrame:
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the lake; empty if it isn't there yet."""
     try:
-        return spark.read.parquet(path).select("source_file_hash").distinct()
+        spark.read.parquet(path)
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        return spark.createDataFrame([], "source_file_hash string")
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _local(path):
+    """A path without the spelling of its scheme, which differs between sources."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def raw_rows(spark: SparkSession, new: DataFrame, batch: str) -> list[DataFrame]:
+    """Bronze rows of the files of a manifest with contents: one frame for the CSV files of each form, and one for workbooks."""
+    software = files.software(F.col("source_file"))["software"]
+    out = []
+    for charset, separator, paths in files.csv_groups(new):
+        rows = files.read_csv(spark, paths, charset, separator)
+        columns = [c for c in rows.columns if c not in ("source_file", "source_row_number")]
+        kept = files.strip_summary(rows, columns)
+        out.append(M.bronze(kept, batch, "csv", software, file_col="source_file", number_col="source_row_number"))
+    books = workbook.rows(workbook.cells(new.where("source_type = 'xlsx'"))).withColumnRenamed("path", "source_file")
+    first = F.lower(F.trim(F.get(F.map_values("fields"), F.lit(0))))
+    books = files.strip_summary(books.withColumn("first", first), ["first"])
+    raw = F.to_json("fields", {"ignoreNullFields": "false"})
+    out.append(
+        books.select(
+            "source_file", F.col("source_row_number").cast("int"), raw.alias("raw_content"), F.to_json(F.map_keys("fields")).alias("raw_headers"), F.lit(batch).alias("ingestion_batch_id"), F.lit("xlsx").alias("source_type"),
+            software.alias("source_software"), F.lit("pending").alias("processing_status"), F.sha2(F.concat_ws("|", F.lit(batch), "source_file", "source_row_number"), 256).alias("bronze_id"),
+        )
+    )
+    return out
 
 
 def ingest(spark: SparkSession, found: DataFrame, lake: str, batch: str) -> dict[str, int | str]:
-    """Takes new CSV files of a manifest with contents through bronze, silver and gold of a lake folder.
+    """Takes the new CSV files and workbooks of a manifest with contents through bronze, silver and gold of a lake folder.
 
-    Files whose hash is in bronze already are skipped. Each layer is written once from one
-    classified frame; counts come back with a status.
+    Files whose hash came with another batch are left out. Every layer is partitioned by batch and a batch replaces its
+    own partitions, so a batch that is run again gives the same tables. A batch is marked when all its layers are there;
+    batches in bronze without a mark, of runs that died, are taken up by the next run. The status is `ok`, or
+    `duplicate` if there was nothing to do.
     """
     began = time.time()
-    new = found.join(_known(spark, f"{lake}/bronze"), F.col("sha256") == F.col("source_file_hash"), "left_anti").dropDuplicates(["sha256"])
-    groups = files.csv_groups(new)
-    if not groups:
-        sinks.audit(spark, f"{lake}/audit", [("ingest", "bronze", batch, "duplicate", 0, None, int(1000 * (time.time() - began)))])
+    spent = lambda: int(1000 * (time.time() - began))
+    had = _table(spark, f"{lake}/bronze", BRONZE)
+    marked = _table(spark, f"{lake}/batches", MARKS)
+    others = had.where(F.col("ingestion_batch_id") != batch).select(F.col("source_file_hash").alias("sha256")).distinct()
+    new = found.where(F.col("source_type").isin("csv", "xlsx")).join(others, "sha256", "left_anti").dropDuplicates(["sha256"])
+    hashes = new.select(_local("path").alias("p"), F.col("sha256").alias("source_file_hash"))
+    # a batch that died in the middle of this step starts it again
+    frames = raw_rows(spark, new, batch)
+    placed = files.unioned([r.withColumn("p", _local("source_file")).join(hashes, "p").drop("p") for r in frames])
+    sinks.replace_partitions(placed, f"{lake}/bronze", ["ingestion_batch_id"])
+    stored = _table(spark, f"{lake}/bronze", BRONZE)
+    open_ = [r[0] for r in stored.select("ingestion_batch_id").distinct().join(marked.where(F.col("ingestion_batch_id") != batch), "ingestion_batch_id", "left_anti").collect()]
+    if not open_:
+        sinks.audit(spark, f"{lake}/audit", [("ingest", "bronze", batch, "duplicate", 0, None, spent())])
         return {"status": "duplicate", "bronze": 0, "silver": 0, "quarantine": 0, "gold": 0}
-    hashes = new.select(F.regexp_replace("path", "^file:/+", "/").alias("p"), F.col("sha256").alias("source_file_hash"))
-    for charset, separator, paths in groups:
-        for path in paths:
-            rows = files.read_csv(spark, [path], charset, separator)
-            columns = [c for c in rows.columns if c not in ("source_file", "source_row_number")]
-            kept = files.strip_summary(rows, columns)
-            raw = M.bronze(kept.drop("source_row_number"), batch, order=[], file_col="source_file")
-            placed = raw.withColumn("p", F.regexp_replace("source_file", "^file:/+", "/")).join(F.broadcast(hashes.where(F.col("p") == F.regexp_replace(F.lit(path), "^file:/+", "/"))), "p", "left").drop("p")
-            sinks.append(placed, f"{lake}/bronze", ["ingestion_batch_id"])
-    stored = spark.read.parquet(f"{lake}/bronze").where(F.col("ingestion_batch_id") == batch)
+    stored = stored.where(F.col("ingestion_batch_id").isin(open_))
     judged = M.file_rows(stored)
     layers = {
-        "silver": judged.where("reason is null").drop("fields", "pii_types", "d", "c", "a", "is_credit"),
+        "silver": judged.where("reason is null").drop("fields", "pii_types", "d", "c", "a", "is_credit", "source_file_hash", "source_type", "source_software", "processing_status", "raw_headers", "raw_content"),
         "quarantine": judged.where("reason is not null").select("bronze_id", "ingestion_batch_id", "reason", "raw_content"),
-        "gold": M.file_gold(judged).withColumn("ingestion_batch_id", F.lit(batch)),
+        "gold": M.file_gold(judged),
     }
     counts = {"bronze": stored.count()}
     for layer, rows in layers.items():
-        sinks.append(rows, f"{lake}/{layer}", ["ingestion_batch_id"])
+        sinks.replace_partitions(rows, f"{lake}/{layer}", ["ingestion_batch_id"])
         # a layer without rows has no files to take a schema from
-        counts[layer] = spark.read.schema(rows.schema).parquet(f"{lake}/{layer}").where(F.col("ingestion_batch_id") == batch).count()
-    months = M.summaries(spark.read.schema(layers["gold"].schema).parquet(f"{lake}/gold"))
-    sinks.replace_partitions(months, f"{lake}/summaries", ["period_type", "year_month"])
-    sinks.audit(spark, f"{lake}/audit", [("ingest", layer, batch, "ok", n, None, int(1000 * (time.time() - began))) for layer, n in counts.items()])
+        counts[layer] = spark.read.schema(rows.schema).parquet(f"{lake}/{layer}").where(F.col("ingestion_batch_id").isin(open_)).count()
+    gold = spark.read.schema(layers["gold"].schema).parquet(f"{lake}/gold")
+    sinks.replace_partitions(M.full_summaries(gold), f"{lake}/summaries", ["period_type", "year_month"])
+    spark.createDataFrame([(b, "processed") for b in open_], MARKS).coalesce(1).write.mode("append").parquet(f"{lake}/batches")
+    sinks.audit(spark, f"{lake}/audit", [("ingest", layer, batch, "ok", n, None, spent()) for layer, n in counts.items()])
     return {"status": "ok"} | counts
 
 
@@ -64,7 +100,6 @@ def watcher(spark: SparkSession, lake: str) -> Callable[[DataFrame, int], None]:
     """A callback for streaming.watch.run() that ingests each micro-batch of files."""
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        found = batch.withColumn("sha256", F.sha2("content", 256)).withColumn("source_type", files.source_type(F.col("path")))
-        ingest(batch.sparkSession, found, lake, f"stream-{number}")
+        ingest(batch.sparkSession, files.described(batch), lake, f"stream-{number}")
 
     return on_batch

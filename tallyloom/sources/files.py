@@ -7,8 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
+from ..functions import scalars as S
 
 DELIMITERS = (",", "\t", ";", "|")
 
@@ -49,22 +51,37 @@ def software(path: Column) -> Column:
     return out
 
 
+def described(found: DataFrame) -> DataFrame:
+    """Adds sha256, source_type and detected to files (path, content)."""
+    return found.withColumn("sha256", F.sha2("content", 256)).withColumn("source_type", source_type(F.col("path"))).withColumn("detected", software(F.col("path")))
+
+
 def manifest(spark: SparkSession, folder: str, contents: bool = False) -> DataFrame:
     """Wanted files below a folder with size, time, SHA-256 and kind."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(wanted(F.col("path")))
-    full = found.withColumn("sha256", F.sha2("content", 256)).withColumn("source_type", source_type(F.col("path"))).withColumn("detected", software(F.col("path")))
+    full = described(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(wanted(F.col("path"))))
     return full if contents else full.drop("content")
 
 
-def delimiter(content: Column) -> Column:
-    """The delimiter that is most frequent in the first line, a comma if none is there; earlier ones win ties."""
-    line = F.substring_index(content, "\n", 1)
-    count = lambda d: F.length(line) - F.length(F.replace(line, F.lit(d), F.lit("")))
-    best = F.greatest(*map(count, DELIMITERS))
-    out = F.when(best == 0, ",")
-    for d in DELIMITERS:
-        out = out.when(count(d) == best, d)
-    return out
+def delimiter(content: Column, sniffed: int = 8192) -> Column:
+    """The delimiter of a text.
+
+    One that stands equally often in every line of the first 8 KB, the most frequent of such; else the most
+    frequent in the first line; a comma if none is there. Earlier ones win ties.
+    """
+    count = lambda x, d: F.length(x) - F.length(F.replace(x, d, F.lit("")))
+    lines = F.filter(F.split(F.left(content, F.lit(sniffed)), "\r?\n"), lambda x: F.trim(x) != "")
+    # the last line may be cut
+    whole = F.when((F.length(content) > sniffed) & (F.size(lines) > 1), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    listed = F.array(*(F.struct(F.lit(d).alias("mark"), F.lit(-i).alias("place")) for i, d in enumerate(DELIMITERS)))
+
+    def best(score) -> Column:
+        """The delimiter of the highest score above 0."""
+        top = F.array_max(F.transform(listed, lambda x: F.struct(score(x["mark"]).alias("n"), x["place"], x["mark"])))
+        return S.let(top, lambda t: F.when(t["n"] > 0, t["mark"]))
+
+    steady = lambda counts: F.when((F.size(counts) > 1) & (F.array_min(counts) == F.array_max(counts)), F.array_max(counts)).otherwise(0)
+    even = S.let(whole, lambda found: best(lambda d: S.let(F.transform(found, lambda x: count(x, d)), steady)))
+    return F.coalesce(even, S.let(F.substring_index(content, "\n", 1), lambda first: best(lambda d: count(first, d))), F.lit(","))
 
 
 def encoding(content: Column) -> Column:
@@ -73,22 +90,38 @@ def encoding(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), "UTF-8").when(undefined, "ISO-8859-1").otherwise("windows-1252")
 
 
+def header(content: Column, charset: Column) -> Column:
+    """The first line of a CSV file."""
+    text = F.when(charset == "UTF-8", content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+    return F.regexp_replace(F.substring_index(text, "\n", 1), "^\ufeff|\r$", "")
+
+
 def csv_groups(files: DataFrame) -> list[tuple[str, str, list[str]]]:
-    """(encoding, delimiter, paths) of a manifest with contents: one CSV read each; a line a file comes to the driver."""
-    told = files.where("source_type = 'csv'").select("path", encoding(F.col("content")).alias("encoding"), delimiter(F.col("content").cast("string")).alias("delimiter"))
-    rows = told.groupBy("encoding", "delimiter").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    """(encoding, delimiter, paths) of the CSV files of a manifest with contents: files of one encoding, delimiter and header are read together.
+
+    Paths come to the driver, as Spark's file listing has them there too; contents don't.
+    """
+    told = files.where("source_type = 'csv'").select("path", encoding(F.col("content")).alias("encoding"), delimiter(F.col("content").cast("string")).alias("delimiter"), "content")
+    rows = told.groupBy("encoding", "delimiter", header(F.col("content"), F.col("encoding")).alias("header")).agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
     return [(r["encoding"], r["delimiter"], r["paths"]) for r in rows]
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str], charset: str = "UTF-8", separator: str = ",") -> DataFrame:
+CORRUPT = "_corrupt_record"
+
+
+def read_csv(spark: SparkSession, paths: Sequence[str], charset: str = "UTF-8", separator: str = ",", audit: bool = False) -> DataFrame:
     """CSV files of one header as strings, with source_file and source_row_number; extra cells of ragged rows are dropped.
 
     Row numbers follow the place in the file: files are read whole, one task each, so that quoted
-    line breaks are kept together.
+    line breaks are kept together. With audit, rows with more or fewer cells than the header come whole in _corrupt_record.
     """
     reader = spark.read.option("header", True).option("sep", separator).option("encoding", charset).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
-    df = reader.csv(list(paths))
-    df = df.toDF(*(c.lstrip("﻿") for c in df.columns))
+    names = reader.csv(list(paths)[:1]).columns
+    types = [T.StructField(c.lstrip("\ufeff"), T.StringType()) for c in names]
+    if audit:
+        types.append(T.StructField(CORRUPT, T.StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+    df = reader.schema(T.StructType(types)).csv(list(paths))
     placed = df.withColumn("source_file", F.col("_metadata.file_path")).withColumn("__at", F.monotonically_increasing_id())
     w = Window.partitionBy("source_file").orderBy("__at")
     return placed.withColumn("source_row_number", F.row_number().over(w)).drop("__at")
@@ -96,7 +129,7 @@ def read_csv(spark: SparkSession, paths: Sequence[str], charset: str = "UTF-8",
 
 def read_folder(spark: SparkSession, folder: str) -> list[DataFrame]:
     """One frame of strings for each encoding, delimiter and header found below a folder."""
-    return [read_csv(spark, [p], e, d) for e, d, paths in csv_groups(manifest(spark, folder, contents=True)) for p in paths]
+    return [read_csv(spark, paths, e, d) for e, d, paths in csv_groups(manifest(spark, folder, contents=True))]
 
 
 def first_value(columns: Sequence[str]) -> Column:

@@ -24,7 +24,9 @@ def _column(ref: str) -> int:
 
 
 def _cells(content: bytes) -> Iterator[tuple[int, int, int, str, bool]]:
-    """(sheet, row, column, text, whether it is text) of the cells that aren't empty."""
+    """(sheet, row, column, text, whether it is text) of the cells that aren't empty; none of a file in the old binary format."""
+    if not zipfile.is_zipfile(io.BytesIO(content)):
+        return
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         texts = []
         if "xl/sharedStrings.xml" in z.namelist():
@@ -60,7 +62,8 @@ def rows(found: DataFrame) -> DataFrame:
     """(path, source_row_number, fields map) of each workbook's fullest sheet.
 
     The header is the first of its first 15 rows in which half of the cells are text, else the first row;
-    a column without a header is column_<i>; rows before the header and blank rows are left out.
+    a column without a header is column_<i>, of equal headers all but the first end in _<i>; rows before the header
+    and blank rows are left out.
     """
     per = found.groupBy("path", "sheet").agg(F.countDistinct("row").alias("n"))
     best = per.groupBy("path").agg(F.max(F.struct("n", (-F.col("sheet")).alias("s"))).alias("b")).select("path", (-F.col("b")["s"]).alias("sheet"))
@@ -68,6 +71,8 @@ def rows(found: DataFrame) -> DataFrame:
     lines = mine.groupBy("path", "row").agg(F.avg(F.col("is_string").cast("int")).alias("share"))
     head = lines.groupBy("path").agg(F.coalesce(F.min(F.when((F.col("row") < SHEET_ROWS) & (F.col("share") >= 0.5), F.col("row"))), F.min("row")).alias("head"))
     names = mine.join(head, "path").where("row = head").select("path", "col", F.trim("value").alias("name"))
+    nth = F.row_number().over(Window.partitionBy("path", "name").orderBy("col"))
+    names = names.withColumn("nth", nth).select("path", "col", F.when(F.col("nth") > 1, F.concat("name", F.lit("_"), F.col("col").cast("string"))).otherwise(F.col("name")).alias("name"))
     body = mine.join(head, "path").where("row > head").join(names, ["path", "col"], "left").withColumn("name", F.coalesce("name", F.concat(F.lit("column_"), F.col("col").cast("string"))))
     packed = body.groupBy("path", "row").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("col", "name", "value"))), lambda c: F.struct(c["name"], c["value"]))).alias("fields"))
     return packed.select("path", F.row_number().over(Window.partitionBy("path").orderBy("row")).alias("source_row_number"), "fields")

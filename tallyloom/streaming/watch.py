@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,43 +28,61 @@ def run(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def _kept(at: np.ndarray, last: int | None, gap: int) -> tuple[np.ndarray, int]:
+    """Which of a key's events, in order of time, are kept after one kept at `last`, and the time of the last kept."""
+    keep, i = np.zeros(len(at), bool), 0
+    if last is not None:
+        i = int(np.searchsorted(at, last + gap))
+    while i < len(at):
+        keep[i], last = True, int(at[i])
+        i = max(i + 1, int(np.searchsorted(at, last + gap)))
+    return keep, last
+
+
 def debounced(events: DataFrame, keys: list[str], ts: str = "ts", seconds: float = 2.0, tie: str = "event_id") -> DataFrame:
     """Events that are kept if one is dropped less than `seconds` after the last one kept of its key.
 
-    An event at least that long after the event before it, kept or not, is always kept. So keys are cut
-    into stretches at such gaps and only within a stretch is the rule followed event by event.
+    Events are dealt by key and sorted by time; a task goes through them once and holds no more than the
+    time of the last event kept. Null keys are keys; events without a time are dropped.
     """
-    w = Window.partitionBy(*keys).orderBy(ts, tie)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = at - F.lag(at).over(w) >= F.lit(int(seconds * 1e6))
-    cut = events.withColumn("stretch", F.sum(F.when(gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = cut.groupBy(*keys, "stretch").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(tie).alias("tie")))).alias("events"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(events.dtypes)[tie]}>").alias("kept"))
+    gap = int(seconds * 1e6)
+    known = events.where(F.col(ts).isNotNull()).withColumn("__key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})).withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
+    names = events.columns
+    dealt = known.repartition("__key").sortWithinPartitions("__key", "__at", tie)
 
-    def step(acc, e):
-        keep = acc["last"].isNull() | (e["at"] - acc["last"] >= F.lit(int(seconds * 1e6)))
-        return F.struct(F.when(keep, e["at"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.array_append(acc["kept"], e["tie"])).otherwise(acc["kept"]).alias("kept"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            own, at = batch.column("__key").to_pylist(), batch.column("__at").to_numpy()
+            keep, start = np.zeros(len(own), bool), 0
+            while start < len(own):
+                if own[start] != key:
+                    key, last = own[start], None
+                end = start + 1
+                while end < len(own) and own[end] == key:
+                    end += 1
+                keep[start:end], last = _kept(at[start:end], last, gap)
+                start = end
+            yield batch.filter(pa.array(keep)).select(names)
 
-    kept = lists.select(F.explode(F.aggregate("events", start, step)["kept"]).alias(tie))
-    return events.join(kept, tie, "left_semi")
+    return dealt.mapInArrow(run, events.schema)
 
 
 def debounced_stream(events: DataFrame, key: str, ts: str = "ts", seconds: float = 2.0) -> DataFrame:
-    """The same on a stream: the time of the last kept event is the state of a key, dropped a day after it."""
+    """The same on a stream: the time of the last kept event is the state of a key, dropped a day after it.
+
+    A key's events of one micro-batch are put in order of time together.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        for batch in batches:
-            batch = batch.sort_values(ts, kind="stable")
-            keep = []
-            for at in batch[ts].astype("int64") // 1000 if batch[ts].dtype.kind != "M" else batch[ts].astype("datetime64[us]").astype("int64"):
-                ok = last is None or at - last >= seconds * 1e6
-                keep.append(ok)
-                last = int(at) if ok else last
-            yield batch[keep]
+        # a micro-batch's events of a key come in any order
+        batch = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        keep, last = _kept(batch[ts].astype("datetime64[us]").astype("int64").to_numpy(), last, int(seconds * 1e6))
+        yield batch[keep]
         if last is not None:
             state.update((last,))
             state.setTimeoutDuration(86_400_000)
