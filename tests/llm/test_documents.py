@@ -242,13 +242,26 @@ def test_mixing(docs, empty):
             assert r["source_size"] == sums[s] and r["target"] == pytest.approx(target[s])
             assert 0 <= r["taken"] <= 3 * r["size"]
     taken = got.groupBy("source_size", "target").agg(F.sum("taken").alias("n")).collect()
-    assert all(abs(r["n"] - r["target"]) < 0.15 * total for r in taken)
+    largest = collections.defaultdict(int)
+    for _, t, x in rows:
+        largest[sums[x]] = max(largest[sums[x]], size(t))
+    # what a source misses is less than half its largest document, and little where documents are many
+    assert all(abs(r["n"] - r["target"]) <= 0.5 * largest[r["source_size"]] for r in taken)
     assert rows_of(got) == rows_of(cube_mixing.weigh(docs.repartition(2)))
     mixed = cube_mixing.take(docs)
     assert mixed.columns == docs.columns and mixed.count() == got.agg(F.sum("copies")).first()[0]
     assert cube_mixing.weigh(empty).count() == 0
 
 
+def test_every_source_comes_near_its_target(spark):
+    rng = np.random.default_rng(31)
+    rows = [(i, " ".join(["w"] * int(n)), f"s{i % 5}" if i % 11 else None) for i, n in enumerate(rng.geometric(0.01, 3000))]
+    rows += [(9000, rows[7][1], "s2")] + [(9001, "a b c", "s1")] * 500
+    taken = cube_mixing.weigh(spark.createDataFrame(rows, SCHEMA)).groupBy("source_size", "target").agg(F.sum("taken").alias("n"), F.count("*").alias("rows")).collect()
+    assert sum(r["rows"] for r in taken) == len(rows) and len(taken) == 6
+    assert all(abs(r["n"] - r["target"]) <= 0.002 * r["target"] for r in taken)
+
+
 def test_flight_keeps_its_balance():
     rng = np.random.default_rng(2)
     p, x = rng.uniform(0, 1, 400), rng.integers(1, 900, 400).astype(float)
@@ -484,3 +497,16 @@ def test_a_shared_folder_is_needed_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         frames.shared_folder(Session())
+
+
+def test_extra_columns_may_have_any_name(spark, docs):
+    """Columns named like those that the operators use inside."""
+    names = ["id", "row", "key", "tie", "at", "n", "nth", "size", "fp", "root", "rest", "left", "block", "bucket", "lines", "pids", "kind", "rows", "copies", "m", "kept", "spans", "a", "b", "first"]
+    many = docs.drop("n").select("doc_id", "text", "source", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    plain = docs.drop("n")
+    for f in (quality_bands.keep, suffix_dedup.without_repeats, simhash_anchors.representatives, paragraph_minhash.different, cube_mixing.take):
+        got = f(many)
+        assert got.columns == many.columns, f
+        assert rows_of(got.select("doc_id", "text")) == rows_of(f(plain).select("doc_id", "text")), f
+    for f in (quality_bands.rate, paragraph_minhash.summary, suffix_dedup.repeats, simhash_anchors.near_duplicates, cube_mixing.weigh, ngram_trie.scores):
+        assert rows_of(f(many)) == rows_of(f(plain)), f
