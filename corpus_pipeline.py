@@ -6,13 +6,11 @@ again as the next stage's docs. All but the last return the columns of `document
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import cube_mixing, paragraph_minhash, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup
-from tallyloom.llm.frames import shared_folder
+from tallyloom.llm.frames import Tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +44,15 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("simhash near-dedup", near_dedup), ("suffix-array dedup", exact_dedup), ("source mixing", mixture), ("sentencepiece encoding", encoding)]
 
-#: SQL can't express the fingerprints, compression ratios or sampling; tests compare with brute force.
+#: SQL can't express the fingerprints, compression ratios or sampling; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what a stage returns is kept in the shared checkpoint folder."""
+    """All stages over `documents`; what a stage returns is a table of the shared checkpoint folder until the next one's is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    tables = Tables(spark)
+    for _, stage in STAGES[:-1]:
+        docs = tables.put(stage(spark, docs, sf_dir))
+        tables.drop()
     return STAGES[-1][1](spark, docs, sf_dir)
