@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-BLANK = r"^\s*$"
+WHITE = " \t\n\x0b\f\r"
 
 
 def literals(values: Iterable[str]) -> Column:
@@ -18,10 +18,15 @@ def literals(values: Iterable[str]) -> Column:
 
 def trimmed(c: Column) -> Column:
     """c without white space at its ends; null if nothing is left."""
-    t = F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+    t = F.btrim(c, F.lit(WHITE))
     return F.when(t != "", t)
 
 
+def let(c: Column, body) -> Column:
+    """body of c, with c worked out once."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def slug(c: Column) -> Column:
     """A header in lower case with every run of other characters as one underscore."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
@@ -103,34 +108,45 @@ def number(c: Column) -> Column:
 
 
 def _bracketed(t: Column) -> Column:
-    return t.rlike(r"(?s)^\(.*\)$")
+    return t.startswith("(") & t.endswith(")")
+
+
+def _inside(t: Column) -> Column:
+    """A text without its brackets, if it has them."""
+    return F.when(_bracketed(t), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
 
 
 def parse_amount(c: Column) -> Column:
     """Silver rule: brackets or a leading minus are negative; PKR or Rs, commas and spaces are dropped."""
-    t = trimmed(c)
-    inner = F.when(_bracketed(t), F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
-    minus = inner.startswith("-")
-    plain = F.when(minus, F.trim(F.substring(inner, F.lit(2), F.length(inner)))).otherwise(inner)
-    value = number(F.translate(F.regexp_replace(plain, r"(?i)^(PKR|Rs\.|Rs)\s*", ""), ", ", ""))
-    return F.when(_bracketed(t) | minus, -value).otherwise(value)
+
+    def read(t: Column) -> Column:
+        return let(F.trim(_inside(t)), lambda inner: signed(t, inner))
+
+    def signed(t: Column, inner: Column) -> Column:
+        minus = inner.startswith("-")
+        plain = F.when(minus, F.trim(F.substring(inner, F.lit(2), F.length(inner)))).otherwise(inner)
+        bare = F.translate(F.regexp_replace(plain, r"(?i)^(PKR|Rs\.|Rs)\s*", ""), ", ", "")
+        return let(bare, number) * F.when(_bracketed(t) | minus, -1.0).otherwise(1.0)
+
+    return let(trimmed(c), read)
 
 
 def parse_amount_gate(c: Column) -> Column:
     """Gate rule: tokens for no amount, nine currency prefixes, and a trailing DR or CR."""
-    t = trimmed(c)
-    none = F.lower(t).isin(*fixed.NO_AMOUNT)
-    inner = F.when(_bracketed(t), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
-    bare = F.translate(F.regexp_replace(inner, r"(?i)^(PKR|Rs\.|Rs|USD|\$|EUR|€|GBP|£)\s*", ""), ", ", "")
-    value = number(F.regexp_replace(bare, r"\s*(DR|CR|Dr|Cr)\.?\s*$", ""))
-    return F.when(~none, F.when(_bracketed(t), -value).otherwise(value))
+
+    def read(t: Column) -> Column:
+        bare = F.translate(F.regexp_replace(_inside(t), r"(?i)^(PKR|Rs\.|Rs|USD|\$|EUR|€|GBP|£)\s*", ""), ", ", "")
+        value = let(F.regexp_replace(bare, r"\s*(DR|CR|Dr|Cr)\.?\s*$", ""), number)
+        return F.when(~F.lower(t).isin(*fixed.NO_AMOUNT), value * F.when(_bracketed(t), -1.0).otherwise(1.0))
+
+    return let(trimmed(c), read)
 
 
 def parse_amount_or_zero(c: Column) -> Column:
     """File-to-gold rule: PKR prefix, commas and brackets; anything else is 0."""
-    t = F.translate(F.regexp_replace(trimmed(c), r"(?i)^pkr\s*", ""), ",", "")
-    value = number(F.when(_bracketed(t), F.concat(F.lit("-"), F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t))
-    return F.coalesce(value, F.lit(0.0))
+    minus = lambda t: F.when(_bracketed(t), F.concat(F.lit("-"), _inside(t))).otherwise(t)
+    plain = F.translate(F.regexp_replace(trimmed(c), r"(?i)^pkr\s*", ""), ",", "")
+    return F.coalesce(let(plain, lambda t: let(minus(t), number)), F.lit(0.0))
 
 
 def amount_text(amount: Column, currency: Column) -> Column:
@@ -263,11 +279,6 @@ def neutralised(c: Column) -> Column:
     return F.when(dangerous | leading, F.concat(F.lit(fixed.FORMULA_MARK), c)).otherwise(c)
 
 
-def let(c: Column, body) -> Column:
-    """body of c, with c worked out once."""
-    return F.get(F.transform(F.array(c), body), F.lit(0))
-
-
 def keyword_category(text: Column, word_boundary: bool = False) -> Column:
     """(category, taxable) of the first keyword contained in the text, null and false without one."""
 

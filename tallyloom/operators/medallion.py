@@ -66,18 +66,20 @@ def fields_of(raw: Column) -> Column:
     """A raw JSON object as a map whose keys are lower-cased and trimmed; the last of equal keys wins."""
     entries = F.map_entries(F.from_json(raw, "map<string,string>"))
     named = F.transform(entries, lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
-    keys = F.transform(named, lambda e: e["key"])
-    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"]))
-    # keys are rarely equal
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(named)).otherwise(F.map_from_entries(last))
+
+    def mapped(pairs: Column) -> Column:
+        keys = F.transform(pairs, lambda e: e["key"])
+        last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == e["key"]))
+        # keys are rarely equal
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(pairs)).otherwise(F.map_from_entries(last))
+
+    return S.let(named, mapped)
 
 
 def first_field(m: Column, keys: Sequence[str]) -> Column:
     """The trimmed value of the first key that is present, even if it is empty; null if none is."""
-    out = F
-    for k in keys:
-        out = out.when(F.map_contains_key(m, k), F.trim(F.try_element_at(m, F.lit(k))))
-    return out
+    first = F.get(F.filter(S.literals(keys), lambda k: F.map_contains_key(m, k)), F.lit(0))
+    return F.trim(F.try_element_at(m, first))
 
 
 def part_field(m: Column, parts: Sequence[str]) -> Column:
