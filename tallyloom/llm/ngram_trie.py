@@ -59,6 +59,8 @@ END, BEGIN = b" ", b"\n"
 #: Grids of the 8-bit codes: log10 p from -10 to 0, log10 of a backoff weight from -5 to 2.
 P_GRID, A_GRID = (-10.0, 0.0), (-5.0, 2.0)
 NO_CONTEXT = 512
+#: The bits of a context's key that its n-grams' keys begin with; shards are ranges of them.
+HEAD = np.uint64(((1 << 24) - 1) << 40)
 
 
 def held_out(doc_id) -> bool:
@@ -95,24 +97,28 @@ class EliasFano:
         self.zeros = self._mapped(f"{folder}/{name}.zeros", np.flatnonzero(bits == 0).astype(np.uint32))
         high = np.packbits(bits, bitorder="little")
         self.low, self.high = (self._mapped(f"{folder}/{name}.{k}", v) for k, v in (("low", low), ("high", high)))
-        counts = np.bitwise_count(self.high.view(np.uint64))
+        self.ones = self.high.view(np.uint64)
+        counts = np.bitwise_count(self.ones)
         self.before = self._mapped(f"{folder}/{name}.rank", np.append(0, np.cumsum(counts, dtype=np.int64)).astype(np.uint32))
 
     @staticmethod
     def _mapped(path: str, values: np.ndarray) -> np.ndarray:
         values.tofile(path)
-        return np.memmap(path, values.dtype, "r")
+        return np.memmap(path, values.dtype, "r").view(np.ndarray)
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The values at positions i."""
         word = np.searchsorted(self.before, i.astype(np.uint32), side="right") - 1
-        rest = i.astype(np.int64) - self.before[word]
-        bytes_ = self.high.reshape(-1, 8)[word] if len(i) else np.zeros((0, 8), np.uint8)
-        ends = np.cumsum(np.bitwise_count(bytes_), axis=1, dtype=np.int64)
-        byte = (ends <= rest[:, None]).sum(1)
-        rest -= np.where(byte > 0, ends[np.arange(len(i)), np.maximum(byte - 1, 0)], 0)
-        place = word * 64 + byte * 8 + SELECT[bytes_[np.arange(len(i)), byte], rest]
-        high = (place - i).astype(np.uint64) << self.width
+        bits = self.ones[word] if len(i) else np.zeros(0, np.uint64)
+        rest = (i - self.before[word]).astype(np.uint64)
+        # set bits of each byte, then of each byte and all before it, side by side in a word
+        count = bits - (bits >> np.uint64(1) & PAIRS)
+        count = (count & FOURS) + (count >> np.uint64(2) & FOURS)
+        count = ((count + (count >> np.uint64(4))) & BYTES) * EACH
+        byte = np.bitwise_count((rest * EACH | TOPS) - count & TOPS).astype(np.uint64) << np.uint64(3)
+        rest -= count << np.uint64(8) >> byte & np.uint64(255)
+        place = word.astype(np.uint64) * np.uint64(64) + byte + SELECT[(bits >> byte & np.uint64(255)) << np.uint64(3) | rest]
+        high = place - i.astype(np.uint64) << self.width
         if not self.bits:
             return high
         bit = i.astype(np.uint64) * self.width
@@ -141,8 +147,9 @@ class EliasFano:
         return low
 
 
-#: Position of the k-th set bit of a byte.
-SELECT = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
+#: Position of the k-th set bit of a byte b, at 8 * b + k, and masks of a word's bits.
+SELECT = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint64).reshape(-1)
+PAIRS, FOURS, BYTES, EACH, TOPS = (np.uint64(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
 
 
 class Level:
@@ -303,26 +310,22 @@ class _Block:
         return out
 
     def grams(self, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(representatives of the distinct n-grams by shard and key, gram of each token, context keys, shard, words before)."""
+        """(representatives of the distinct n-grams by shard and key, gram of each token, context keys, shards, words before)."""
         before = self.before(order)
         context = _context(before)
-        key = mix64(context + mix64(self.ids.astype(np.uint64)))
+        # one sort brings n-grams together and their contexts in order: the key begins as the context's does
+        key = context & HEAD | mix64(context + mix64(self.ids.astype(np.uint64))) & ~HEAD
         by = np.argsort(key)
         fresh = np.diff(key[by], prepend=~key[by[:1]]) != 0
         again = np.flatnonzero(~fresh)
         if any((x[by[again]] != x[by[again - 1]]).any() for x in (self.ids, *before)):
-            # keys lied: rank the n-grams by their words
-            _, of = np.unique(np.column_stack([self.ids.astype(np.uint64), *before]), axis=0, return_inverse=True)
-            by = np.argsort(of, kind="stable")
-            fresh = np.diff(of[by], prepend=-1) != 0
+            # keys lied: n-grams of one key are put in the order of their words
+            by = np.lexsort((self.ids, *before, key))
+            fresh = np.append(True, np.any([x[by[1:]] != x[by[:-1]] for x in (key, self.ids, *before)], axis=0))
         first, of = by[fresh], np.empty(len(by), np.int64)
         of[by] = np.cumsum(fresh) - 1
-        # shards are ranges of context keys, so that one sort by context also sorts by shard
-        order_ = np.argsort(context[first], kind="stable")
-        shard = (context[first] // np.uint64(-(-(1 << 64) // shards))).astype(np.int32)
-        rank = np.empty(len(first), np.int64)
-        rank[order_] = np.arange(len(first))
-        return first[order_], rank[of], context, shard[order_], before
+        shard = ((context[first] >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int32)
+        return first, of, context, shard, before
 
     def lowered(self, order: int, answers: list[pa.Table], shards: int) -> np.ndarray:
         """log10 p of each token by the levels below order; answers: a table a level from the second on."""
@@ -371,25 +374,19 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return expand(data, kind).astype(np.uint64)
 
 
-def _sorted(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """An order by context, then word; ranks of contexts and words of 32 bits make one number to sort."""
-    if word.max(initial=0) >> np.uint64(32):
-        return np.lexsort((word, context))
-    by = np.argsort(context)
-    rank = np.empty(len(by), np.uint64)
-    rank[by] = np.cumsum(np.diff(context[by], prepend=context[by[:1]]) != 0)
-    return np.argsort(rank << np.uint64(32) | word)
-
-
-def _contexts(heads: list[np.ndarray]) -> np.ndarray:
-    """A key for each context of blocks' (words, contexts) arrays; equal keys are equal words."""
+def _contexts(heads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each context of blocks' (words, contexts) arrays and the key's rank; equal keys are equal words."""
     words_ = np.concatenate(heads, axis=1)
     key = _context(list(words_))
-    by = np.argsort(key, kind="stable")
-    same = key[by[1:]] == key[by[:-1]]
-    if (words_[:, by[1:][same]] != words_[:, by[:-1][same]]).any():
+    by = np.argsort(key)
+    fresh = np.diff(key[by], prepend=key[by[:1]]) != 0
+    again = np.flatnonzero(~fresh)[1:]
+    if (words_[:, by[again]] != words_[:, by[again - 1]]).any():
         key = np.unique(words_, axis=1, return_inverse=True)[1].reshape(-1).astype(np.uint64)
-    return key
+        return key, key
+    rank = np.empty(len(by), np.uint64)
+    rank[by] = np.cumsum(fresh)
+    return key, rank
 
 
 def _answered(level: int) -> Callable[[pa.Table], pa.Table]:
@@ -398,12 +395,13 @@ def _answered(level: int) -> Callable[[pa.Table], pa.Table]:
         sizes = [expand(x.as_py(), np.int32) for x in table.column("sizes")]
         lens = np.fromiter((s.sum() for s in sizes), np.int64, len(sizes))
         heads = [_wide(x.as_py(), (level - 1) * len(s)).reshape(level - 1, len(s)) for x, s in zip(table.column("heads"), sizes, strict=True)]
-        context = np.repeat(_contexts(heads), np.concatenate(sizes))
+        context, rank = (np.repeat(x, np.concatenate(sizes)) for x in _contexts(heads))
         del heads
         word = np.concatenate([_wide(x.as_py(), int(k)) for x, k in zip(table.column("words"), lens, strict=True)])
         count = np.concatenate([expand(x.as_py(), np.int32) for x in table.column("counts")]).astype(np.int64)
         lower = restored(np.concatenate([expand(x.as_py(), np.uint8) for x in table.column("lower")]), P_GRID)
-        order = _sorted(context, word)
+        order = np.lexsort((word, rank)) if word.max(initial=0) >> np.uint64(32) else np.argsort(rank << np.uint64(32) | word)
+        del rank
         fresh = (np.diff(context[order], prepend=~context[order[:1]]) != 0) | (np.diff(word[order], prepend=~word[order[:1]]) != 0)
         group = np.cumsum(fresh) - 1
         total = np.bincount(group, weights=count[order]).astype(np.int64)

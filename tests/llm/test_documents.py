@@ -340,8 +340,8 @@ def test_scores_are_those_of_a_backoff_model(spark, order):
 def test_keys_that_lie_are_told_apart(monkeypatch):
     heads = [np.array([[5, 6, 5], [7, 8, 9]], np.uint64), np.array([[6], [8]], np.uint64)]
     monkeypatch.setattr(ngram_trie, "_context", lambda words: np.ones(len(words[0]), np.uint64))
-    keys = ngram_trie._contexts(heads)
-    assert keys[1] == keys[3] and len(set(keys.tolist())) == 3
+    keys, rank = ngram_trie._contexts(heads)
+    assert keys[1] == keys[3] and len(set(keys.tolist())) == 3 and (rank == keys).all()
 
 
 def test_scores_are_those_of_trigrams(spark):
