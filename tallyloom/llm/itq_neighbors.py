@@ -212,14 +212,11 @@ def chance(vectors: np.ndarray, model: Model, threshold: float) -> float:
 
 def models(classes: DataFrame, threshold: float) -> dict[int, Model]:
     """The learned projection of each length with a share of SHARE in a sample of SAMPLE vectors, if it brings enough pairs together."""
-    sample = [r["vector"] for r in classes.orderBy(F.xxhash64("cid")).limit(SAMPLE).select("vector").collect()]
-    by: dict[int, list] = {}
-    for v in sample:
-        by.setdefault(len(v), []).append(v)
-    found = {}
-    for n, vs in by.items():
-        if len(vs) > max(1, SHARE * len(sample)):
-            tried = np.array(vs, np.float64)
+    sample = classes.orderBy(F.xxhash64("cid")).limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks()
+    lens, found = pa.compute.list_value_length(sample).to_numpy(), {}
+    for n in np.unique(lens).tolist():
+        if (lens == n).sum() > max(1, SHARE * len(sample)):
+            tried = sample.filter(pa.array(lens == n)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
             model = learn(tried)
             if chance(tried[:TRIED], model, threshold) >= SURE:
                 found[n] = model

@@ -70,10 +70,10 @@ def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return key
 
 
-def _lots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of some megabytes of text."""
-    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // LOT
-    for lo, hi in runs(size):
+def _lots(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of some megabytes of its texts."""
+    size = sum(pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns or ("text",))
+    for lo, hi in runs(np.cumsum(size) // LOT):
         yield batch.slice(lo, hi - lo)
 
 
@@ -163,8 +163,7 @@ def _sets(bodies: list[bytes]) -> list[np.ndarray]:
 def _similar(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
+            for some in _lots(batch, "x", "y"):
                 left = some.column("x").dictionary_encode()
                 xs, ys = _sets(left.dictionary.to_pylist()), _sets(some.column("y").to_pylist())
                 keep = []
@@ -184,8 +183,7 @@ def _similar(threshold: float):
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(pid, size, shingle) for each shingle of the set of (pid, body)."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            some = batch.slice(lo, 256)
+        for some in _lots(batch, "body"):
             sets = _sets(some.column("body").to_pylist())
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             yield pa.record_batch({"pid": pa.array(np.repeat(some.column("pid").to_numpy(), size)), "size": pa.array(np.repeat(size, size)), "shingle": pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))})
