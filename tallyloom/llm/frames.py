@@ -44,10 +44,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder; its lineage ends here."""
+def stored(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """df computed once and kept in the shared checkpoint folder; its lineage ends here.
+
+    batch: most rows that go to a Python worker at once while it is computed, for rows with several whole texts.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    before = conf.get(name)
+    if batch is not None and not 0 < int(before) <= batch:
+        conf.set(name, str(batch))
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(name, before)
 
 
 class Tables:
@@ -143,34 +153,33 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, told: tuple[int, in
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) a node, root the least node.
 
-    Alternates the large-star and small-star steps until nothing changes: every step is an
-    aggregation with map-side combine and a join that leaves the edges of a hub where they are.
-    Each round is a table of the shared folder, dropped when the next is there; only counts and a
-    checksum come to the driver. Loops and null ends are dropped, repeated edges are one.
+    Alternates the large-star and small-star steps until all edges are those of stars, from a node to the
+    least of its component: every step is an aggregation with map-side combine and a join that leaves the
+    edges of a hub where they are. Each round is a table of the shared folder, dropped when the next is
+    there; only counts come to the driver. Loops and null ends are dropped, repeated edges are one.
     """
     tables = Tables(edges.sparkSession)
     now = tables.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     ends = lambda df: df.union(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = lambda df: df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
-    def told(df: DataFrame) -> tuple:
-        """(ends, most ends of a node, checksum)"""
-        per = ends(df).groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
-        return tuple(per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.sum("s")).first())
+    def told(df: DataFrame) -> tuple[int, int, int]:
+        """(ends, most ends of a node, nodes that are neither a least one nor have one edge only)"""
+        per = ends(df).groupBy("u").agg(F.count("*").alias("n"), F.count_if(F.col("u") > F.col("v")).alias("up"))
+        zero = F.lit(0)
+        return tuple(per.agg(F.coalesce(F.sum("n"), zero), F.coalesce(F.max("n"), zero), F.count_if((F.col("up") > 0) & (F.col("n") > 1))).first())
 
-    mark = told(now)
     for _ in range(rounds):
+        total, widest, open_ = told(now)
+        if not open_:
+            break
         both = ends(now)
         lows = least(both).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread_join(both.where("v > u"), lows, "u", mark[:2]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = spread_join(both.where("v > u"), lows, "u", (total, widest)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         lows = least(large)
-        small = spread_join(large, lows, "u", mark[:2]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, lows, "u", (total, widest)).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = tables.put(small.union(lows.select("u", F.col("m").alias("v"))).distinct())
         tables.drop()
-        seen = told(now)
-        if seen == mark:
-            break
-        mark = seen
     else:
         raise RuntimeError(f"components() did not settle in {rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

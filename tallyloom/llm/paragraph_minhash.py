@@ -38,8 +38,8 @@ from .text import mix64, ragged, runs, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-#: Bytes of text that are handled at once.
-LOT = 4 << 20
+#: Bytes of text that are handled at once, and rows with bodies that a worker is sent at once.
+LOT, BATCH = 2 << 20, 500
 _FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -75,6 +75,8 @@ def _lots(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
     size = sum(pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns or ("text",))
     for lo, hi in runs(np.cumsum(size) // LOT):
         yield batch.slice(lo, hi - lo)
+    # a worker goes on to other tasks: what this batch took is given back
+    pa.default_memory_pool().release_unused()
 
 
 def _found(text: str | None, least: int) -> Iterator[tuple[int, bytes]]:
@@ -191,7 +193,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ranked(sets: DataFrame) -> DataFrame:
     """(pid, size, shingle, nth, sets) of the sets (pid, body): nth is the place of a shingle among its set's, the ones that the fewest sets hold first; sets is null where there is no other."""
-    each = stored(sets.select("pid", "body").mapInArrow(_exploded, "pid long, size long, shingle long"))
+    each = stored(sets.select("pid", "body").mapInArrow(_exploded, "pid long, size long, shingle long"), BATCH)
     often = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
     nth = F.row_number().over(Window.partitionBy("pid").orderBy(F.coalesce("sets", F.lit(1)), "shingle"))
     return stored(each.join(often, "shingle", "left").withColumn("nth", nth))
@@ -229,7 +231,7 @@ def clusters(given: DataFrame, threshold: float, least: int) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda end, name: bodies.select(F.col("pid").alias(end), F.col("body").alias(name))
         both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
-        return stored(both.mapInArrow(_similar(threshold), "a long, b long"))
+        return stored(both.mapInArrow(_similar(threshold), "a long, b long"), BATCH)
 
     def rooted(links: DataFrame) -> DataFrame:
         """(band, pid, root) of the bands whose members are in several components."""

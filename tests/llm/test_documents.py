@@ -486,6 +486,22 @@ def test_components(spark, monkeypatch, crowd):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(17)
+    for n, m in ((300, 200), (300, 400), (120, 119)):
+        edges = [(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))] if m != 119 else [(i, i + 1) for i in range(119)]
+        root = list(range(n))
+
+        def find(x, root=root):
+            return x if root[x] == x else find(root[x])
+
+        for a, b in edges:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+        got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
+
+
 def test_a_shared_folder_is_needed_on_a_cluster(spark):
     class Context:
         master = "yarn"
