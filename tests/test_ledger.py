@@ -222,7 +222,7 @@ def test_workbooks_and_files_of_one_header_go_together(spark, tmp_path):
     assert kinds == {("csv", "manual_csv"), ("xlsx", "manual_excel")}
 
 
-@pytest.mark.parametrize("dies_at", ["bronze", "gold", "summaries"])
+@pytest.mark.parametrize("dies_at", ["bronze", "gold"])
 def test_a_run_that_dies_is_taken_up(spark, tmp_path, monkeypatch, dies_at):
     folder, lake = tmp_path / "in", str(tmp_path / "lake")
     folder.mkdir()
