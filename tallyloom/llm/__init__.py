@@ -1,6 +1,6 @@
 """Operators for training-data corpora. Nothing else in the library imports this subpackage."""
 
-from . import chat_rotation, cube_mixing, itq_neighbors, ngram_trie, paragraph_minhash, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup, url_lists
+from . import chat_rotation, cube_mixing, itq_neighbors, ngram_trie, paragraph_minhash, phrase_mining, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup, url_lists
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_itq_neighbors": itq_neighbors.query,
     "op9_ngram_trie": ngram_trie.query,
     "op10_cube_mixing": cube_mixing.query,
+    "op11_phrase_mining": phrase_mining.query,
 }
 
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force.
 ORACLES = {
     "op5_url_lists": url_lists.ORACLE,
     "op7_chat_rotation": chat_rotation.ORACLE,
+    "op11_phrase_mining": phrase_mining.ORACLE,
 }

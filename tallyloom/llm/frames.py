@@ -66,9 +66,10 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.names = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}", []
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """df as a table, in one folder for each value of the column `by`."""
         self.names.append(f"{self.folder}/{len(self.names)}")
-        df.write.parquet(self.names[-1])
+        (df.write.partitionBy(by) if by else df.write).parquet(self.names[-1])
         return self.spark.read.schema(df.schema).parquet(self.names[-1])
 
     def drop(self, but: int = 1) -> None:
