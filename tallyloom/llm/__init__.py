@@ -1,6 +1,6 @@
 """Operators for training-data corpora. Nothing else in the library imports this subpackage."""
 
-from . import chat_repair, chat_rotation, cube_mixing, itq_neighbors, ngram_trie, paragraph_minhash, phrase_mining, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup, url_lists
+from . import chat_repair, chat_rotation, cube_mixing, itq_neighbors, ngram_trie, paragraph_minhash, phrase_mining, quality_bands, sentencepiece_codec, simhash_anchors, suffix_dedup, url_lists, voronoi_knn
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_ngram_trie": ngram_trie.query,
     "op10_cube_mixing": cube_mixing.query,
     "op11_phrase_mining": phrase_mining.query,
+    "op12_voronoi_knn": voronoi_knn.query,
     "op13_chat_repair": chat_repair.query,
 }
 
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_url_lists": url_lists.ORACLE,
     "op7_chat_rotation": chat_rotation.ORACLE,
     "op11_phrase_mining": phrase_mining.ORACLE,
+    "op12_voronoi_knn": voronoi_knn.ORACLE,
 }

@@ -100,7 +100,7 @@ class Block:
         self.word_hash = own & ~np.uint64(3)
 
     def reached(self, hashes: np.ndarray) -> np.ndarray:
-        return self.slots[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        return self.slots[(hashes >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)]
 
     def longer(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(length, places, hashes, scan of activation) for lengths from 2 on; ends where no place is left."""
@@ -178,7 +178,7 @@ def _scan(step: int, table, buckets: int) -> Callable:
     return run
 
 
-def _merge(step: int) -> Callable:
+def _merge(step: int, slot_bits: int) -> Callable:
     """A bucket's counts after a scan: kind 1 with what is counted or found, kind 2 and 3 with bitmaps of fresh slots (3: of phrases that can grow)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -198,7 +198,7 @@ def _merge(step: int) -> Callable:
             out.append(_row(bucket, 1, _pack(hashes[kept]), squeeze(counts[kept]), squeeze(starts[kept])))
         for kind, can_grow in ((2, False), (3, True)):
             own = hashes[fresh & ((hashes & np.uint64(3) < LONGEST - 1) == can_grow)]
-            slots = np.unique(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            slots = np.unique(own >> np.uint64(64 - slot_bits)).astype(np.int64)
             for part in np.unique(slots // (8 * MAP)).tolist():
                 bits = np.zeros(8 * MAP, bool)
                 bits[slots[slots // (8 * MAP) == part] % (8 * MAP)] = True
@@ -221,7 +221,7 @@ def frequent(table: DataFrame, tables: Tables, buckets: int) -> tuple[DataFrame,
         told = spark.sparkContext.broadcast(slots)
         counts = table.where(F.col("shard") == step % SHARDS).select("lang", "words", "codes").mapInArrow(_scan(step, told, buckets), ROWS)
         both = counts if state is None else state.where("kind = 1").unionByName(counts)
-        state = tables.put(both.groupBy("bucket").applyInArrow(_merge(step), ROWS))
+        state = tables.put(both.groupBy("bucket").applyInArrow(_merge(step, SLOT_BITS), ROWS))
         tables.drop(but=1)
         maps = state.where("kind > 1").groupBy("kind", F.col("bucket").alias("part")).agg(F.expr("bitmap_or_agg(hashes)").alias("bits")).collect()  # at most 2 bits a slot
         told.destroy()
