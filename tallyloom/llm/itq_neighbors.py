@@ -1,12 +1,14 @@
 """Operator 8: embedding near-duplicates by iterative quantisation.
 
-Equal vectors are one class. A rotation is learned on a bounded sample (`SAMPLE` classes by hash
-order, all that the driver ever sees): the principal axes, turned until the signs of the coordinates
+Every vector is divided by its largest absolute component first, so that tiny and huge ones neither
+vanish nor overflow. Equal ones then are one class. A rotation is learned on a bounded sample (`SAMPLE` classes by hash
+order and `BYTES` of vectors, all that the driver ever sees): the principal axes, turned until the signs of the coordinates
 lose least, so that bits are balanced and near vectors differ in few of them. Every class gets a
 code of 64 bits; vectors of fewer than 64 components get several rotations. Vectors of each length are
-coded and compared among themselves. A learned projection is tried on the sample, each vector with a
-copy turned to the least cosine: where less than `SURE` of the copies meet (data in few dimensions or
-all around one direction), or where the sample holds too little of a length, random axes take its place.
+coded and compared among themselves; lengths that are rare in the sample get a fit on `FEW` classes of their own.
+A projection is tried on the sample, each vector with a copy turned to the least cosine. Where less than `SURE` of the
+copies meet (data all around one direction, or in few dimensions), it is learned around 0 instead of the mean and with
+fewer rounds, as many rounds turn the rotations of a few dimensions alike; the last resort are rotations without a round.
 
 Multi-index Hamming tables hold each 16-bit part of a code under its own value and all values one
 bit away, so two codes that differ in at most two bits of a part meet; of the places where they
@@ -39,15 +41,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .frames import components, spread_join, stored
 from .text import ragged
 
 THRESHOLD, BITS, PART, SKETCH = 0.9, 64, 16, 128
-#: Rows that rotations are fitted on, at most; the share of them a length needs for a fit of its own; rounds of a fit.
-SAMPLE, SHARE, ROUNDS = 20_000, 0.01, 40
+#: Classes that rotations are fitted on and their bytes, at most; the share of them a length needs, classes and lengths sampled beside that.
+SAMPLE, BYTES, SHARE, FEW, LENGTHS = 20_000, 128 << 20, 0.01, 500, 256
+#: Fits that are tried in turn: whether around the mean, and rounds.
+FITS = ((True, 40), (False, 40), (False, 4), (False, 2), (False, 1), (False, 0))
 #: Share of pairs at the threshold that a learned projection has to bring together, and vectors it is tried on.
 SURE, TRIED = 0.95, 2000
 #: Codes of one value compared in a task, and pairs compared at once.
@@ -57,30 +61,33 @@ ROWS = "key long, cid long, code long, low long, high long"
 Model = tuple[np.ndarray, np.ndarray]
 
 
-def _turns(low: np.ndarray | None, width: int) -> np.ndarray:
-    """Rotations of `width` coordinates side by side until there are BITS columns, fitted to low if it is given."""
+def _turns(low: np.ndarray | None, width: int, rounds: int = 0) -> np.ndarray:
+    """Rotations of `width` coordinates side by side until there are BITS columns, fitted to low in so many rounds."""
     out = []
     for i in range(-(-BITS // width)):
         turn, _ = np.linalg.qr(np.random.default_rng(8 + i).standard_normal((width, width)))
-        for _ in range(ROUNDS if low is not None else 0):
+        for _ in range(rounds):
             left, _, right = np.linalg.svd(np.where(low @ turn >= 0, 1.0, -1.0).T @ low)
             turn = (left @ right).T
         out.append(turn)
     return np.concatenate(out, axis=1)[:, :BITS]
 
 
-def learn(sample: np.ndarray) -> Model:
-    """(mean, projection) of ITQ: principal axes, then rotations that alternate signs and Procrustes fits."""
+def learn(sample: np.ndarray, centred: bool = True, rounds: int = 40) -> Model:
+    """(mean, projection) of ITQ: principal axes, then rotations that alternate signs and Procrustes fits.
+
+    Not centred, the axes are those of the vectors around 0 and all bits are signs of angles.
+    """
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean = unit.mean(0)
-    _, axes = np.linalg.eigh(np.cov((unit - mean).T, bias=True).reshape(len(mean), -1))
+    mean = unit.mean(0) if centred else np.zeros(unit.shape[1])
+    _, axes = np.linalg.eigh((unit - mean).T @ (unit - mean) / len(unit))
     axes = axes[:, ::-1][:, : min(BITS, len(mean))]
-    return mean, axes @ _turns((unit - mean) @ axes, axes.shape[1])
+    return mean, axes @ _turns((unit - mean) @ axes, axes.shape[1], rounds)
 
 
 @lru_cache(maxsize=16)
 def unlearned(size: int) -> Model:
-    """The projection of a length that the sample holds too little of: random axes and rotations."""
+    """The projection of a length that is beyond the LENGTHS most frequent ones: random axes and rotations."""
     axes, _ = np.linalg.qr(np.random.default_rng(size).standard_normal((size, min(BITS, size))))
     return np.zeros(size), axes @ _turns(None, axes.shape[1])
 
@@ -210,16 +217,38 @@ def chance(vectors: np.ndarray, model: Model, threshold: float) -> float:
     return float((np.min(apart, axis=0) <= 2).mean())
 
 
+def fitted(sample: np.ndarray, threshold: float) -> Model:
+    """The first of FITS that brings enough of the pairs at the threshold together, else the one that brings most."""
+    best = (-1.0, None)
+    for centred, rounds in FITS:
+        model = learn(sample, centred, rounds)
+        share = chance(sample[:TRIED], model, threshold)
+        if share >= SURE:
+            return model
+        best = max(best, (share, model), key=lambda x: x[0])
+    return best[1]
+
+
 def models(classes: DataFrame, threshold: float) -> dict[int, Model]:
-    """The learned projection of each length with a share of SHARE in a sample of SAMPLE vectors, if it brings enough pairs together."""
-    sample = classes.orderBy(F.xxhash64("cid")).limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks()
-    lens, found = pa.compute.list_value_length(sample).to_numpy(), {}
-    for n in np.unique(lens).tolist():
-        if (lens == n).sum() > max(1, SHARE * len(sample)):
-            tried = sample.filter(pa.array(lens == n)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
-            model = learn(tried)
-            if chance(tried[:TRIED], model, threshold) >= SURE:
-                found[n] = model
+    """A learned projection for each length, from one sample of all classes and one for each length that it holds too little of."""
+    found: dict[int, Model] = {}
+
+    def fit(sample: pa.Array, least: float) -> None:
+        lens = pa.compute.list_value_length(sample).to_numpy()
+        for n in np.unique(lens).tolist():
+            if (lens == n).sum() > least:
+                found[n] = fitted(sample.filter(pa.array(lens == n)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n), threshold)
+
+    sizes = classes.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(LENGTHS).collect()
+    longest = max((r["size"] for r in sizes), default=1)
+    sample = classes.orderBy(F.xxhash64("cid")).limit(min(SAMPLE, max(FEW, BYTES // (8 * longest)))).select("vector").toArrow().column(0).combine_chunks()
+    fit(sample, max(1, SHARE * len(sample)))
+    rest = {r["size"] for r in sizes if r["n"] > 1} - set(found)
+    if rest:
+        order = Window.partitionBy(F.size("vector")).orderBy(F.xxhash64("cid"))
+        few = min(FEW, max(2, BYTES // (8 * sum(rest))))
+        own = classes.where(F.size("vector").isin(*rest)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= few)
+        fit(own.select("vector").toArrow().column(0).combine_chunks(), 0)
     return found
 
 
@@ -242,9 +271,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """(id_col, n_links, component_id, kept) for each row of df."""
     vector = F.col(vector_col)
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
+    most = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
     # -0.0 is 0.0, so that equal vectors are one class
-    plain = F.transform(vector, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))
-    rows = df.select(F.col(id_col).alias("id"), F.when(F.coalesce(sound, F.lit(False)), plain).alias("vector"))
+    plain = F.transform("vector", lambda x: F.when(x.cast("double") / F.col("most") == 0, F.lit(0.0)).otherwise(x.cast("double") / F.col("most")))
+    rows = df.select(F.col(id_col).alias("id"), F.when(F.coalesce(sound, F.lit(False)), vector).alias("vector"), most.alias("most"))
+    rows = rows.select("id", plain.alias("vector"))
     rows = stored(rows.withColumn("cid", F.when(F.col("vector").isNotNull(), F.xxhash64("vector"))))
     classes = stored(rows.where("cid is not null").groupBy("vector").agg(F.min("cid").alias("cid"), F.min("id").alias("least"), F.count("*").alias("copies")))
     linked = stored(links(classes, threshold).select("a", "b"))

@@ -72,6 +72,36 @@ def test_recall_near_the_threshold(spark, around):
     assert tuple(got[9003])[1:] == (0, 9003, True)
 
 
+def test_tiny_and_huge_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(64).tolist()) for i in range(50)]
+    base, near = rng.standard_normal(64), rng.standard_normal(64)
+    for at, scale in ((100, 1e-170), (200, 1e160), (300, 1e300), (400, 5e-324)):
+        one = base if scale > 1e-300 else np.round(base * 1000)  # denormal numbers hold few digits
+        rows += [(at, (one * scale).tolist()), (at + 1, ((one + 0.02 * near * np.abs(one).max()) * scale).tolist()), (at + 2, (3 * one * scale).tolist())]
+        base = rng.standard_normal(64)
+    rows.append((500, [1e-170] * 64))
+    got = {r["vec_id"]: r for r in itq_neighbors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for at in (100, 200, 300, 400):
+        assert [(got[at + i]["n_links"], got[at + i]["component_id"]) for i in range(3)] == [(2, at)] * 3
+    assert got[500]["n_links"] == 0 and sum(got[i]["n_links"] for i in range(50)) == 0
+
+
+@pytest.mark.parametrize("size", [2, 3, 4, 8, 16, 64, 256])
+def test_learned_projections_bring_pairs_together(size):
+    rng = np.random.default_rng(size)
+    around = rng.standard_normal(size)
+    for sample in (rng.standard_normal((3000, size)), np.abs(rng.standard_normal((3000, size))), around + 0.2 * rng.standard_normal((3000, size)) / size**0.5, rng.standard_normal((5, size))):
+        assert itq_neighbors.chance(sample[:2000], itq_neighbors.fitted(sample, 0.9), 0.9) >= 0.95
+
+
+def test_rare_lengths_get_a_fit(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(8 if i % 400 else 24).tolist()) for i in range(2000)]
+    classes = spark.createDataFrame(rows, "cid long, vector array<double>")
+    assert set(itq_neighbors.models(classes, 0.9)) == {8, 24}
+
+
 def test_codes_two_bits_apart_meet_once():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
