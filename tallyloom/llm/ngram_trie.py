@@ -37,6 +37,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import tempfile
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -56,7 +57,7 @@ BLOCK = 8 << 20
 PRIOR, WEIGHT = 0.75, 4.0
 #: The end of a text and what stands before its first word; words hold no white space.
 END, BEGIN = b" ", b"\n"
-#: Grids of the 8-bit codes: log10 p from -10 to 0, log10 of a backoff weight from -5 to 2.
+#: Grids of the 8-bit codes: log10 p from -10 to 0 (p_grid() reaches lower in large corpora), log10 of a backoff weight from -5 to 2.
 P_GRID, A_GRID = (-10.0, 0.0), (-5.0, 2.0)
 NO_CONTEXT = 512
 #: The bits of a context's key that its n-grams' keys begin with; shards are ranges of them.
@@ -71,6 +72,11 @@ def quantised(x: np.ndarray, grid: tuple[float, float]) -> np.ndarray:
     return np.clip(np.rint((x - grid[0]) / (grid[1] - grid[0]) * 255), 0, 255).astype(np.uint8)
 
 
+def p_grid(n: int, v: int) -> tuple[float, float]:
+    """The grid of log10 p in a corpus: two below that of an unknown word at least, so that no word's is cut off however many tokens there are."""
+    return min(P_GRID[0], -math.log10(n + v + 1) - 2), P_GRID[1]
+
+
 def restored(code: np.ndarray, grid: tuple[float, float]) -> np.ndarray:
     return grid[0] + code.astype(np.float64) / 255 * (grid[1] - grid[0])
 
@@ -155,7 +161,7 @@ PAIRS, FOURS, BYTES, EACH, TOPS = (np.uint64(x * 0x0101010101010101) for x in (0
 class Level:
     """A shard's part of a trie level, from distinct trained (context, word) with counts and lower-order log10 p."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray, folder: str):
+    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray, folder: str, grid: tuple[float, float] = P_GRID):
         first = np.flatnonzero(np.diff(context, prepend=~context[:1]))
         size = np.diff(np.append(first, len(context)))
         total, once, twice = (np.add.reduceat(x, first, dtype=np.int64) if len(first) else count[:0] for x in (count, count == 1, count == 2))
@@ -169,7 +175,7 @@ class Level:
         self.exact = EliasFano._mapped(f"{folder}/contexts.rest", (context[first] & np.uint64(3)).astype(np.uint8))
         self.pointers = EliasFano(np.append(first, len(context)).astype(np.uint64), folder, "pointers")
         self.successors = EliasFano(of.astype(np.uint64) * self.span + word, folder, "successors")
-        self.p = EliasFano._mapped(f"{folder}/p", quantised(p, P_GRID))
+        self.p = EliasFano._mapped(f"{folder}/p", quantised(p, grid))
         self.a = EliasFano._mapped(f"{folder}/a", quantised(weight, A_GRID))
 
     def answer(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -295,7 +301,7 @@ class _Block:
             raise RuntimeError("the input changed between its two readings; store it first")
         own = place[expand(docs.column("codes")[0].as_py(), np.uint32)]
         self.ids, self.counts = ids[own], counts[own]
-        self.base = np.log10((self.counts + 1) / (n + v + 1))
+        self.base, self.grid = np.log10((self.counts + 1) / (n + v + 1)), p_grid(n, v)
         self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
         self.place = np.arange(len(own)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
 
@@ -329,12 +335,12 @@ class _Block:
 
     def lowered(self, order: int, answers: list[pa.Table], shards: int) -> np.ndarray:
         """log10 p of each token by the levels below order; answers: a table a level from the second on."""
-        p = restored(quantised(self.base, P_GRID), P_GRID)
+        p = restored(quantised(self.base, self.grid), self.grid)
         for level in range(2, order):
             table = answers[level - 2].sort_by("shard")
             codes = np.concatenate([expand(x.as_py(), np.uint16) for x in table.column("answers")])
             code = codes[self.grams(level, shards)[1]]
-            p = np.where(code < 256, restored(code, P_GRID), np.where(code < NO_CONTEXT, p + restored(code - np.uint16(256), A_GRID), p))
+            p = np.where(code < 256, restored(code, self.grid), np.where(code < NO_CONTEXT, p + restored(code - np.uint16(256), A_GRID), p))
         return p
 
 
@@ -351,7 +357,7 @@ def _asked(order: int, shards: int, n: int, v: int) -> Callable[[pa.Table, pa.Ta
         block = _Block(docs, lists, n, v)
         first, of, context, shard, before = block.grams(order, shards)
         counts = np.bincount(of[block.train[block.doc]], minlength=len(first)).astype(np.int32)
-        lower = quantised(block.lowered(order, answers, shards), P_GRID)[first]
+        lower = quantised(block.lowered(order, answers, shards), block.grid)[first]
         out = {k: [] for k in ("shard", "block", "heads", "sizes", "words", "counts", "lower")}
         _, runs = _bucketed(shard)
         ids = np.uint64 if block.ids.max() >> 32 else np.uint32
@@ -389,7 +395,7 @@ def _contexts(heads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return key, rank
 
 
-def _answered(level: int) -> Callable[[pa.Table], pa.Table]:
+def _answered(level: int, grid: tuple[float, float]) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         """Builds a shard's trie level and answers every block's n-grams, in the order in which they were sent."""
         sizes = [expand(x.as_py(), np.int32) for x in table.column("sizes")]
@@ -399,7 +405,7 @@ def _answered(level: int) -> Callable[[pa.Table], pa.Table]:
         del heads
         word = np.concatenate([_wide(x.as_py(), int(k)) for x, k in zip(table.column("words"), lens, strict=True)])
         count = np.concatenate([expand(x.as_py(), np.int32) for x in table.column("counts")]).astype(np.int64)
-        lower = restored(np.concatenate([expand(x.as_py(), np.uint8) for x in table.column("lower")]), P_GRID)
+        lower = restored(np.concatenate([expand(x.as_py(), np.uint8) for x in table.column("lower")]), grid)
         order = np.lexsort((word, rank)) if word.max(initial=0) >> np.uint64(32) else np.argsort(rank << np.uint64(32) | word)
         del rank
         fresh = (np.diff(context[order], prepend=~context[order[:1]]) != 0) | (np.diff(word[order], prepend=~word[order[:1]]) != 0)
@@ -408,7 +414,7 @@ def _answered(level: int) -> Callable[[pa.Table], pa.Table]:
         kinds = order[np.flatnonzero(fresh)]
         trained = total > 0
         with tempfile.TemporaryDirectory() as folder:
-            trie = Level(context[kinds[trained]], word[kinds[trained]], total[trained], lower[kinds[trained]], folder)
+            trie = Level(context[kinds[trained]], word[kinds[trained]], total[trained], lower[kinds[trained]], folder, grid)
             said = trie.answer(context[kinds], word[kinds])
         answers = np.empty(len(order), np.uint16)
         answers[order] = said[group]
@@ -446,7 +452,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     known = counted.repartition("block").select("block", "bucket", "ids", "counts", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("answers"), F.lit(1).alias("level"))
     for level in range(2, order + 1):
         asked = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(level, shards, n, v), "shard int, block long, heads binary, sizes binary, words binary, counts binary, lower binary")
-        answers = asked.groupBy("shard").applyInArrow(_answered(level), "block long, shard int, answers binary, level int")
+        answers = asked.groupBy("shard").applyInArrow(_answered(level, p_grid(n, v)), "block long, shard int, answers binary, level int")
         known = known.unionByName(answers.repartition("block"), allowMissingColumns=True)
     done = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         _scored(order, shards, n, v, to_arrow_type(kind)),
