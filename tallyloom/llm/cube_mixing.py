@@ -6,9 +6,10 @@ with target r times its size takes each document floor(r) times, and once more w
 inclusion probability r - floor(r). Which documents get that extra copy is a balanced sample: the
 flight phase of the cube method moves the probabilities along directions that keep the sums of
 tokens and of documents, until all but two documents of a block are decided. The undecided
-ones of all blocks form new blocks, round after round; what is left of a source at the end,
-two documents at most, is the landing problem: a coin with their probabilities decides it, and
-exchanges within that last block make up for the words by which the coin missed the target.
+ones of all blocks form new blocks, round after round. The flight of a source's last block leaves `LEFT` documents
+of its whole range of sizes beside; these and the two undecided ones are the landing problem: of all their
+outcomes that keep the number of documents to less than one, the one nearest to the balance of words. No
+decision of the flight is taken back.
 
 Blocks hold about `BLOCK` documents of one source by the hash of their key, so a source of any size is
 spread; a round passes on at most two documents a block, so the rounds are few (the logarithm
@@ -32,6 +33,8 @@ from .frames import stored
 from .text import mix64
 
 WEIGHTS, MOST, BLOCK, SEED = (1, 2, 3), 3.0, 4096, 10
+#: Documents of a last block that the flight leaves to the landing.
+LEFT = 12
 LOT = 100_000
 
 
@@ -92,53 +95,44 @@ def flight(chance: np.ndarray, size: np.ndarray, coins: np.ndarray) -> np.ndarra
     return np.where(out <= eps, 0.0, np.where(out >= 1 - eps, 1.0, out))
 
 
-def landing(chance: np.ndarray, coins: np.ndarray) -> np.ndarray:
-    """Decides what the flight left, keeping the number of documents while two are open, then by a coin."""
-    p = chance.copy()
-    open_ = np.flatnonzero((p > 0) & (p < 1)).tolist()
-    while len(open_) >= 2:
-        i, j = open_[:2]
-        total = p[i] + p[j]
-        if total <= 1:
-            p[i], p[j] = (total, 0.0) if coins[i] * total < p[i] else (0.0, total)
-        else:
-            p[i], p[j] = (1.0, total - 1) if coins[i] * (2 - total) < 1 - p[j] else (total - 1, 1.0)
-        open_ = [h for h in open_ if 1e-9 < p[h] < 1 - 1e-9]
-    for i in open_:
-        p[i] = float(coins[i] < p[i])
-    return np.round(p)
-
-
-def settle(chance: np.ndarray, size: np.ndarray, done: np.ndarray) -> np.ndarray:
-    """Ends the landing: exchanges decisions while one brings the sum of sizes nearer to that of chance * size.
-
-    Only units whose chance was open may change. A large document that the coin left out, or in, is
-    so made up for by smaller ones; each exchange is the one that comes nearest.
+def landing(chance: np.ndarray, size: np.ndarray, coins: np.ndarray) -> np.ndarray:
+    """Decides what the flight left, by the outcome that costs least.
+
+    Outcomes keep the sum of chances to less than one document; of those the one whose sum of sizes is nearest to
+    that of chance * size is taken, of equals the one that comes first in an order by coin.
     """
-    out, open_ = done.copy(), np.flatnonzero((chance > 0) & (chance < 1) & (size > 0))
-    gap = float((chance * size).sum() - (out * size).sum())
-    while len(open_):
-        change = np.where(out[open_] > 0, -size[open_], size[open_])
-        best = int(np.argmin(np.abs(gap - change)))
-        if abs(gap - change[best]) >= abs(gap):
-            break
-        gap -= float(change[best])
-        out[open_[best]] = 1 - out[open_[best]]
+    out, open_ = chance.copy(), np.flatnonzero((chance > 0) & (chance < 1))
+    if not len(open_):
+        return out
+    open_ = open_[np.argsort(coins[open_], kind="stable")]
+    taken = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+    off = np.abs(taken.sum(1) - chance[open_].sum())
+    words = np.abs(taken @ size[open_] - (chance * size)[open_].sum())
+    out[open_] = taken[np.lexsort((off, words, off >= 1 - 1e-9))[0]]
     return out
 
 
+def final(chance: np.ndarray, size: np.ndarray, coins: np.ndarray) -> np.ndarray:
+    """Flight and landing of a last block, whose documents come in order of size."""
+    open_ = np.flatnonzero((chance > 0) & (chance < 1))
+    beside = open_[np.unique(np.linspace(0, len(open_) - 1, min(LEFT, len(open_))).astype(int))] if len(open_) else open_
+    flown = np.setdiff1d(open_, beside)
+    p = chance.copy()
+    p[flown] = flight(chance[flown], size[flown], coins[flown])
+    return landing(p, size, coins)
+
+
 def _coins(keys: pd.Series, salt: int) -> np.ndarray:
     return mix64(keys.to_numpy(np.int64).view(np.uint64) ^ np.uint64(SEED * 1_000_003 + salt)).astype(np.float64) / 2.0**64
 
 
 def _flown(salt: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # from large to small: what stays open at the end are small documents, and so is the landing's error
+        # from large to small: what stays open at the end are small documents
         rows = rows.assign(coin=_coins(rows["key"], salt)).sort_values(["size", "coin", "key", "nth"], ascending=[False, True, True, True]).drop(columns="coin").reset_index(drop=True)
         coins = _coins(rows["key"], salt + 1)
         chance, size = rows["chance"].to_numpy(), rows["size"].to_numpy(np.float64)
-        p = flight(chance, size, coins)
-        return rows.assign(chance=settle(chance, size, landing(p, _coins(rows["key"], salt + 2))) if last else p)
+        return rows.assign(chance=(final if last else flight)(chance, size, coins))
 
     return run
 

@@ -268,8 +268,31 @@ def test_flight_keeps_its_balance():
     out = cube_mixing.flight(p, x, rng.uniform(0, 1, 400))
     assert ((out > 0) & (out < 1)).sum() <= 2
     assert out.sum() == pytest.approx(p.sum()) and (out * x).sum() == pytest.approx((p * x).sum())
-    means = np.mean([cube_mixing.landing(cube_mixing.flight(p[:20], x[:20], c), c[::-1]) for c in rng.uniform(0, 1, (3000, 20))], axis=0)
-    assert np.abs(means - p[:20]).max() < 0.06
+    flown = np.array([cube_mixing.flight(p[:20], x[:20], c) for c in rng.uniform(0, 1, (3000, 20))])
+    assert np.abs(flown.mean(0) - p[:20]).max() < 0.06
+
+
+def test_landing_keeps_documents_and_words():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 15, 50, 400):
+        for _ in range(20):
+            p, x, coins = rng.uniform(0, 1, n), np.sort(rng.geometric(0.002, n))[::-1].astype(float), rng.uniform(0, 1, n)
+            out = cube_mixing.final(p, x, coins)
+            assert set(out) <= {0.0, 1.0} and abs(out.sum() - p.sum()) < 1
+            if n >= 50:
+                assert abs((out * x).sum() - (p * x).sum()) < 0.002 * (p * x).sum() + 20
+            # what the flight decided stays
+            open_ = cube_mixing.flight(p, x, coins)
+            land = cube_mixing.landing(open_, x, coins)
+            assert (land == open_)[(open_ == 0) | (open_ == 1)].all() and abs(land.sum() - p.sum()) < 1
+
+
+def test_documents_of_a_source_are_balanced_too(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = cube_mixing.weigh(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "source_size", "target").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    for r in got:
+        assert abs(r["copies"] - r["n"] * r["target"] / r["source_size"]) < 1
+        assert abs(r["taken"] - r["target"]) < 0.005 * r["target"]
 
 
 @pytest.mark.parametrize("order", [2, 3])
@@ -364,6 +387,14 @@ def test_trie_searches_like_numpy(tmp_path):
         assert (got == np.clip(np.searchsorted(values, wanted), low, high)).all()
 
 
+def test_the_grid_of_probabilities_reaches_below_unknown_words():
+    assert ngram_trie.p_grid(10**6, 10**5) == ngram_trie.P_GRID
+    for n in (10**10, 10**13, 10**18):
+        grid = ngram_trie.p_grid(n, n // 100)
+        x = np.log10(np.array([1, 30, 1000]) / (n + n // 100 + 1))
+        assert np.abs(ngram_trie.restored(ngram_trie.quantised(x, grid), grid) - x).max() <= -grid[0] / 510 + 1e-9
+
+
 def test_trie_level_answers_like_a_dictionary(tmp_path):
     rng = np.random.default_rng(4)
     context, word = rng.integers(0, 1 << 62, 60, dtype=np.uint64)[rng.integers(0, 60, 900)], rng.integers(1, 80, 900).astype(np.uint64)
