@@ -22,6 +22,20 @@ def arrivals(spark: SparkSession, folder: str, pattern: str = "*", most: int = 1
     return found.where(files.wanted(F.col("path")))
 
 
+def per_file(callback: Callable[[str, str], None]) -> Callable[[DataFrame, int], None]:
+    """A callback for run() that calls callback(path, event_type) for each file of a micro-batch, in order of change.
+
+    Only names and kinds of events come to the driver, one at a time. A batch that is replayed calls again.
+    """
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        kind = F.col("event_type") if "event_type" in batch.columns else F.lit("created")
+        for row in batch.select("path", kind.alias("kind"), "modificationTime").orderBy("modificationTime", "path").toLocalIterator():
+            callback(row["path"], row["kind"])
+
+    return on_batch
+
+
 def run(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, every: str = "2 seconds") -> StreamingQuery:
     """Calls callback(batch, id) for each micro-batch; once: all files that are there, then stop."""
     writer = stream.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint)
