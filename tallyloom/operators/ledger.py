@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
+from . import dates
 from .medallion import settled
 
 
@@ -78,16 +79,24 @@ def usable() -> Column:
     return F.col("txn_date").isNotNull() & F.col("description").isNotNull() & (F.coalesce(F.col("amount"), F.lit(0.0)) > 0)
 
 
-def normalise(df: DataFrame, default_currency: str = "PKR", formats: Sequence[str] = fixed.DATE_FORMATS, sign_rule: str = "ledger", date_order: str = "dmy") -> DataFrame:
+def normalise(df: DataFrame, default_currency: str = "PKR", formats: Sequence[str] = fixed.DATE_FORMATS, sign_rule: str = "ledger", date_order: str = "dmy", file_col: str | None = None) -> DataFrame:
     """Any frame with recognisable headers as the canonical ledger; rows that can't be used are dropped.
 
-    date_order: `dmy`, or `mdy` for files that write the month first.
+    date_order: `dmy`, `mdy` for files that write the month first, or `vote`: the order that reads most of the dates
+    of a file (file_col), or of all rows.
     """
-    if date_order not in ("dmy", "mdy"):
-        raise ValueError("date_order is dmy or mdy")
+    if date_order not in ("dmy", "mdy", "vote"):
+        raise ValueError("date_order is dmy, mdy or vote")
     formats = fixed.MONTH_FIRST_FORMATS if date_order == "mdy" else formats
     named = derive_amount(require(rename(df)), sign_rule)
-    date = F.col("txn_date") if dict(named.dtypes)["txn_date"] in ("date", "timestamp") else S.parse_date(F.col("txn_date"), formats)
+    if dict(named.dtypes)["txn_date"] in ("date", "timestamp"):
+        date = F.col("txn_date")
+    elif date_order == "vote":
+        by = [slug(file_col)] if file_col else []
+        named = dates.ordered(named, dates.votes(named, "txn_date", by), by)
+        date = dates.parse(F.col("txn_date"), F.col("date_order"), formats)
+    else:
+        date = S.parse_date(F.col("txn_date"), formats)
     optional = lambda c: F.col(c).cast("string") if c in named.columns else F.lit(None).cast("string")
     code = F.coalesce(F.upper(F.trim(optional("currency"))), F.lit(default_currency))
     # settled: the filter reads the date and the amount instead of working them out again

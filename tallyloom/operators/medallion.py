@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
+from . import dates
 
 GOLD_LEAST, SILVER_LEAST = 0.7, 0.3
 
@@ -209,8 +210,17 @@ def batch_counts(rows: DataFrame, least: float = GOLD_LEAST) -> DataFrame:
     )
 
 
+def file_votes(rows: DataFrame) -> DataFrame:
+    """The order of day and month that the dates of each source_file of bronze rows tell."""
+    read = settled(settled(rows.select("source_file", "raw_content"), fields=fields_of(F.col("raw_content"))), date_text=F.trim(part_field(F.col("fields"), fixed.DATE_PARTS)))
+    return dates.votes(read, "date_text", ["source_file"])
+
+
 def file_rows(rows: DataFrame) -> DataFrame:
-    """The file-to-gold variant: keys by part, debit unless the type says credit, its own masks and keywords."""
+    """The file-to-gold variant: keys by part, debit unless the type says credit, its own masks and keywords.
+
+    Dates are read day first, or as a column date_order of the rows says.
+    """
     m = F.col("fields")
     parsed = settled(rows, fields=fields_of(F.col("raw_content")))
     whole = {f"{k}_text": F.try_element_at(m, F.lit(k)) for k in ("debit", "dr", "credit", "cr")}
@@ -218,8 +228,10 @@ def file_rows(rows: DataFrame) -> DataFrame:
     named = settled(parsed, **whole, **{n: F.trim(part_field(m, p)) for n, p in parts.items()})
     side = lambda keys: F.abs(F.coalesce(*(F.nullif(S.parse_amount_or_zero(F.col(f"{k}_text")), F.lit(0.0)) for k in keys), F.lit(0.0)))
     masked, kinds = S.mask(F.col("description"), "pipeline")
+    text = F.col("date_text")
+    read_date = dates.parse(text, F.col("date_order"), fixed.SHORT_DATE_FORMATS) if "date_order" in rows.columns else S.parse_date(text, fixed.SHORT_DATE_FORMATS)
     base = settled(
-        named, transaction_date=S.parse_date(F.col("date_text"), fixed.SHORT_DATE_FORMATS), d=side(("debit", "dr")), c=side(("credit", "cr")), a=F.abs(S.parse_amount_or_zero(F.col("amount_text"))),
+        named, transaction_date=read_date, d=side(("debit", "dr")), c=side(("credit", "cr")), a=F.abs(S.parse_amount_or_zero(F.col("amount_text"))),
         is_credit=F.contains(F.lower(F.coalesce("type_text", F.lit(""))), F.lit("credit")), description_masked=masked, pii_types=kinds, category=S.keyword_category(F.coalesce("description", F.lit("")))["category"],
     )
     explicit = (F.col("d") != 0) | (F.col("c") != 0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..operators import gates, mapping, metadata, privacy, tax, tenants
+from ..operators import dates, gates, mapping, metadata, privacy, tax, tenants
 from ..operators import ledger as L
 from ..operators import medallion as M
 from ..sources import files
@@ -307,6 +307,24 @@ def c1(spark, d):
     return L.normalise(_raw(spark, d).drop("row_id")).withColumn("txn_date", F.date_format("txn_date", "yyyy-MM-dd"))
 
 
+_VOTED = f"""{A.LEDGER}, w AS (SELECT row_id, file, k, txn_date AS d FROM ledger),
+    t AS (SELECT row_id, file, CASE WHEN k % 4 = 0 OR (k % 4 = 3 AND k % 7 <> 0) THEN strftime(d, '%m/%d/%Y') WHEN k % 4 = 2 THEN strftime(make_date(year(d), month(d), (day(d) - 1) % 12 + 1), '%d/%m/%Y') WHEN k % 4 = 3 AND k % 14 = 7 THEN strftime(d, '%Y-%m-%d') ELSE strftime(d, '%d/%m/%Y') END AS x FROM w),
+    p AS (SELECT *, CAST(try_strptime(x, '%d/%m/%Y') AS DATE) AS a, CAST(try_strptime(x, '%m/%d/%Y') AS DATE) AS b, CAST(try_strptime(x, '%Y-%m-%d') AS DATE) AS c FROM t),
+    v AS (SELECT file, count(b) > count(a) AS month_first FROM p GROUP BY file)"""
+
+
+@registered("f3_inferred_dates", f"{_VOTED} SELECT row_id, CASE WHEN month_first THEN 'mdy' ELSE 'dmy' END AS date_order, strftime(CASE WHEN month_first THEN coalesce(b, a, c) ELSE coalesce(a, b, c) END, '%Y-%m-%d') AS txn_date FROM p JOIN v USING (file)")
+def f3(spark, d):
+    """files that write the month first, the day first, dates that tell nothing, or some of each; every file is read by the order of most."""
+    df, k, at = A.ledger(spark, d), F.col("k"), F.col("txn_date")
+    vague = F.make_date(F.year(at), F.month(at), (F.dayofmonth(at) - 1) % 12 + 1)
+    text = (
+        F.when((k % 4 == 0) | ((k % 4 == 3) & (k % 7 != 0)), F.date_format(at, "MM/dd/yyyy")).when(k % 4 == 2, F.date_format(vague, "dd/MM/yyyy"))
+        .when((k % 4 == 3) & (k % 14 == 7), F.date_format(at, "yyyy-MM-dd")).otherwise(F.date_format(at, "dd/MM/yyyy"))
+    )
+    return dates.inferred(df.select("row_id", "file", text.alias("text")), "text", ["file"]).select("row_id", "date_order", day("txn_date"))
+
+
 @registered("p5_debit_credit", f"{A.LEDGER} SELECT row_id, amount, direction FROM ledger")
 def p5(spark, d):
     """P5: amount and direction from a debit and a credit column."""
