@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +23,18 @@ def admitted(files: DataFrame, rows: DataFrame | None = None, max_bytes: int = f
     return out.withColumn("blocked_by", F.when(F.col("length") > max_bytes, "size").when(many, "rows"))
 
 
+CHANGES = "array<struct<rule: string, column: string>>"
+
+
+def safe_name(name: str) -> str:
+    """A header in Unicode NFC, with raw_ in front of the engine's own names."""
+    nfc = unicodedata.normalize("NFC", name)
+    return f"raw_{nfc}" if nfc.strip().lower() in fixed.RESERVED_NAMES else nfc
+
+
 def safe_names(df: DataFrame) -> DataFrame:
-    """Headers in Unicode NFC, the engine's own names with raw_ in front."""
-    nfc = {c: unicodedata.normalize("NFC", c) for c in df.columns}
-    return df.withColumnsRenamed({c: f"raw_{n}" if n.strip().lower() in fixed.RESERVED_NAMES else n for c, n in nfc.items()})
+    """Headers by safe_name()."""
+    return df.withColumnsRenamed({c: safe_name(c) for c in df.columns})
 
 
 def _texts(df: DataFrame) -> list[str]:
@@ -37,14 +46,26 @@ def sanitised(df: DataFrame, most: int = fixed.MAX_CELL) -> DataFrame:
     return df.withColumns({c: F.left(S.neutralised(F.col(f"`{c}`")), F.lit(most)) for c in _texts(df)})
 
 
-def warnings(df: DataFrame, key: str, most: int = fixed.MAX_CELL) -> DataFrame:
-    """(key, rule, column) for each cell that sanitised() changes."""
+def changes(df: DataFrame, columns: Sequence[str], most: int = fixed.MAX_CELL) -> Column:
+    """An array of (rule, column) for the cells of a row that sanitised() changes."""
 
     def hit(c: str, rule: str, on: Column) -> Column:
         return F.when(F.coalesce(on, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column")))
 
-    found = [h for c in _texts(df) if c != key for h in (hit(c, "formula", S.neutralised(F.col(f"`{c}`")) != F.col(f"`{c}`")), hit(c, "length", F.length(F.col(f"`{c}`")) > most))]
-    return df.select(F.col(key), F.inline(F.array_compact(F.array(*found))))
+    found = [h for c in columns for h in (hit(c, "formula", S.neutralised(F.col(f"`{c}`")) != F.col(f"`{c}`")), hit(c, "length", F.length(F.col(f"`{c}`")) > most))]
+    return F.array_compact(F.array(*found)) if found else F.array().cast(CHANGES)
+
+
+def warnings(df: DataFrame, key: str, most: int = fixed.MAX_CELL) -> DataFrame:
+    """(key, rule, column) for each cell that sanitised() changes."""
+    return df.select(F.col(key), F.inline(changes(df, [c for c in _texts(df) if c != key], most)))
+
+
+def mended(df: DataFrame, keys: Sequence[str], most: int = fixed.MAX_CELL, told: str = "gate_warnings") -> DataFrame:
+    """Rows with all text cells but the keys in Unicode NFC, formulas marked and cells cut to `most` characters; told: an array of what changed."""
+    texts = [c for c in _texts(df) if c not in keys]
+    plain = df.withColumns({c: nfc_column(F.col(f"`{c}`")) for c in texts})
+    return plain.withColumns({told: changes(plain, texts, most)} | {c: F.left(S.neutralised(F.col(f"`{c}`")), F.lit(most)) for c in texts})
 
 
 def nfc_column(c: Column) -> Column:
@@ -65,6 +86,5 @@ def chain(files: DataFrame, rows: DataFrame, key: str, max_bytes: int = fixed.MA
     """
     verdicts = admitted(files, rows.select("path"), max_bytes, max_rows)
     passed = safe_names(rows.join(verdicts.where("blocked_by is null").select("path"), "path", "left_semi"))
-    plain = passed.withColumns({c: nfc_column(F.col(f"`{c}`")) for c in _texts(passed) if c not in ("path", key)})
-    clean = plain.withColumns({c: F.left(S.neutralised(F.col(f"`{c}`")), F.lit(most)) for c in _texts(plain) if c not in ("path", key)})
-    return clean, warnings(plain.drop("path"), key, most), verdicts
+    clean = mended(passed, ("path", key), most)
+    return clean.drop("gate_warnings"), clean.select(key, F.inline("gate_warnings")), verdicts

@@ -42,13 +42,13 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "number", ranges:
     return placed.join(F.broadcast(shifts), "__range").withColumn(name, F.col(name) + F.col("__shift")).drop("__range", "__shift")
 
 
-def bronze(df: DataFrame, batch: str, source_type: str = "csv", software: str | Column = "manual_csv", order: Sequence[str] = (), file_col: str | None = None, number_col: str | None = None) -> DataFrame:
+def bronze(df: DataFrame, batch: str, source_type: str = "csv", software: str | Column = "manual_csv", order: Sequence[str] = (), file_col: str | None = None, number_col: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Every row verbatim as JSON with its headers, a row number from 1 in its file, and status `pending`.
 
     number_col holds row numbers that were read with the rows; else rows are numbered by order, within their file or
-    over all of them, or as they come. Both columns stay out of the JSON.
+    over all of them, or as they come. Both columns stay out of the JSON, and so do those of `keep`, which go on as they are.
     """
-    columns = [c for c in df.columns if c not in (file_col, number_col)]
+    columns = [c for c in df.columns if c not in (file_col, number_col, *keep)]
     file = F.col(file_col) if file_col else F.lit("inline")
     if number_col:
         placed = df.withColumn("__number", F.col(number_col))
@@ -59,7 +59,7 @@ def bronze(df: DataFrame, batch: str, source_type: str = "csv", software: str |
     raw = F.to_json(F.struct(*(F.col(f"`{c}`") for c in columns)), {"ignoreNullFields": "false"})
     return placed.select(
         file.alias("source_file"), F.col("__number").cast("int").alias("source_row_number"), raw.alias("raw_content"), F.to_json(F.array(*map(F.lit, columns))).alias("raw_headers"),
-        F.lit(batch).alias("ingestion_batch_id"), F.lit(source_type).alias("source_type"), (software if isinstance(software, Column) else F.lit(software)).alias("source_software"), F.lit("pending").alias("processing_status"),
+        F.lit(batch).alias("ingestion_batch_id"), F.lit(source_type).alias("source_type"), (software if isinstance(software, Column) else F.lit(software)).alias("source_software"), F.lit("pending").alias("processing_status"), *keep,
     ).withColumn("bronze_id", F.sha2(F.concat_ws("|", "ingestion_batch_id", "source_file", "source_row_number"), 256))
 
 

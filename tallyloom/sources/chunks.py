@@ -142,13 +142,13 @@ def records(spark: SparkSession, paths: Sequence[str], separator: str = ",") ->
     return whole.unionByName(split).withColumn("record", F.when(F.col("number") == 0, F.ltrim(F.col("record"), F.lit("﻿"))).otherwise(F.col("record")))
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str], separator: str = ",", audit: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, paths: Sequence[str], separator: str = ",", audit: bool = False, name: Callable[[str], str] = str) -> DataFrame:
     """files.read_csv() for files of any size in UTF-8: strings by the header of the first file, source_file and source_row_number from 1.
 
-    With audit, rows with more or fewer cells than the header come whole in _corrupt_record.
+    With audit, rows with more or fewer cells than the header come whole in _corrupt_record. name: what becomes of a header.
     """
     options = {"sep": separator, "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
-    names = [c.lstrip("﻿") for c in spark.read.options(header=True, **options).csv(list(paths)[:1]).columns]
+    names = [name(c.lstrip("﻿")) for c in spark.read.options(header=True, **options).csv(list(paths)[:1]).columns]
     # places for names, as a header may have any character
     kinds = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(CORRUPT, T.StringType())]
     ddl = ", ".join(f"{k.name} STRING" for k in kinds)

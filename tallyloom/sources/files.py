@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -107,22 +107,31 @@ def csv_groups(files: DataFrame) -> list[tuple[str, str, list[str]]]:
 
 
 CORRUPT = "_corrupt_record"
+#: The characters of windows-1252 that ISO-8859-1 has as controls, and these controls.
+CURLY = "".join(c for c in bytes(range(0x80, 0xA0)).decode("cp1252", "ignore"))
+CONTROLS = "".join(map(chr, CURLY.encode("cp1252")))
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str], charset: str = "UTF-8", separator: str = ",", audit: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, paths: Sequence[str], charset: str = "UTF-8", separator: str = ",", audit: bool = False, name: Callable[[str], str] = str) -> DataFrame:
     """CSV files of one header as strings, with source_file and source_row_number; extra cells of ragged rows are dropped.
 
     Row numbers follow the place in the file: files are read whole, one task each, so that quoted
     line breaks are kept together. With audit, rows with more or fewer cells than the header come whole in _corrupt_record.
+    name: what becomes of a header.
     """
-    reader = spark.read.option("header", True).option("sep", separator).option("encoding", charset).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+    # the CSV source has no windows-1252, which differs from ISO-8859-1 by some characters only
+    curly = charset == "windows-1252"
+    plain = str.maketrans(CONTROLS, CURLY) if curly else {}
+    reader = spark.read.option("header", True).option("sep", separator).option("encoding", "ISO-8859-1" if curly else charset).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
     names = reader.csv(list(paths)[:1]).columns
-    types = [T.StructField(c.lstrip("\ufeff"), T.StringType()) for c in names]
+    types = [T.StructField(name(c.lstrip("\ufeff").translate(plain)), T.StringType()) for c in names]
     if audit:
         types.append(T.StructField(CORRUPT, T.StringType()))
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    df = reader.schema(T.StructType(types)).csv(list(paths))
-    placed = df.withColumn("source_file", F.col("_metadata.file_path")).withColumn("__at", F.monotonically_increasing_id())
+    df = reader.schema(T.StructType(types)).csv(list(paths)).withColumn("source_file", F.col("_metadata.file_path"))
+    if curly:
+        df = df.withColumns({t.name: F.translate(F.col(f"`{t.name}`"), CONTROLS, CURLY) for t in types})
+    placed = df.withColumn("__at", F.monotonically_increasing_id())
     w = Window.partitionBy("source_file").orderBy("__at")
     return placed.withColumn("source_row_number", F.row_number().over(w)).drop("__at")
 
@@ -138,11 +147,17 @@ def first_value(columns: Sequence[str]) -> Column:
 
 
 def strip_summary(df: DataFrame, columns: Sequence[str], file: str = "source_file", number: str = "source_row_number", most: int = 5) -> DataFrame:
-    """Rows without the summary rows at the foot of each file, at most five of them."""
+    """Rows without the summary rows at the foot of each file, at most five of them.
+
+    Only the last rows of each file meet in a task; all others meet a bound of their file.
+    """
+    foot = df.select(file, number, F.coalesce(first_value(columns).isin(*fixed.SUMMARY_WORDS), F.lit(False)).alias("__summary"))
     from_end = Window.partitionBy(file).orderBy(F.desc(number))
-    summary = F.coalesce(first_value(columns).isin(*fixed.SUMMARY_WORDS), F.lit(False))
-    marked = df.withColumn("__nth", F.row_number().over(from_end)).withColumn("__row", F.max(~summary).over(from_end.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.where((F.col("__nth") > most) | F.col("__row")).drop("__nth", "__row")
+    last = foot.withColumn("__nth", F.row_number().over(from_end)).where(F.col("__nth") <= most)
+    marked = last.withColumn("__row", F.max(~F.col("__summary")).over(from_end.rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = marked.where("NOT __row").groupBy(F.col(file).alias("__file")).agg(F.min(number).alias("__bound"))
+    met = df.join(bounds, F.col(file).eqNullSafe(F.col("__file")), "left")
+    return met.where(F.col("__bound").isNull() | (F.col(number) < F.col("__bound"))).drop("__file", "__bound")
 
 
 def unioned(frames: Sequence[DataFrame]) -> DataFrame:
