@@ -215,7 +215,8 @@ def mask_tokens(text: Column, matches: Column, field: str, mode: str = "places")
     now = text
     for kind, pattern in fixed.PII_PATTERNS.items():
         now = _placed(now, own, kind, pattern)
-    return now
+    # most rows have no match and are left as they are
+    return F.when(F.exists(matches, lambda m: m["field"] == field), now).otherwise(text)
 
 
 def _placed(text: Column, matches: Column, kind: str, pattern: str) -> Column:
@@ -281,16 +282,16 @@ def neutralised(c: Column) -> Column:
 
 def keyword_category(text: Column, word_boundary: bool = False) -> Column:
     """(category, taxable) of the first keyword contained in the text, null and false without one."""
+    return let(F.lower(text), lambda low: lowered_category(low, word_boundary))
 
-    def first(low: Column) -> Column:
-        out = None
-        for word, name, taxable in fixed.KEYWORD_CATEGORIES:
-            hit = low.rlike(rf"\b{word}\b") if word_boundary else F.contains(low, F.lit(word))
-            value = F.struct(F.lit(name).alias("category"), F.lit(taxable).alias("taxable"))
-            out = F.when(hit, value) if out is None else out.when(hit, value)
-        return out.otherwise(F.struct(F.lit(None).cast("string").alias("category"), F.lit(False).alias("taxable")))
 
-    return let(F.lower(text), first)
+def lowered_category(low: Column, word_boundary: bool = False) -> Column:
+    """keyword_category() of a text in lower case."""
+    out = F
+    for word, name, taxable in fixed.KEYWORD_CATEGORIES:
+        hit = low.rlike(rf"\b{word}\b") if word_boundary else F.contains(low, F.lit(word))
+        out = out.when(hit, F.struct(F.lit(name).alias("category"), F.lit(taxable).alias("taxable")))
+    return out.otherwise(F.struct(F.lit(None).cast("string").alias("category"), F.lit(False).alias("taxable")))
 
 
 def tax_class(category: Column) -> Column:

@@ -97,15 +97,15 @@ def classified(rows: DataFrame) -> DataFrame:
     keys = {"date_text": fixed.DATE_KEYS, "description": fixed.DESCRIPTION_KEYS, "vendor": fixed.VENDOR_KEYS, "debit_text": fixed.DEBIT_KEYS, "credit_text": fixed.CREDIT_KEYS, "amount_text": fixed.AMOUNT_KEYS}
     named = settled(parsed, **{n: first_field(m, k) for n, k in keys.items()}, language_detected=S.language(F.concat_ws(" ", F.map_values(m))))
     masked, kinds = S.mask(F.col("description"))
-    typed = settled(named, transaction_date=S.parse_date(F.col("date_text")), debit=S.parse_amount(F.col("debit_text")), credit=S.parse_amount(F.col("credit_text")), signed=S.parse_amount(F.col("amount_text")), description_masked=masked, pii_types=kinds)
+    typed = settled(named, transaction_date=S.parse_date(F.col("date_text")), debit=S.parse_amount(F.col("debit_text")), credit=S.parse_amount(F.col("credit_text")), signed=S.parse_amount(F.col("amount_text")), description_masked=masked, pii_types=kinds, low=F.lower("description"))
     explicit, zero = F.col("debit_text").isNotNull() | F.col("credit_text").isNotNull(), F.lit(0.0)
     side = lambda c, mine: F.abs(F.when(explicit, F.coalesce(F.col(c), zero)).otherwise(F.when(mine, F.col("signed")).otherwise(zero)))
-    money = settled(typed, amount_debit=side("debit", F.col("signed") < 0), amount_credit=side("credit", F.col("signed") >= 0))
+    money = settled(typed, amount_debit=side("debit", F.col("signed") < 0), amount_credit=side("credit", F.col("signed") >= 0), category=S.lowered_category(F.col("low"))["category"]).drop("low")
     said = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
     score = S.quality_score(F.col("transaction_date").isNotNull(), (F.col("amount_debit") != 0) | (F.col("amount_credit") != 0), said("description"), said("vendor"), F.size("pii_types") > 0)
-    scored = settled(money, quality_score=score, category=S.keyword_category(F.col("description"))["category"])
+    scored = money.withColumn("quality_score", score)
     reasons = F.concat_ws("; ", F.when(F.col("transaction_date").isNull(), "date_parse_failed"), F.when(F.col("quality_score") < SILVER_LEAST, F.format_string("low_quality_score(%s)", F.col("quality_score").cast("string"))))
-    return settled(scored, reason=F.coalesce("broken", F.when(reasons != "", reasons)))
+    return scored.withColumn("reason", F.coalesce("broken", F.when(reasons != "", reasons)))
 
 
 def silver(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions import scalars as S
 from ..operators import dates, gates, mapping, metadata, privacy, tax, tenants
 from ..operators import ledger as L
 from ..operators import medallion as M
-from ..sources import files
+from ..sources import files, stores
 from ..streaming import watch
 from . import adapter as A
 
@@ -528,7 +528,8 @@ GOLD_SQL = f"{SILVER_SQL}, gold AS (SELECT * FROM s WHERE reason IS NULL AND qua
 @registered("c5_gold", f"{GOLD_SQL} SELECT bronze_id, strftime(transaction_date, '%Y-%m-%d') AS transaction_date, category, CASE WHEN category IS NULL THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END AS category_confidence, {sentence_sql('gold', 'transaction_date', 'category', 'vendor')} AS embedding_text, {tax_class_sql('category')} AS fbr_category, {tax_class_sql('category')} IS NOT NULL AS fbr_tax_applicable, quality_score FROM gold WHERE ingestion_batch_id = 'batch-1'")
 def c5(spark, d):
     """C5 (J1, J2, P12, F26, F27, F30): one batch of silver to gold."""
-    s = M.silver(M.classified(A.bronze(spark, d)))
+    # silver is a table: its rules run once, not for each side of the join
+    s = stores.stored(M.silver(M.classified(A.bronze(spark, d))))
     done = M.promoted(M.unpromoted(s, s.where("ingestion_batch_id <> 'batch-1'"), "batch-1"))
     return done.select("bronze_id", day("transaction_date"), "category", "category_confidence", "embedding_text", "fbr_category", "fbr_tax_applicable", "quality_score")
 
