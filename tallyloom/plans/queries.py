@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..operators import dates, gates, mapping, metadata, privacy, tax, tenants
+from ..operators import dates, gates, mapping, membership, metadata, privacy, tax, tenants
 from ..operators import ledger as L
 from ..operators import medallion as M
 from ..sources import files, stores
 from ..streaming import watch
 from . import adapter as A
+from . import periods
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -572,6 +573,14 @@ def c6(spark, d):
     return done.withColumn("period_start", F.date_format("period_start", "yyyy-MM-dd")).withColumn("period_end", F.date_format("period_end", "yyyy-MM-dd"))
 
 
+@registered("l5_months_by_batch", monthly_sql() + ", 'monthly' AS period_type, year_month || '-01' AS period_start, strftime(last_day(CAST(year_month || '-01' AS DATE)), '%Y-%m-%d') AS period_end FROM v")
+def l5(spark, d):
+    """The months of the ledger from what each of its batches adds to them, as jobs keep them."""
+    rows = sides(A.ledger(spark, d)).withColumn("ingestion_batch_id", F.concat(F.lit("batch-"), (F.col("k") % 4).cast("string")))
+    done = periods.changed(periods.months(periods.partials(rows))).drop("category_breakdown")
+    return done.withColumn("period_start", F.date_format("period_start", "yyyy-MM-dd")).withColumn("period_end", F.date_format("period_end", "yyyy-MM-dd"))
+
+
 @registered("w1_monthly_by_org", monthly_sql("org_id") + " FROM v")
 def w1(spark, d):
     """A1, W1, W2 for each tenant."""
@@ -789,6 +798,15 @@ def j4(spark, d):
     return tenants.new_rows(rows, rows.where("k % 5 = 0")).select("row_id")
 
 
+@registered("j4_screened_rows", f"{_UP} SELECT row_id FROM u WHERE (org_id, h) NOT IN (SELECT (org_id, h) FROM u WHERE k % 5 = 0)")
+def j4_screened(spark, d):
+    """Rows that the ledger lacks; a screen of the known hashes spares the join for most of them."""
+    rows = stores.stored(_upload(spark, d))
+    known = rows.where("k % 5 = 0")
+    key = ["org_id", "source_row_hash"]
+    return membership.unknown_screened(rows, known, membership.screen(known, key), key).select("row_id")
+
+
 _STATUS = f"""{_UP}, t AS (SELECT *, CASE WHEN NOT ok THEN 'failed' WHEN (org_id, h) IN (SELECT (org_id, h) FROM u WHERE k % 5 = 0) OR row_number() OVER (PARTITION BY org_id, file, h ORDER BY row_id) > 1 THEN 'skipped' ELSE 'imported' END AS status FROM u)"""
 
 
