@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,6 +18,15 @@ from pyspark.sql import functions as F
 CROWD, HUBS = 100_000, 10_000
 #: Bytes of text for each bucket that gathers something from all blocks.
 BUCKET = 64 << 20
+#: Where the C library has it, the call that returns freed memory.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released() -> None:
+    """Gives back what a Python worker no longer holds: it stays for other tasks, whose memory is that of the executor too."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def parts(spark: SparkSession) -> int:
@@ -134,7 +144,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, most: int, also: str |
         yield close()
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, told: tuple[int, int] | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], told: tuple[int, int] | None = None) -> DataFrame:
     """The inner join of rows to table, which has one row a key with the number n of its rows, without gathering a hot key.
 
     told: (rows, most rows of a key), else counted here. Where no key has more than CROWD rows this is a

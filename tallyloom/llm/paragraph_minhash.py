@@ -1,8 +1,9 @@
 """Operator 2: paragraph dedup by MinHash banding.
 
 A paragraph is a line of at least `min_words` words, by default those of a shingle; shorter lines are left
-alone. Paragraphs of equal words, with A-Z in lower case, are one class, named by a 64-bit hash of them. A
-class has a signature of BANDS * ROWS minima over its set of five-word shingles (a line shorter than that
+alone. Paragraphs of equal words, with A-Z in lower case, are one class, told by a 128-bit hash of them; half
+of it names the class while bands and links are sought, the other half then tells which of two classes of
+one name was verified, so that equal halves remove nothing. A class has a signature of BANDS * ROWS minima over its set of five-word shingles (a line shorter than that
 is one shingle, so only its exact copies are similar); classes that agree in all rows of a band
 collide. At a Jaccard similarity of 0.8 all 16 bands miss with chance 0.0002. Colliding classes are
 verified by their exact Jaccard similarity, and components of the links are clusters; the first
@@ -20,6 +21,7 @@ make up the similarity. So no link is lost, and no band is joined with itself.
 Defined results: null and empty texts have no paragraphs; null ids come last in the order; rows
 of one id are ordered by a hash of their text; of rows equal in id and text one comes first and all
 others lose all their paragraphs; an empty table gives an empty result; extra columns are ignored.
+For `different` a null, empty or blank text is a document without words, and of all of those one stays.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import buckets, components, spread_join, stored
+from .frames import buckets, components, released, spread_join, stored
 from .text import mix64, ragged, runs, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -75,8 +77,7 @@ def _lots(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
     size = sum(pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns or ("text",))
     for lo, hi in runs(np.cumsum(size) // LOT):
         yield batch.slice(lo, hi - lo)
-    # a worker goes on to other tasks: what this batch took is given back
-    pa.default_memory_pool().release_unused()
+    released()
 
 
 def _found(text: str | None, least: int) -> Iterator[tuple[int, bytes]]:
@@ -87,12 +88,20 @@ def _found(text: str | None, least: int) -> Iterator[tuple[int, bytes]]:
             yield line, b" ".join(found)
 
 
-def _pid(body: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(body) - (1 << 63)
+def _halves(body: bytes) -> tuple[int, int]:
+    """The name of a class and its check: two halves of one hash, as signed numbers."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(body), 1 << 64)
+    return low - (1 << 63), high - (1 << 63)
 
 
-def _classes(batch: pa.RecordBatch, least: int) -> dict[int, bytes]:
-    return {_pid(body): body for text in batch.column("text") for _, body in _found(text.as_py(), least)}
+def _classes(batch: pa.RecordBatch, least: int) -> dict[int, tuple[int, bytes]]:
+    """(check, body) of each class of some texts by its name."""
+    out = {}
+    for text in batch.column("text"):
+        for _, body in _found(text.as_py(), least):
+            pid, check = _halves(body)
+            out[pid] = check, body
+    return out
 
 
 def _paragraphs(least: int):
@@ -100,8 +109,9 @@ def _paragraphs(least: int):
         """Rows with the lines and classes of their paragraphs in place of the text."""
         for batch in batches:
             own = [list(_found(t.as_py(), least)) for t in batch.column("text")]
-            lines, pids = [[n for n, _ in o] for o in own], [[_pid(b) for _, b in o] for o in own]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "tie", "at")), pa.array(lines, pa.list_(pa.int32())), pa.array(pids, pa.list_(pa.int64()))], names=["id", "tie", "at", "lines", "pids"])
+            named = [[(n, *_halves(b)) for n, b in o] for o in own]
+            lists = (pa.array([[x[i] for x in o] for o in named], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int64())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "tie", "at")), *lists], names=["id", "tie", "at", "lines", "pids", "checks"])
 
     return run
 
@@ -111,7 +121,7 @@ def _bodies(least: int):
         for batch in batches:
             for lot in _lots(batch):
                 own = _classes(lot, least)
-                yield pa.record_batch({"pid": pa.array(list(own), pa.int64()), "body": pa.array(list(own.values()), pa.binary())})
+                yield pa.record_batch({"pid": pa.array(list(own), pa.int64()), "check": pa.array([c for c, _ in own.values()], pa.int64()), "body": pa.array([b for _, b in own.values()], pa.binary())})
 
     return run
 
@@ -134,7 +144,7 @@ def _banded(least: int, n: int):
                 own = _classes(lot, least)
                 if not own:
                     continue
-                keys = signatures(*shingles(list(own.values()))).view(np.int64).reshape(-1)
+                keys = signatures(*shingles([b for _, b in own.values()])).view(np.int64).reshape(-1)
                 band, first, pid = _stars(keys, np.repeat(np.fromiter(own, np.int64, len(own)), BANDS))
                 met = first != pid
                 of = np.where(met, pid, band).view(np.uint64) % np.uint64(n)
@@ -177,7 +187,7 @@ def _similar(threshold: float):
                         at = np.searchsorted(large, small)
                         both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
                     keep.append(both >= threshold * (len(x) + len(y) - both))
-                yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                yield some.select(["a", "b", "u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -217,7 +227,7 @@ def prefix_pairs(places: DataFrame, roots: DataFrame, threshold: float) -> DataF
 
 
 def clusters(given: DataFrame, threshold: float, least: int) -> DataFrame:
-    """(node, root) for each class of the lines of text that has a similar other class; root is the least of its cluster."""
+    """(node, check, root) for each class of the lines of text that has a similar other class; root is the least of its cluster."""
     if not 0 < threshold <= 1 or math.isclose(threshold, 0):
         raise ValueError("a similarity is above 0 and at most 1")
     n = buckets(given, "text")
@@ -226,16 +236,18 @@ def clusters(given: DataFrame, threshold: float, least: int) -> DataFrame:
     members = met.select("band", "pid").union(met.select("band", F.col("a").alias("pid"))).distinct()
     # only texts of classes that collide are kept; all others end at this join
     asked_for = members.select("pid").distinct()
-    bodies = stored(given.select("text").mapInArrow(_bodies(least), "pid long, body binary").join(asked_for, "pid", "left_semi").dropDuplicates(["pid"]))
+    found_again = given.select("text").mapInArrow(_bodies(least), "pid long, check long, body binary").join(asked_for, "pid", "left_semi")
+    # of two classes of one name the lesser one is verified, and links are its own
+    bodies = stored(found_again.groupBy("pid").agg(F.min("check").alias("check"), F.min_by("body", "check").alias("body")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda end, name: bodies.select(F.col("pid").alias(end), F.col("body").alias(name))
-        both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
-        return stored(both.mapInArrow(_similar(threshold), "a long, b long"), BATCH)
+        side = lambda end, check, name: bodies.select(F.col("pid").alias(end), F.col("check").alias(check), F.col("body").alias(name))
+        both = pairs.join(side("b", "v", "y"), "b").join(side("a", "u", "x"), "a").select("a", "b", "u", "v", "x", "y")
+        return stored(both.mapInArrow(_similar(threshold), "a long, b long, u long, v long"), BATCH)
 
     def rooted(links: DataFrame) -> DataFrame:
         """(band, pid, root) of the bands whose members are in several components."""
-        labels = components(links).withColumnsRenamed({"node": "pid"})
+        labels = components(links.select("a", "b")).withColumnsRenamed({"node": "pid"})
         found = stored(members.join(labels, "pid", "left").select("band", "pid", F.coalesce("root", "pid").alias("root")))
         mixed = found.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
         return found.join(mixed, "band", "left_semi")
@@ -247,7 +259,9 @@ def clusters(given: DataFrame, threshold: float, least: int) -> DataFrame:
     middle = own.groupBy("band").agg(F.min_by(F.struct("pid", "root"), F.struct("own", "pid")).alias("m")).select("band", F.col("m")["pid"].alias("a"), F.col("m")["root"].alias("r"))
     links = links.union(verified(left.join(middle, "band").where("root <> r").select("a", F.col("pid").alias("b")).distinct()))
     rest = rooted(links).select("pid", "root").distinct()
-    return components(links.union(verified(prefix_pairs(places, rest, threshold))))
+    links = links.union(verified(prefix_pairs(places, rest, threshold)))
+    checks = links.select(F.col("a").alias("node"), F.col("u").alias("check")).union(links.select("b", "v")).distinct()
+    return components(links.select("a", "b")).join(checks, "node").select("node", "check", "root")
 
 
 def _given(df: DataFrame, id_col: str, text, *tied: str) -> DataFrame:
@@ -256,9 +270,16 @@ def _given(df: DataFrame, id_col: str, text, *tied: str) -> DataFrame:
 
 
 def _told(given: DataFrame, least: int) -> DataFrame:
-    """(id, tie, at, lines, pids) of all rows, stored: at names a row from here on."""
+    """(id, tie, at, lines, pids, checks) of all rows, stored: at names a row from here on."""
     kind = given.schema["id"].dataType.simpleString()
-    return stored(given.mapInArrow(_paragraphs(least), f"id {kind}, tie long, at long, lines array<int>, pids array<long>"))
+    return stored(given.mapInArrow(_paragraphs(least), f"id {kind}, tie long, at long, lines array<int>, pids array<long>, checks array<long>"))
+
+
+def _classed(lines: DataFrame, final: DataFrame) -> DataFrame:
+    """lines (.., pid, check) with (component, apart) instead: the cluster that clusters() tells, or the class by all its bits."""
+    met = lines.join(final.select(F.col("node").alias("pid"), "check", "root"), ["pid", "check"], "left")
+    alone = F.when(F.col("root").isNull(), F.col("check")).otherwise(0)
+    return met.withColumns({"component": F.coalesce("root", "pid"), "apart": alone}).drop("pid", "check", "root")
 
 
 def different(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -267,21 +288,21 @@ def different(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     A document of any length is one paragraph here. Repeated rows of the id and text that stay are all kept.
     """
     given = _given(df, id_col, F.translate(F.col(text_col), "\n", " "), id_col, text_col)
-    told = _told(given, 0).select("id", "tie", F.col("pids")[0].alias("pid"))
-    named = told.join(clusters(given, threshold, 0).withColumnRenamed("node", "pid"), "pid", "left")
+    told = _told(given, 0).select("id", "tie", F.col("pids")[0].alias("pid"), F.col("checks")[0].alias("check"))
+    named = _classed(told, clusters(given, threshold, 0))
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "tie")).alias("first")
-    chosen = stored(named.groupBy(F.coalesce("root", "pid").alias("root")).agg(first).select(F.col("first")["tie"].alias("tie")))
+    chosen = stored(named.groupBy("component", "apart").agg(first).select(F.col("first")["tie"].alias("tie")))
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
     return df.select(row, F.xxhash64(id_col, text_col).alias("tie")).join(chosen, "tie", "left_semi").select("row.*")
 
 
 def _removed(told: DataFrame, final: DataFrame) -> DataFrame:
     """(id, tie, line, component, removed) of the paragraphs of told; rows equal in id and tie are one."""
-    lines = told.select("id", "tie", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("pids").alias("pid")))).toDF("id", "tie", "line", "pid")
-    named = stored(lines.join(final.toDF("pid", "component"), "pid", "left").select("id", "tie", "line", F.coalesce("component", "pid").alias("component")))
+    lines = told.select("id", "tie", F.inline(F.arrays_zip("lines", "pids", "checks"))).toDF("id", "tie", "line", "pid", "check")
+    named = stored(_classed(lines, final))
     place = F.struct(F.col("id").isNull().alias("n"), "id", "tie", "line")
-    first = named.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    return spread_join(named, first, "component").select("id", "tie", "line", "component", (place != F.col("first")).alias("removed"))
+    first = named.groupBy("component", "apart").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    return spread_join(named, first, ["component", "apart"]).select("id", "tie", "line", "component", (place != F.col("first")).alias("removed"))
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = SHINGLE) -> DataFrame:

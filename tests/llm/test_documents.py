@@ -474,6 +474,16 @@ def test_short_paragraphs_are_removed(spark):
     assert rows_of(paragraph_minhash.summary(df, min_words=1).select("doc_id", "n_paragraphs", "n_removed")) == [(i, 3, 2 * int(i > 0)) for i in range(6)]
 
 
+def test_equal_halves_of_hashes_remove_nothing(spark):
+    # classes 7 of checks 1 and 2 share a name; 1 was verified and is linked to 3, 2 stands alone
+    final = spark.createDataFrame([(7, 1, 3), (3, 5, 3)], "node long, check long, root long")
+    told = spark.createDataFrame([(1, 0, [0, 1, 2], [3, 7, 7], [5, 1, 2]), (2, 0, [0, 1], [7, 9], [2, 1]), (3, 0, [0, 1], [9, 3], [2, 6])], "id long, tie long, lines array<int>, pids array<long>, checks array<long>")
+    gone = paragraph_minhash._removed(told, final).where("removed")
+    assert sorted((r["id"], r["line"]) for r in gone.collect()) == [(1, 1), (2, 0)]
+    halves = {paragraph_minhash._halves(f"body {i}".encode()) for i in range(1000)}
+    assert len({p for p, _ in halves}) == len({c for _, c in halves}) == 1000 and all(-(1 << 63) <= x < 1 << 63 for h in halves for x in h)
+
+
 def test_prefix_pairs_lose_nothing(spark):
     rng = np.random.default_rng(3)
     pool = [f"w{x}" for x in range(60)]
