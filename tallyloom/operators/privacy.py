@@ -50,14 +50,39 @@ def verdict(names: Iterable[str], local: Iterable[str] = fixed.LOCAL_ONLY, safe:
     return out
 
 
+def blocked_paths(schema: T.StructType, local: Iterable[str] = fixed.LOCAL_ONLY) -> list[str]:
+    """Dotted names of all columns and fields, at every depth of structs, arrays and maps, that may not leave.
+
+    What stands within a blocked one is not named again. Keys of maps are data and have no name here.
+    """
+    local, found = set(local), []
+
+    def walk(kind: T.DataType, at: str) -> None:
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                name = f"{at}.{f.name}" if at else f.name
+                if f.name.lower() in local:
+                    found.append(name)
+                else:
+                    walk(f.dataType, name)
+        elif isinstance(kind, T.ArrayType):
+            walk(kind.elementType, at)
+        elif isinstance(kind, T.MapType):
+            walk(kind.keyType, at)
+            walk(kind.valueType, at)
+
+    walk(schema, "")
+    return found
+
+
 def for_cloud(df: DataFrame, strict: bool = False, unknown: str = "drop") -> DataFrame:
-    """Columns that may leave, at every depth of structs, arrays and maps; strict raises if any is blocked; unknown: drop or keep.
+    """Columns that may leave, at every depth of structs, arrays and maps; unknown: drop or keep.
 
-    The entries of a map are judged by their keys. What has no part left that may leave is dropped.
+    strict raises if a column or field of any depth is blocked. The entries of a map are judged by their keys, which
+    only its rows tell: they are dropped, and strict does not raise for them. What has no part left that may leave is dropped.
     """
-    found = verdict(df.columns)
-    if strict and found["blocked"]:
-        raise BoundaryError(found["blocked"])
+    if strict and (blocked := blocked_paths(df.schema)):
+        raise BoundaryError(blocked)
 
     def may(name: str) -> bool:
         state = verdict([name])

@@ -157,6 +157,18 @@ def test_boundary_gates_tenants(spark):
     assert tenants.seeded(orgs, had).count() == 71
 
 
+def test_strict_boundary_looks_at_every_depth(spark):
+    nested = "totals struct<income:int,Phone:string>, categories array<struct<name:string,iban:string>>, trends map<string,struct<net:int,email:string>>, vendor struct<email:string>, month string"
+    df = spark.createDataFrame([], nested)
+    with pytest.raises(privacy.BoundaryError) as told:
+        privacy.for_cloud(df, strict=True)
+    assert told.value.blocked == ["totals.Phone", "categories.iban", "trends.email", "vendor"]
+    assert privacy.for_cloud(df, unknown="keep").schema.simpleString() == "struct<totals:struct<income:int>,categories:array<struct<name:string>>,trends:map<string,struct<net:int>>,month:string>"
+    # keys of maps are data: dropped, and nothing to raise for
+    keyed = spark.createDataFrame([({"income": 1, "cnic": 2},)], "totals map<string,int>")
+    assert privacy.for_cloud(keyed, strict=True).first()["totals"] == {"income": 1}
+
+
 def test_metadata(spark):
     rows = [("2026-01-05", "Landlord", 50000.0, "debit"), ("2026-01-15", "ABC Co", 80000.0, "credit"), ("2026-01-20", "WAPDA", 3500.0, "debit"), ("2026-02-05", "ABC Co", 65000.0, "credit"), ("2026-02-10", "PTCL", 5000.0, "debit")]
     df = spark.createDataFrame(rows, "d string, party_name string, amount double, direction string").withColumn("txn_date", F.to_date("d"))
