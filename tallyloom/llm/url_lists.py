@@ -11,6 +11,8 @@ adaptive execution splits.
 
 Defined results: a capture without a URL, host or fetch date matches nothing; of several changes to an
 entry on one date the last by action ('remove' after 'add') counts; repeated changes are one;
+entries and hosts are compared in lower case and without closing dots, a backslash ends a host as a slash does,
+and what comes before the last @ is the user's;
 repeated captures and null ids each keep a row; empty lists block nothing, empty captures
 give an empty result; extra columns stay whatever their names, those named like a result column are replaced.
 """
@@ -20,21 +22,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)"
+from ..functions import scalars as S
+
+#: What stands between the scheme and the path, up to a slash of either kind, and the host in it once the user is gone.
+AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)"
+HOST = r"^(\[[^\]]*\]|[^:\[]+)"
 NUMBERS = r"^(\[.*\]|[0-9.]+)$"
 RESULT = ("host", "n_active", "entry", "blocked")
 FOREVER = "9999-12-31"
 
 
 def host_of(url):
-    """The lower-cased host of a URL, without user and port; null if it has none."""
-    found = F.lower(F.regexp_extract(url, HOST, 1))
+    """The lower-cased host of a URL, without user, port and closing dots; null if it has none."""
+    named = F.regexp_replace(F.regexp_extract(url, AUTHORITY, 1), "^[^/]*@", "")
+    found = F.rtrim(F.lower(F.regexp_extract(named, HOST, 1)), F.lit("."))
     return F.when(found != "", found)
 
 
 def intervals(changes: DataFrame) -> DataFrame:
-    """(entry, since, until) from changes (entry, on, action): until is the date of the next change."""
-    daily = changes.where("entry is not null and on is not null").groupBy("entry", "on").agg(F.max("action").alias("action"))
+    """(entry, since, until) from changes (entry, on, action): until is the date of the next change.
+
+    Entries are lower-cased and lose white space around them and closing dots, as hosts do; empty ones are dropped.
+    """
+    entry = F.rtrim(F.lower(S.trimmed(F.col("entry"))), F.lit("."))
+    daily = changes.select(entry.alias("entry"), "on", "action").where("entry <> '' and on is not null").groupBy("entry", "on").agg(F.max("action").alias("action"))
     after = F.lead("on").over(Window.partitionBy("entry").orderBy("on"))
     return daily.withColumn("until", F.coalesce(after, F.to_date(F.lit(FOREVER)))).where("action = 'add'").select("entry", F.col("on").alias("since"), "until")
 
@@ -87,7 +98,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH p AS (
-  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)', 1)), '') AS host,
+  SELECT page_id, nullif(rtrim(lower(regexp_extract(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)', 1), '^[^/]*@', ''), '^(\[[^\]]*\]|[^:\[]+)', 1)), '.'), '') AS host,
          DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS fetched
   FROM pages),
 own AS (SELECT DISTINCT host FROM p WHERE host IS NOT NULL),

@@ -153,6 +153,15 @@ def test_hosts(spark):
     assert {r["host"] for r in done.where("blocked").collect()} == {"[::1]", "a.b.c"}
 
 
+def test_odd_forms_do_not_slip_past_an_entry(spark):
+    urls = ["http://ex.com./a", "http://ex.com\\@evil.org/", "http://a@b@ex.com:80/", "HTTP://WWW.EX.COM..", "http://user@/", "http://.../", "http://u:p@[::1]:8/", "http://notex.com/", "http://x\n@ex.com"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("fetched", F.lit(dt.date(2024, 2, 1)))
+    changes = spark.createDataFrame([(" Ex.COM. ", dt.date(2024, 1, 1), "add"), ("  ", dt.date(2024, 1, 1), "add"), (".", dt.date(2024, 1, 1), "add"), (None, dt.date(2024, 1, 1), "add")], "entry string, on date, action string")
+    got = sorted((r["page_id"], r["host"], r["entry"]) for r in url_lists.active(df, changes).collect())
+    hosts = ["ex.com", "ex.com", "ex.com", "www.ex.com", None, None, "[::1]", "notex.com", "ex.com"]
+    assert got == [(i, h, "ex.com" if h and h.removeprefix("www.") == "ex.com" else None) for i, h in enumerate(hosts)]
+
+
 def test_as_of_agrees_with_all_intervals(spark):
     rng = np.random.default_rng(5)
     start = dt.date(2024, 1, 1)
