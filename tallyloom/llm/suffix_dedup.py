@@ -63,10 +63,11 @@ class Hashes:
 
     def __init__(self, data: np.ndarray):
         if len(Hashes.up) < len(data) + 1:
-            n = 1 << (len(data) + 1).bit_length()
+            n = 1 << len(data).bit_length()
+            Hashes.up = Hashes.down = np.ones(1, np.uint64)
             up, down = np.full(n, BASE), np.full(n, INVERSE)
             up[0] = down[0] = 1
-            Hashes.up, Hashes.down = np.cumprod(up), np.cumprod(down)
+            Hashes.up, Hashes.down = np.cumprod(up, out=up), np.cumprod(down, out=down)
         self.data, self.prefix = data, np.zeros(len(data) + 1, np.uint64)
         letters = mix64(np.arange(1, 257, dtype=np.uint64))
         np.cumsum(letters[data] * self.up[: len(data)], out=self.prefix[1:])
