@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,28 @@ def released() -> None:
         _TRIM(0)
 
 
+def trimmed(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of one group that gives back its memory after each."""
+
+    def after(table):
+        out = run(table)
+        released()
+        return out
+
+    return after
+
+
+def trimmed_both(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a function of two groups."""
+
+    def after(left, right):
+        out = run(left, right)
+        released()
+        return out
+
+    return after
+
+
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -108,6 +130,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, most: int, also: str |
     texts and, on request, another column, so that a job that meets the blocks twice sees at once
     if the second pass was dealt other rows.
     """
+    released()
     part, count = TaskContext.get().partitionId(), 0
     held: list[pa.RecordBatch] = []
     size = 0

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .frames import blocks, buckets
+from .frames import blocks, buckets, trimmed, trimmed_both
 from .text import expand, ragged, runs, squeeze
 
 MARK = "▁"
@@ -101,10 +101,10 @@ def _block(cutter: re.Pattern, texts: pa.ChunkedArray, buckets: int) -> tuple[li
     return [names[i] for i in order], of[order], place[by], rank[flat], np.fromiter(map(len, codes), np.int32, len(codes))
 
 
-def _lists(model: str, text: str, buckets: int) -> Callable:
+def _lists(model: str, text: str, buckets: int, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _cutter(model)
-        for key, table in blocks(batches, text, BLOCK):
+        for key, table in blocks(batches, text, most):
             names, of, _, _, _ = _block(cutter, table.column(text), buckets)
             for lo, hi in runs(of):
                 data = [c.encode() for c in names[lo:hi]]
@@ -113,11 +113,11 @@ def _lists(model: str, text: str, buckets: int) -> Callable:
     return run
 
 
-def _codes(model: str, id_col: str, text: str, buckets: int) -> Callable:
+def _codes(model: str, id_col: str, text: str, buckets: int, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block as one row: ids, numbers of chunks, codes, and the chunks' places in the block's lists."""
         cutter = _cutter(model)
-        for key, table in blocks(batches, text, BLOCK):
+        for key, table in blocks(batches, text, most):
             _, _, place, codes, lens = _block(cutter, table.column(text), buckets)
             ids = table.column(id_col).combine_chunks()
             columns = [squeeze(c) for c in (lens, codes, place)]
@@ -180,21 +180,21 @@ def _joined(model: str, id_type: pa.DataType) -> Callable[[pa.Table, pa.Table],
     return run
 
 
-def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id_col, ids array<int>, decoded string) for each row of df.
 
     ids are those of the library's encode() of the whole text, without begin or end ids; decoded
-    is its decode() of them. model is the path of a model file on every machine.
+    is its decode() of them. model is the path of a model file on every machine. No result depends on block.
     """
     many = buckets(df, text_col)
     kind = df.schema[id_col].dataType.simpleString()
     _cutter(model)
     given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lists = given.select("text").mapInArrow(_lists(model, "text", many), "bucket int, block long, sizes binary, chunks binary")
-    tables = lists.groupBy("bucket").applyInArrow(_segmented(model), "block long, bucket int, lens binary, ids binary")
-    codes = given.mapInArrow(_codes(model, "id", "text", many), f"block long, ids array<{kind}>, lens binary, codes binary, places binary")
+    lists = given.select("text").mapInArrow(_lists(model, "text", many, block), "bucket int, block long, sizes binary, chunks binary")
+    tables = lists.groupBy("bucket").applyInArrow(trimmed(_segmented(model)), "block long, bucket int, lens binary, ids binary")
+    codes = given.mapInArrow(_codes(model, "id", "text", many, block), f"block long, ids array<{kind}>, lens binary, codes binary, places binary")
     run = _joined(model, to_arrow_type(df.schema[id_col].dataType))
-    return codes.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return codes.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(trimmed_both(run), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def default_model() -> str:

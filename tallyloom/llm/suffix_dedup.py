@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import blocks, buckets
+from .frames import blocks, buckets, trimmed, trimmed_both
 from .text import expand, mix64, ragged, runs, squeeze
 
 LENGTH, GRAM = 100, 32
@@ -446,13 +446,13 @@ def _found(df: DataFrame, id_col: str, text_col: str, block: int, texts: bool =
     long, binary = T.LongType(), T.BinaryType()
     arrays = "low binary, wide binary, back binary"
     sent = given.select("id", "text").mapInArrow(_sent(many, block), f"bucket int, block long, gram binary, span binary, {arrays}")
-    judged = sent.groupBy("bucket").applyInArrow(_judged(hot), f"block long, {arrays}, state binary")
+    judged = sent.groupBy("bucket").applyInArrow(trimmed(_judged(hot)), f"block long, {arrays}, state binary")
     columns = {"block": long, "ids": T.ArrayType(long), "rest": T.ArrayType(kind), "lens": binary, "data": binary, "low": binary, "wide": binary}
     packed = given.mapInArrow(_packed(block), T.StructType([T.StructField(*c) for c in columns.items()]))
-    edges = packed.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(_edges(many), f"bucket int, block long, ids binary, {arrays}, data binary")
-    found = edges.groupBy("bucket").applyInArrow(_decided, "block long, low binary, wide binary")
+    edges = packed.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(trimmed_both(_edges(many)), f"bucket int, block long, ids binary, {arrays}, data binary")
+    found = edges.groupBy("bucket").applyInArrow(trimmed(_decided), "block long, low binary, wide binary")
     columns = {"rest": kind, "n_bytes": long, "spans": T.ArrayType(T.StructType([T.StructField("start", long), T.StructField("end", long)])), "kept": binary}
-    return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cleared(texts), T.StructType([T.StructField(*c) for c in columns.items()]))
+    return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(trimmed_both(_cleared(texts)), T.StructType([T.StructField(*c) for c in columns.items()]))
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hot: int = HOT) -> DataFrame:
