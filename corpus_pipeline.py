@@ -13,6 +13,10 @@ from tallyloom.llm import cube_mixing, paragraph_minhash, quality_bands, sentenc
 from tallyloom.llm.frames import Tables
 
 
+#: Bytes of text in a block of the two stages that hash or code whole blocks: less than the operators' own, as workers of other stages still hold memory.
+DEDUP_BLOCK, CODING_BLOCK = (2 << 20) - 1, 8 << 20
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules (operator 3)."""
     return quality_bands.keep(docs)
@@ -28,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur earlier (operator 4); n_chars follows the text."""
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return suffix_dedup.without_repeats(docs, block=DEDUP_BLOCK).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix (operator 1)."""
-    done = sentencepiece_codec.encode(docs, sentencepiece_codec.default_model())
+    done = sentencepiece_codec.encode(docs, sentencepiece_codec.default_model(), block=CODING_BLOCK)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
