@@ -8,7 +8,8 @@ there on, so that every count is whole. Scans end when no phrase can be active a
 
 What is active is told by a table of `SLOTS` bytes (its size is fixed, whatever the corpus): the scan in which the first
 phrase of each slot reached the threshold. Phrases that share a slot become active early at most, which
-costs work and changes no count: a phrase's cycle follows from the table alone, and slots never change once set.
+costs work and changes no count: a phrase's cycle follows from the table alone, slots never change once set, and no cycle
+begins before the one of a subphrase, whose places are not met until then.
 Counts are gathered by 64-bit hash: each task sends packed sorted hashes to buckets of hashes, a bucket merges them with
 what it holds and drops phrases that ended their cycle below the threshold. Only bitmaps of fresh slots come to the driver.
 
@@ -123,7 +124,8 @@ class Block:
             yield k, at, hashes, since
             now = self.reached(hashes)
             scan = np.full(size, NEVER, np.uint8)
-            scan[at] = now
+            # a slot that others set before this phrase was active tells nothing of it: what it is part of waits for its first scan
+            scan[at] = np.where(now == NEVER, now, np.maximum(now, since))
             keep = now != NEVER
             at, hashes = at[keep], hashes[keep]
 

@@ -85,6 +85,15 @@ def test_few_slots_change_nothing(spark, monkeypatch):
     assert run(spark.createDataFrame(rows, "text string, lang string").repartition(4)) == brute(rows, 2000)
 
 
+def test_slots_set_early_by_other_phrases_lose_no_count(spark, monkeypatch):
+    # words reach 30 in different scans, and with 2^10 slots most phrases share one that was set before they were active
+    monkeypatch.setattr(phrase_mining, "SLOT_BITS", 10)
+    rng = random.Random(4)
+    idioms = [" ".join(f"v{rng.randrange(1000)}" for _ in range(6)) for _ in range(150)]
+    rows = [(" ".join(rng.choice(idioms) for _ in range(3)), "en") for _ in range(2200)]
+    assert run(spark.createDataFrame(rows, "text string, lang string").repartition(6)) == brute(rows, 2000)
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     big = 3 * 10**18
     found = spark.createDataFrame([("en", "a b", 2, big), ("en", "a", 1, big + 7), ("en", "b", 1, 3 * big)], "lang string, phrase string, k int, f long")
