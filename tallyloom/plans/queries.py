@@ -552,9 +552,7 @@ def j7(spark, d):
 
 @registered("s12_statistics", f"{GOLD_SQL} SELECT 'bronze' AS table_name, count(*) AS row_count FROM s UNION ALL SELECT 'silver', count(*) FROM s WHERE reason IS NULL UNION ALL SELECT 'quarantine', count(*) FROM s WHERE reason IS NOT NULL UNION ALL SELECT 'gold', count(*) FROM gold")
 def s12(spark, d):
-    rows = M.classified(A.bronze(spark, d))
-    s = M.silver(rows)
-    return M.statistics({"bronze": rows, "silver": s, "quarantine": M.quarantine(rows), "gold": M.promoted(s)})
+    return M.layer_statistics(M.classified(A.bronze(spark, d)))
 
 
 def monthly_sql(tenant: str = "") -> str:

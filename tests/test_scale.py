@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import membership, metadata
+from tallyloom.operators import medallion, membership, metadata
+from tallyloom.plans import adapter, registry
 from tallyloom.sources import tables
 from tallyloom.streaming import watch
 
@@ -186,3 +187,14 @@ def test_shares_reach_the_reader(spark):
             tables.probe(*bad, 4)
     with pytest.raises(RuntimeError, match="no JDBC driver for jdbc:nothing"):
         tables.require_driver(spark, "jdbc:nothing://host/db")
+
+
+def test_layers_are_counted_in_one_pass(spark):
+    d = "/root/testdata/sf0.001"
+    told = registry.QUERIES["s12_statistics"](spark, d)
+    assert told._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2  # orders and customer, once each
+    rows = medallion.classified(adapter.bronze(spark, d))
+    good = medallion.silver(rows)
+    want = medallion.statistics({"bronze": rows, "silver": good, "quarantine": medallion.quarantine(rows), "gold": medallion.promoted(good)})
+    assert told.columns == want.columns and sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect()))
+    assert {r["row_count"] for r in medallion.layer_statistics(rows.where("false")).collect()} == {0}
