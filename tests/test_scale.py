@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions import fixed
+from tallyloom.functions import scalars as S
 from tallyloom.operators import medallion, membership, metadata
 from tallyloom.plans import adapter, registry
 from tallyloom.sources import tables
@@ -198,3 +200,18 @@ def test_layers_are_counted_in_one_pass(spark):
     want = medallion.statistics({"bronze": rows, "silver": good, "quarantine": medallion.quarantine(rows), "gold": medallion.promoted(good)})
     assert told.columns == want.columns and sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect()))
     assert {r["row_count"] for r in medallion.layer_statistics(rows.where("false")).collect()} == {0}
+
+
+def test_patterns_run_once_a_match_and_only_where_they_can_match(spark, monkeypatch):
+    rng = random.Random(13)
+    parts = ["42101-1234567-9", "03001234567", "+92-300-1234567", "٣٠٠", "0٠٠٠٠٠٠٠٠٠", "3٠٠1234567", "a.b@c.pk", "@", "PK36SCBL0000001123456702", "pk36", "12345678", "Road", "ſtreet", "-", "x"]
+    rows = [(i, *("".join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randrange(5))) if rng.random() < 0.9 else None for _ in range(2))) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    found = lambda: df.select("i", S.pii_matches({"a": F.col("a"), "b": F.col("b")}).alias("pii"))
+    told = sorted(map(tuple, found().collect()))
+    assert fixed.PII_SCREENS and {m["type"] for _, ms in told for m in ms} == set(fixed.PII_PATTERNS)
+    monkeypatch.setattr(fixed, "PII_SCREENS", {})
+    assert told == sorted(map(tuple, found().collect()))
+    masked = df.join(found(), "i").select(S.mask_tokens(F.col("a"), F.col("pii"), "a").alias("x"))
+    plan = masked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_instr(") == len(fixed.PII_PATTERNS)
