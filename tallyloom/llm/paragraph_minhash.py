@@ -18,6 +18,13 @@ pairs of different components that are left: shingles are put in order of how ma
 them, and the first one that two sets share stands so early in both that the rest can still
 make up the similarity. So no link is lost, and no band is joined with itself.
 
+`passages` also finds what is copied within lines. A line of at least LONG words is cut into pieces
+at places that the words around them tell, so that a passage pasted into other lines is cut
+alike there; pieces of fewer than PIECE words are left alone, as several texts may hold these by chance. Where lines are shorter, one and the next short ones are a piece as soon as they make up LONG
+words. A piece is a class like a line; of equal pieces, or pieces equal to a line, the first
+stays. Pieces are told by their words alone: with so few of them a changed word leaves too few shingles. Lines of
+fewer than LONG words that repeat alone are told apart from what is removed; `summary` removes them.
+
 Defined results: null and empty texts have no paragraphs; null ids come last in the order; rows
 of one id are ordered by a hash of their text; of rows equal in id and text one comes first and all
 others lose all their paragraphs; an empty table gives an empty result; extra columns are ignored.
@@ -40,6 +47,8 @@ from .text import mix64, ragged, runs, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
+#: Words of a line that is cut, least words of a piece, words on either side that a cut depends on, and words that are hashed for it.
+LONG, PIECE, AROUND, TELLING = 20, 7, 5, 3
 #: Bytes of text that are handled at once, and rows with bodies that a worker is sent at once.
 LOT, BATCH = 2 << 20, 500
 _FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -116,6 +125,76 @@ def _paragraphs(least: int):
     return run
 
 
+def cuts(found: list[list[bytes]]) -> np.ndarray:
+    """Of lines of words, end to end: whether a piece ends at a word.
+
+    It does where the hash of the last words is the least of all within AROUND words of it in the
+    line, and PIECE words are left on both sides.
+    """
+    lens = np.fromiter(map(len, found), np.int64, len(found))
+    key = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in found for w in ws), np.uint64, int(lens.sum()))
+    at = np.arange(len(key)) - np.repeat(np.cumsum(lens) - lens, lens)
+    left = np.repeat(lens, lens) - at - 1
+    one = key
+    for _ in range(TELLING - 1):
+        key = mix64(np.append(np.zeros(1, np.uint64), key[:-1])[: len(key)]) + one
+    key = np.where(at < TELLING - 1, ~np.uint64(0), mix64(key))
+    cut = (at >= PIECE - 1) & (left >= PIECE)
+    for i in range(1, min(AROUND, len(key) - 1) + 1):
+        cut[i:] &= (key[i:] < key[:-i]) | (at[i:] < i)
+        cut[:-i] &= (key[:-i] <= key[i:]) | (left[:-i] < i)
+    return cut | (left == 0)
+
+
+def _pieces(lines: list[tuple[int, bytes]]) -> list[list[tuple[int, int, bytes]]]:
+    """(first word, number of words, body) of the pieces of PIECE words of each line (line, body); none of a line in one piece."""
+    found = [b.split() for _, b in lines]
+    ends = (np.flatnonzero(cuts(found)) + 1).tolist()
+    out, start, k = [], 0, 0
+    for ws in found:
+        own, at = [], 0
+        while at < len(ws):
+            to, k = ends[k] - start, k + 1
+            own.append((at, to - at, b" ".join(ws[at:to])))
+            at = to
+        start += len(ws)
+        out.append([x for x in own if x[1] >= PIECE] if len(own) > 1 else [])
+    return out
+
+
+def _sequences(lines: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+    """(line, number of words, body) of the shortest sequence of short lines of LONG words from each line on."""
+    sizes = [b.count(b" ") + 1 for _, b in lines]
+    to = total = 0
+    for i, (line, _) in enumerate(lines):
+        if to < i:
+            to, total = i, 0
+        while to < len(lines) and sizes[to] < LONG and total < LONG:
+            total, to = total + sizes[to], to + 1
+        if total >= LONG:
+            yield line, total, b" ".join(b for _, b in lines[i:to])
+        total -= sizes[i] if to > i else 0
+
+
+def _parts(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their lines (word -1), sequences of short lines (word -2) and pieces of long lines in place of the text."""
+        for batch in batches:
+            for lot in _lots(batch):
+                own = [list(_found(t.as_py(), least)) for t in lot.column("text")]
+                rows = [[(line, -1, b.count(b" ") + 1, *_halves(b)) for line, b in o] for o in own]
+                for row, o in zip(rows, own, strict=True):
+                    row += [(line, -2, size, *_halves(b)) for line, size, b in _sequences(o)]
+                long = [(row, line, b) for row, o in zip(rows, own, strict=True) for line, b in o if b.count(b" ") + 1 >= LONG]
+                for (row, line, _), pieces in zip(long, _pieces([x[1:] for x in long]), strict=True):
+                    row += [(line, at, size, *_halves(b)) for at, size, b in pieces]
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                lists = (pa.array([[x[i] for x in row] for row in rows], pa.list_(kind)) for i, kind in enumerate(kinds))
+                yield pa.RecordBatch.from_arrays([*(lot.column(c) for c in ("id", "tie", "at")), *lists], names=["id", "tie", "at", "lines", "words", "sizes", "pids", "checks"])
+
+    return run
+
+
 def _bodies(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,6 +402,52 @@ def summary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     return met.select(F.col("id").alias(id_col), F.size("lines").cast("long").alias("n_paragraphs"), F.size(lines).cast("long").alias("n_removed"), lines.alias("removed_lines"))
 
 
+def _lost(told: DataFrame, final: DataFrame) -> DataFrame:
+    """(id, tie, line, word, size) of the lines and pieces of told of which an earlier one stays; rows equal in id and tie are one."""
+    each = told.select("at", F.inline(F.arrays_zip("lines", "words", "sizes", "pids", "checks"))).toDF("at", "line", "word", "size", "pid", "check")
+    # most classes have one place and no link; they end at this join
+    many = each.groupBy("pid", "check").count().where("count > 1").select("pid", "check")
+    many = many.union(final.select("node", "check")).distinct()
+    named = stored(_classed(each.join(many, ["pid", "check"], "left_semi"), final).join(told.select("at", "id", "tie"), "at"))
+    place = F.struct(F.col("id").isNull().alias("n"), "id", "tie", "line", "word")
+    first = named.groupBy("component", "apart").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    return spread_join(named, first, ["component", "apart"]).where(place != F.col("first")).select("id", "tie", "line", "word", "size")
+
+
+def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = SHINGLE) -> DataFrame:
+    """(id_col, n_paragraphs, n_removed, removed_lines, removed_pieces, n_short_repeats, short_repeats) for each row of df.
+
+    Removed are lines of at least LONG words, as summary() does, and of other lines pieces (line, word, size: first word
+    and number of words; from the first word of a short line they go on over the next ones). short_repeats are the
+    shorter lines that summary() removes.
+    """
+    given = _given(df, id_col, F.col(text_col), text_col)
+    final = clusters(given, threshold, min_words)
+    kind = given.schema["id"].dataType.simpleString()
+    told = stored(given.mapInArrow(_parts(min_words), f"id {kind}, tie long, at long, lines array<int>, words array<int>, sizes array<int>, pids array<long>, checks array<long>"))
+    whole, long = F.col("word") == -1, F.col("size") >= LONG
+    part = F.when(~whole, F.struct("line", F.greatest("word", F.lit(0)).alias("word"), "size"))
+    lines = _lost(told, final).groupBy("id", "tie", "line").agg(F.max(F.when(whole, F.col("size"))).alias("size"), F.collect_set(part).alias("pieces"))
+    longs, shorts = F.when(long, F.col("line")), F.when(~long, F.col("line"))
+    left = F.when(F.col("size").isNull() | ~long, F.col("pieces"))
+    ordered = lambda c, name: F.sort_array(c).alias(name)
+    gone = lines.groupBy("id", "tie").agg(ordered(F.collect_list(longs), "longs"), ordered(F.flatten(F.collect_list(left)), "pieces"), ordered(F.collect_list(shorts), "shorts")).withColumnsRenamed({"id": "i", "tie": "t"})
+    again = told.groupBy("id", "tie").agg(F.min("at").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("j"), F.col("tie").alias("u"), "least")
+    met = told.join(gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")), "left").join(again, F.col("id").eqNullSafe(F.col("j")) & (F.col("tie") == F.col("u")), "left")
+    told_as = lambda word: F.filter(F.arrays_zip("lines", "words", "sizes"), lambda x: x["words"] == word)
+    own = told_as(-1)
+    number = lambda c: F.transform(c, lambda x: x["lines"])
+    repeated = F.col("at") > F.col("least")
+    none = F.array().cast("array<int>")
+    removed = F.when(repeated, number(F.filter(own, lambda x: x["sizes"] >= LONG))).otherwise(F.coalesce("longs", none))
+    empty = F.array().cast("array<struct<line:int,word:int,size:int>>")
+    runs_on = F.transform(told_as(-2), lambda x: F.struct(x["lines"].alias("line"), F.lit(0).alias("word"), x["sizes"].alias("size")))
+    pieces = F.when(repeated, runs_on).otherwise(F.coalesce("pieces", empty))
+    short = F.when(repeated, number(F.filter(own, lambda x: x["sizes"] < LONG))).otherwise(F.coalesce("shorts", none))
+    count = lambda c: F.size(c).cast("long")
+    return met.select(F.col("id").alias(id_col), count(own).alias("n_paragraphs"), (count(removed) + count(pieces)).alias("n_removed"), removed.alias("removed_lines"), pieces.alias("removed_pieces"), count(short).alias("n_short_repeats"), short.alias("short_repeats"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2_paragraph_minhash: paragraphs and removals of every document."""
-    return summary(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))

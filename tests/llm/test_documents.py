@@ -474,6 +474,47 @@ def test_short_paragraphs_are_removed(spark):
     assert rows_of(paragraph_minhash.summary(df, min_words=1).select("doc_id", "n_paragraphs", "n_removed")) == [(i, 3, 2 * int(i > 0)) for i in range(6)]
 
 
+def test_passages_within_lines_are_removed(spark, empty):
+    rng = np.random.default_rng(31)
+    body = lambda n: [f"t{x}" for x in rng.integers(0, 50_000, n)]
+    say = " ".join
+    rows, planted, licence = [], {}, "Released under a licence of nine words"
+    for i in range(40):
+        passage, at = body(60), 1000 + 3 * i
+        # within long lines, over two of them, and in upper case
+        rows += [(at, say(body(37) + passage + body(45))), (at + 1, say(body(30)) + "\n" + say(body(11) + passage[:25]) + "\n" + say(passage[25:] + body(26)))]
+        rows.append((at + 2, say(body(80)) + "\n" + say(body(9) + [w.upper() for w in passage] + body(70)) + "\n" + licence))
+        planted[at + 1] = planted[at + 2] = set(passage)
+    # lines of seven words that make up a passage, a line of its own, a near copy, and lines that repeat alone
+    verse, line = [body(7) for _ in range(9)], body(30)
+    near = [*line[:29], "other"]
+    rows += [(1, say(body(30)) + "\n" + "\n".join(map(say, verse))), (2, licence + "\n" + "\n".join(map(say, verse[1:6])) + "\n" + say(body(12)))]
+    rows += [(3, say(line)), (4, say(body(25)) + "\n" + say(near)), (5, licence + "\n" + say(body(40))), (6, None), (7, say(verse[0]))]
+    rows += [(8, "\n".join(say(body(6)) for _ in range(4)))] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(paragraph_minhash.passages(df).collect(), key=lambda r: (r["doc_id"], r["n_removed"]))
+    by = {r["doc_id"]: r for r in got}
+    # where only one of the copies has a line's end inside, fewer words are left to be cut alike
+    assert sum(by[i]["n_removed"] > 0 for i in planted if i % 3 == 1002 % 3) >= 0.95 * len(planted) / 2
+    assert sum(by[i]["n_removed"] > 0 for i in planted) >= 0.85 * len(planted)
+    texts = dict(rows)
+    for i, words in planted.items():
+        for p in by[i]["removed_pieces"]:
+            found = texts[i].split("\n")[p["line"]].split()[p["word"] : p["word"] + p["size"]]
+            assert len(found) == p["size"] >= paragraph_minhash.PIECE and set(map(str.lower, found)) <= words
+    assert all(r["n_removed"] == 0 for r in got if r["doc_id"] in (1, 3, 5, 6, 7) or r["doc_id"] >= 1000 and r["doc_id"] % 3 == 1000 % 3)
+    # sequences of 21 words: of five lines the first three begin one
+    assert [tuple(p) for p in by[2]["removed_pieces"]] == [(1, 0, 21), (2, 0, 21), (3, 0, 21)] and by[2]["n_removed"] == 3
+    assert by[4]["removed_lines"] == [1] and by[4]["removed_pieces"] == []
+    assert by[5]["short_repeats"] == [0] and by[7]["short_repeats"] == [0] and by[5]["n_short_repeats"] == 1
+    assert [(r["n_removed"], r["n_short_repeats"]) for r in got if r["doc_id"] == 8] == [(0, 0), (1, 4)]
+    # all that summary() removes is told as removed or as a short repeat, and no more lines
+    same = paragraph_minhash.summary(df).select("doc_id", "n_paragraphs", "removed_lines")
+    both = paragraph_minhash.passages(df).select("doc_id", "n_paragraphs", F.sort_array(F.concat("removed_lines", "short_repeats")))
+    assert rows_of(same) == rows_of(both)
+    assert paragraph_minhash.passages(empty).count() == 0
+
+
 def test_equal_halves_of_hashes_remove_nothing(spark):
     # classes 7 of checks 1 and 2 share a name; 1 was verified and is linked to 3, 2 stands alone
     final = spark.createDataFrame([(7, 1, 3), (3, 5, 3)], "node long, check long, root long")
