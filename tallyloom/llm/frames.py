@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -92,6 +93,12 @@ def stored(df: DataFrame, batch: int | None = None) -> DataFrame:
         conf.set(name, before)
 
 
+def cleaned(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of steps that nothing refers to any more: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Tables:
     """Tables of steps that follow each other, in a folder of their own in the shared one; drop() ends those that nothing reads any more."""
 

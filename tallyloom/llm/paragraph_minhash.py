@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import buckets, components, released, spread_join, stored
+from .frames import buckets, cleaned, components, released, spread_join, stored
 from .text import mix64, ragged, runs, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -406,8 +406,8 @@ def _lost(told: DataFrame, final: DataFrame) -> DataFrame:
     """(id, tie, line, word, size) of the lines and pieces of told of which an earlier one stays; rows equal in id and tie are one."""
     each = told.select("at", F.inline(F.arrays_zip("lines", "words", "sizes", "pids", "checks"))).toDF("at", "line", "word", "size", "pid", "check")
     # most classes have one place and no link; they end at this join
-    many = each.groupBy("pid", "check").count().where("count > 1").select("pid", "check")
-    many = many.union(final.select("node", "check")).distinct()
+    places = each.select("pid", "check", F.lit(1).alias("n")).union(final.select("node", "check", F.lit(2)))
+    many = places.groupBy("pid", "check").agg(F.sum("n").alias("n")).where("n > 1").select("pid", "check")
     named = stored(_classed(each.join(many, ["pid", "check"], "left_semi"), final).join(told.select("at", "id", "tie"), "at"))
     place = F.struct(F.col("id").isNull().alias("n"), "id", "tie", "line", "word")
     first = named.groupBy("component", "apart").agg(F.min(place).alias("first"), F.count("*").alias("n"))
@@ -423,6 +423,7 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     """
     given = _given(df, id_col, F.col(text_col), text_col)
     final = clusters(given, threshold, min_words)
+    cleaned(df.sparkSession)
     kind = given.schema["id"].dataType.simpleString()
     told = stored(given.mapInArrow(_parts(min_words), f"id {kind}, tie long, at long, lines array<int>, words array<int>, sizes array<int>, pids array<long>, checks array<long>"))
     whole, long = F.col("word") == -1, F.col("size") >= LONG
